@@ -29,8 +29,8 @@ def first_arrival(det: DataFrame, where: Column, name: str, unit: str = "days")
 
 
 def last_detection(det: DataFrame) -> DataFrame:
-    """Last detection per tag; the later ``seq`` wins a tie."""
-    return first_per_tag(det, (F.desc_nulls_last("ts"), F.desc("seq")))
+    """Last detection per tag; of several at that time the first in file order."""
+    return first_per_tag(det, (F.desc_nulls_last("ts"), F.asc("seq")))
 
 
 def last_detection_ties(det: DataFrame, by: str = "ts") -> DataFrame:

@@ -24,12 +24,9 @@ def fixed_raw(
         scan_receiver(spark, d, station=s, deploy_start=K.DEPLOY_START)
         for d, s in station_of.items()
     ]
-    return dedup_per_station(reduce(DataFrame.unionByName, scans))
-
-
-def dedup_per_station(rows: DataFrame, order=FILE_ORDER) -> DataFrame:
-    """Stations are read one by one, so two of them may hold the same tag in one second."""
-    return dedup_keep_first(rows, by=("station", "tag", "ts"), order=order)
+    rows = reduce(DataFrame.unionByName, scans)
+    # one directory per station: two stations may hear the same tag in one second
+    return dedup_keep_first(rows, by=("src_dir", "tag", "ts"), order=FILE_ORDER)
 
 
 def fixed_detections(raw: DataFrame, study_start: str = K.STUDY_START, stations=None) -> DataFrame:

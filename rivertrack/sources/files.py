@@ -16,6 +16,7 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("src_path"),
+        F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1).alias("src_dir"),
         F.col("_metadata.file_name").alias("src_file"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.monotonically_increasing_id().alias("seq"),

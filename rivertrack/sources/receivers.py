@@ -47,6 +47,7 @@ def parse_receiver(lines: DataFrame) -> DataFrame:
             ).alias("tag"),
             "value",
             "src_path",
+            "src_dir",
             "src_file",
             "src_block",
             "seq",
@@ -74,7 +75,7 @@ def scan_receiver(
 def receiver_quarantine(spark: SparkSession, paths) -> DataFrame:
     """The lines ``scan_receiver`` rejects, as read."""
     rows = parse_receiver(read_lines(spark, paths)).where(~_parsed())
-    return rows.select("value", "src_path", "src_file", "src_block", "seq")
+    return rows.select("value", "src_path", "src_dir", "src_file", "src_block", "seq")
 
 
 def _srx_records(spark: SparkSession, paths) -> DataFrame:
@@ -120,6 +121,7 @@ def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame
             _field(7).try_cast("double").alias("long"),
             F.substring("src_file", 1, SRX_STATION_CHARS).alias("station"),
             "src_path",
+            "src_dir",
             "src_file",
             "src_block",
             F.col("line").alias("seq"),
