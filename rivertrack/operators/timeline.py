@@ -19,8 +19,8 @@ from rivertrack.schema import fixed_table
 from rivertrack.session import shared_dir
 
 SLICE = "slice"
-# a slice number holds three levels of 20 bits: time, time within a full slice, seq
-_LEVEL_BITS = 20
+# a slice number holds up to six cuts of 10 bits each, the coarsest first
+_CUTS, _CUT_BITS = 6, 10
 
 
 def is_sliced(df: DataFrame) -> bool:
@@ -41,55 +41,58 @@ def timeline(df: DataFrame, *more: str) -> WindowSpec:
 
 
 def slice_hot_tags(
-    df: DataFrame, rows_per_slice: int = 2_000_000, max_hot: int = 50_000
+    df: DataFrame, rows_per_slice: int = 2_000_000, max_cuts: int = 50_000
 ) -> DataFrame:
     """Add ``slice`` to the rows of tags with more than ``rows_per_slice`` rows.
 
-    Counts rows per tag (one aggregation over two columns) and returns ``df`` unchanged when
-    no tag is that long. Otherwise a long tag is cut evenly over its time span, slices that
-    are still too full are cut again, and rows sharing one instant are cut by ``seq``. The cut
-    table reaches the driver and the executors, so ``rows_per_slice`` is raised until it has
-    at most ``max_hot`` rows. This is the only place where an operator runs a job up front.
+    Counts rows per tag (one aggregation over three columns) and returns ``df`` unchanged when
+    no tag is that long. Otherwise a long tag is cut evenly over its time span, slices still
+    too full are cut again, and rows that share one instant are cut by ``seq``. The table of
+    cuts reaches the driver and the executors, so ``rows_per_slice`` is raised until it has at
+    most ``max_cuts`` rows. This is the only place where an operator runs a job up front.
     """
-    spark = df.sparkSession
-    tag_type = df.schema["tag"].dataType
-    levels = [micros("ts"), micros("ts")]
-    if isinstance(df.schema["seq"].dataType, T.IntegralType):
-        levels.append(F.col("seq").cast("bigint"))
+    schema = T.StructType(
+        [
+            T.StructField("_tag", df.schema["tag"].dataType),
+            T.StructField("_slice", T.LongType()),
+            T.StructField("_by_seq", T.BooleanType()),
+            T.StructField("_lo", T.LongType()),
+            T.StructField("_width", T.LongType()),
+        ]
+    )
+    time, seq = micros("ts"), F.col("seq").cast("bigint")
     out = df.withColumn(SLICE, F.lit(None).cast("bigint"))
-    for level, position in enumerate(levels):
+    for level in range(_CUTS):
         rows = out if level == 0 else hot_rows(out)
-        counts = rows.groupBy("tag", SLICE).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(position).alias("lo"),
-            F.max(position).alias("hi"),
+        counts = (
+            rows.where(F.col("tag").isNotNull())
+            .groupBy("tag", SLICE)
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min(time).alias("t0"),
+                F.max(time).alias("t1"),
+                F.min(seq).alias("s0"),
+                F.max(seq).alias("s1"),
+            )
         )
-        over = counts.where((F.col("n") > rows_per_slice) & F.col("tag").isNotNull())
-        full = over.limit(max_hot + 1).collect()
-        while len(full) > max_hot:
+        too_full = counts.where(F.col("n") > rows_per_slice).limit(max_cuts + 1).collect()
+        while len(too_full) > max_cuts:
             rows_per_slice *= 4
-            over = counts.where((F.col("n") > rows_per_slice) & F.col("tag").isNotNull())
-            full = over.limit(max_hot + 1).collect()
-        if not full:
+            too_full = counts.where(F.col("n") > rows_per_slice).limit(max_cuts + 1).collect()
+        if not too_full:
             break
         cuts = []
-        for r in full:
-            parts = min(-(-r.n // rows_per_slice), 2**_LEVEL_BITS - 1)
-            cuts.append((r.tag, r[SLICE], r.lo, -(-(r.hi - r.lo + 1) // parts)))
-        schema = T.StructType(
-            [
-                T.StructField("_tag", tag_type),
-                T.StructField("_slice", T.LongType()),
-                T.StructField("_lo", T.LongType()),
-                T.StructField("_width", T.LongType()),
-            ]
-        )
-        cut = F.broadcast(fixed_table(spark, cuts, schema))
-        shift = 2 ** (_LEVEL_BITS * (2 - level))
-        step = F.floor((position - F.col("_lo")) / F.col("_width")) * F.lit(shift)
+        for r in too_full:
+            by_seq = r.t0 == r.t1
+            lo, hi = (r.s0, r.s1) if by_seq else (r.t0, r.t1)
+            parts = min(-(-r.n // rows_per_slice), 2**_CUT_BITS - 1)
+            cuts.append((r.tag, r[SLICE], by_seq, lo, -(-(hi - lo + 1) // parts)))
+        at = F.when(F.col("_by_seq"), seq).otherwise(time)
+        place = F.lit(2 ** (_CUT_BITS * (_CUTS - 1 - level)))
+        step = F.floor((at - F.col("_lo")) / F.col("_width")) * place
         out = (
             out.join(
-                cut,
+                F.broadcast(fixed_table(df.sparkSession, cuts, schema)),
                 (F.col("tag") == F.col("_tag")) & F.col(SLICE).eqNullSafe(F.col("_slice")),
                 "left",
             )
@@ -99,9 +102,9 @@ def slice_hot_tags(
                     F.col("_width").isNotNull(), F.coalesce(F.col(SLICE), F.lit(0)) + step
                 ).otherwise(F.col(SLICE)),
             )
-            .drop("_tag", "_slice", "_lo", "_width")
+            .drop(*schema.names)
         )
-    return out if level > 0 else df
+    return df if level == 0 else out
 
 
 def unslice(df: DataFrame) -> DataFrame:
@@ -147,12 +150,12 @@ def first_where(df: DataFrame, condition: Column, name: str) -> DataFrame:
         return df.withColumn(name, F.min(here).over(Window.partitionBy("tag")))
     # long tags: aggregate map-side first; at most one row per long tag comes back
     first = (
-        hot_rows(df).where(condition).groupBy("tag").agg(F.min(F.struct("ts", "seq")).alias("_f"))
+        hot_rows(df).where(condition).groupBy("tag").agg(F.min(F.struct("ts", "seq")).alias("_of_long"))
     )
     short = F.min(here).over(Window.partitionBy("tag", SLICE))
     return (
         df.withColumn(name, short)
         .join(F.broadcast(first), "tag", "left")
-        .withColumn(name, F.when(F.col(SLICE).isNull(), F.col(name)).otherwise(F.col("_f")))
+        .withColumn(name, F.when(F.col(SLICE).isNull(), F.col(name)).otherwise(F.col("_of_long")))
         .select(*df.columns, name)
     )
