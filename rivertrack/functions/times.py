@@ -21,12 +21,12 @@ def micros(ts) -> Column:
     zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
     if zone in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         return F.unix_micros(ts.cast("timestamp"))
-    clock = F.extract(F.lit("SECOND"), ts) * MICROS_PER_SECOND
+    second = (F.extract(F.lit("SECOND"), ts) * MICROS_PER_SECOND).cast("bigint")
+    minutes = F.hour(ts).cast("bigint") * 60 + F.minute(ts)
     return (
         F.unix_date(ts.cast("date")) * F.lit(MICROS_PER_DAY)
-        + F.hour(ts) * F.lit(3_600 * MICROS_PER_SECOND)
-        + F.minute(ts) * F.lit(60 * MICROS_PER_SECOND)
-        + clock.cast("bigint")
+        + minutes * (60 * MICROS_PER_SECOND)
+        + second
     )
 
 
