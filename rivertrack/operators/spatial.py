@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivertrack import constants as K
 from rivertrack.functions.geo import utm_zone9
+from rivertrack.schema import fixed_table
 from rivertrack.session import shared_dir
 
 
@@ -106,14 +107,14 @@ def nearest_reference_point(
     ``max_points`` are read to the driver and sent to every task: no pair of row and point is
     ever a row. A larger layer is joined by grid cell. Rows without a position get NULLs.
     """
-    slim = points.select("idx", "x", "y")
-    held = slim.limit(max_points + 1).collect()
+    held = points.limit(max_points + 1).collect()
     if not held:
         raise ValueError("no reference points")
     if len(held) <= max_points:
         placed = _nearest_in_task(df, held)
-        payload = F.broadcast(points.drop("x", "y"))
+        payload = F.broadcast(fixed_table(df.sparkSession, held, points.schema).drop("x", "y"))
     else:
+        slim = points.select("idx", "x", "y")
         if cell is None:
             box = slim.agg(
                 F.count(F.lit(1)).alias("n"),

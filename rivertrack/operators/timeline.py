@@ -45,15 +45,32 @@ def slice_hot_tags(
 ) -> DataFrame:
     """Add ``slice`` to the rows of tags with more than ``rows_per_slice`` rows.
 
-    Counts rows per tag (one aggregation over three columns) and returns ``df`` unchanged when
-    no tag is that long. Otherwise a long tag is cut evenly over its time span, slices still
+    Counts rows per tag (an aggregation that reads one column) and returns ``df`` unchanged
+    when no tag is that long. Otherwise a long tag is cut evenly over its time span, slices still
     too full are cut again, and rows that share one instant are cut by ``seq``. The table of
     cuts reaches the driver and the executors, so ``rows_per_slice`` is raised until it has at
     most ``max_cuts`` rows. This is the only place where an operator runs a job up front.
     """
+    spark, tag_type = df.sparkSession, df.schema["tag"].dataType
+
+    def over_limit(counts: DataFrame) -> list:
+        nonlocal rows_per_slice
+        while True:
+            found = counts.where(F.col("n") > rows_per_slice).limit(max_cuts + 1).collect()
+            if len(found) <= max_cuts:
+                return found
+            rows_per_slice *= 4
+
+    known = df.where(F.col("tag").isNotNull())
+    long_tags = over_limit(known.groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+    if not long_tags:
+        return df
+
+    tag_table = T.StructType([T.StructField("tag", tag_type)])
+    long_table = F.broadcast(fixed_table(spark, [(r.tag,) for r in long_tags], tag_table))
     schema = T.StructType(
         [
-            T.StructField("_tag", df.schema["tag"].dataType),
+            T.StructField("_tag", tag_type),
             T.StructField("_slice", T.LongType()),
             T.StructField("_by_seq", T.BooleanType()),
             T.StructField("_lo", T.LongType()),
@@ -63,11 +80,9 @@ def slice_hot_tags(
     time, seq = micros("ts"), F.col("seq").cast("bigint")
     out = df.withColumn(SLICE, F.lit(None).cast("bigint"))
     for level in range(_CUTS):
-        rows = out if level == 0 else hot_rows(out)
-        counts = (
-            rows.where(F.col("tag").isNotNull())
-            .groupBy("tag", SLICE)
-            .agg(
+        rows = out.join(long_table, "tag", "left_semi") if level == 0 else hot_rows(out)
+        too_full = over_limit(
+            rows.groupBy("tag", SLICE).agg(
                 F.count(F.lit(1)).alias("n"),
                 F.min(time).alias("t0"),
                 F.max(time).alias("t1"),
@@ -75,10 +90,6 @@ def slice_hot_tags(
                 F.max(seq).alias("s1"),
             )
         )
-        too_full = counts.where(F.col("n") > rows_per_slice).limit(max_cuts + 1).collect()
-        while len(too_full) > max_cuts:
-            rows_per_slice *= 4
-            too_full = counts.where(F.col("n") > rows_per_slice).limit(max_cuts + 1).collect()
         if not too_full:
             break
         cuts = []
@@ -92,7 +103,7 @@ def slice_hot_tags(
         step = F.floor((at - F.col("_lo")) / F.col("_width")) * place
         out = (
             out.join(
-                F.broadcast(fixed_table(df.sparkSession, cuts, schema)),
+                F.broadcast(fixed_table(spark, cuts, schema)),
                 (F.col("tag") == F.col("_tag")) & F.col(SLICE).eqNullSafe(F.col("_slice")),
                 "left",
             )
@@ -104,7 +115,7 @@ def slice_hot_tags(
             )
             .drop(*schema.names)
         )
-    return df if level == 0 else out
+    return out
 
 
 def unslice(df: DataFrame) -> DataFrame:

@@ -15,11 +15,17 @@ SRX_LINES_AFTER_MARKER = 2
 SRX_STATION_CHARS = 6
 
 
-def _fields(df: DataFrame) -> DataFrame:
-    """Whitespace-separated fields of each line that has any; NUL bytes are skipped."""
-    text = F.trim(F.regexp_replace(F.translate("value", "\x00", ""), r"\s+", " "))
-    return df.withColumn("_text", text).where("_text <> ''").withColumn(
-        "_f", F.split("_text", " ")
+def _records(lines: DataFrame, parsed: dict[str, Column]) -> DataFrame:
+    """The whitespace-separated fields ``_f`` of each line that has any (NUL bytes are skipped),
+    parsed into the named columns. As a generated row, the fields are split and parsed once: a
+    filter on the result would otherwise be pushed below and parse them again."""
+    text = F.trim(F.translate("value", "\t\r\x00", "  "))
+    record = F.struct(*[c.alias(name) for name, c in parsed.items()])
+    return (
+        lines.where(F.col("value").rlike(r"\S"))
+        .withColumn("_f", F.split(text, " +"))
+        .select("*", F.inline(F.array(record)))
+        .drop("_f")
     )
 
 
@@ -30,28 +36,20 @@ def _field(i: int) -> Column:
 def parse_receiver(lines: DataFrame) -> DataFrame:
     """Typed receiver records, header lines left out; a record that does not parse has a NULL
     ``tag`` or ``ts``."""
-    return (
-        _fields(lines)
-        .where(_field(0) != "Date")
-        .select(
-            _field(0).try_cast("date").alias("date"),
-            parse_ts(F.concat_ws(" ", _field(0), _field(1))).alias("ts"),
-            _field(2).alias("station"),
-            _field(3).try_cast("int").alias("antenna"),
-            _field(4).try_cast("decimal(6,3)").alias("freq"),
-            _field(5).alias("type"),
-            _field(6).try_cast("int").alias("code"),
-            _field(7).try_cast("int").alias("power"),
-            tag_key(
-                _field(4).try_cast("decimal(6,3)"), _field(6).try_cast("int")
-            ).alias("tag"),
-            "value",
-            "src_path",
-            "src_dir",
-            "src_file",
-            "src_block",
-            "seq",
-        )
+    freq, code = _field(4).try_cast("decimal(6,3)"), _field(6).try_cast("int")
+    return _records(
+        lines.where(~F.col("value").rlike(r"^\s*Date\s")),
+        {
+            "date": _field(0).try_cast("date"),
+            "ts": parse_ts(F.concat_ws(" ", _field(0), _field(1))),
+            "station": _field(2),
+            "antenna": _field(3).try_cast("int"),
+            "freq": freq,
+            "type": _field(5),
+            "code": code,
+            "power": _field(7).try_cast("int"),
+            "tag": tag_key(freq, code),
+        },
     )
 
 
@@ -78,17 +76,17 @@ def receiver_quarantine(spark: SparkSession, paths) -> DataFrame:
     return rows.select("value", "src_path", "src_dir", "src_file", "src_block", "seq")
 
 
-def _srx_records(spark: SparkSession, paths) -> DataFrame:
+def _srx_lines(spark: SparkSession, paths) -> DataFrame:
     lines = number_lines(read_lines(spark, paths))
     marker = (
         lines.where(F.col("value").contains(SRX_MARKER))
         .groupBy("src_path")
         .agg(F.min("line").alias("_marker"))
     )
-    return _fields(
-        lines.join(marker, "src_path").where(
-            F.col("line") > F.col("_marker") + SRX_LINES_AFTER_MARKER
-        )
+    return (
+        lines.join(marker, "src_path")
+        .where(F.col("line") > F.col("_marker") + SRX_LINES_AFTER_MARKER)
+        .drop("_marker")
     )
 
 
@@ -106,25 +104,24 @@ def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame
     ts = parse_ts(F.concat_ws(" ", day.cast("string"), _field(1)))
     if src_tz is not None:
         ts = F.convert_timezone(F.lit(src_tz), F.lit("UTC"), ts)
-    code = _field(3).try_cast("int")
+    records = _records(
+        _srx_lines(spark, paths),
+        {
+            "date": day,
+            "ts": ts,
+            "channel": _field(2).try_cast("int"),
+            "code": _field(3).try_cast("int"),
+            "antenna": _field(4),
+            "power": _field(5).try_cast("double"),
+            "lat": _field(6).try_cast("double"),
+            "long": _field(7).try_cast("double"),
+        },
+    )
     return (
-        _srx_records(spark, paths)
-        .select(
-            day.alias("date"),
-            ts.alias("ts"),
-            F.hour(ts).alias("hour"),
-            _field(2).try_cast("int").alias("channel"),
-            code.alias("code"),
-            _field(4).alias("antenna"),
-            _field(5).try_cast("double").alias("power"),
-            _field(6).try_cast("double").alias("lat"),
-            _field(7).try_cast("double").alias("long"),
-            F.substring("src_file", 1, SRX_STATION_CHARS).alias("station"),
-            "src_path",
-            "src_dir",
-            "src_file",
-            "src_block",
-            F.col("line").alias("seq"),
+        records.where(F.col("code").isNotNull() & (F.col("code") != K.ERROR_CODE))
+        .withColumns(
+            {"hour": F.hour("ts"), "station": F.substring("src_file", 1, SRX_STATION_CHARS)}
         )
-        .where(F.col("code").isNotNull() & (F.col("code") != K.ERROR_CODE))
+        .drop("value", "seq")
+        .withColumnRenamed("line", "seq")
     )
