@@ -86,3 +86,28 @@ def priority_union(sets: list[tuple[str, DataFrame]], order=("ts", "seq")) -> Da
     ]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return first_per_tag(union, ("_priority", *order)).drop("_priority")
+
+
+def first_claim(
+    df: DataFrame, claims: list[tuple[str, Column, str]], micros_of: Column
+) -> DataFrame:
+    """``priority_union`` of sets that are all rows of ``df``, in one pass: one row per tag, from
+    the first claim (name, condition, ``first`` or ``last``) that any of its rows meets. A row
+    counts for the first claim it meets: if that one is not the tag's, neither is a later one.
+    """
+    number = name = place = None
+    for i, (label, condition, which) in enumerate(claims):
+        at = micros_of if which == "first" else -micros_of
+        if number is None:
+            number = F.when(condition, F.lit(i))
+            name = F.when(condition, F.lit(label))
+            place = F.when(condition, at)
+        else:
+            number = number.when(condition, F.lit(i))
+            name = name.when(condition, F.lit(label))
+            place = place.when(condition, at)
+    claimed = df.withColumns({"source": name, "_claim": number, "_place": place})
+    first = first_per_tag(
+        claimed.where(F.col("_claim").isNotNull()), ("_claim", "_place", "seq")
+    )
+    return first.drop("_claim", "_place")

@@ -103,20 +103,17 @@ def terminal_zone_lock(df: DataFrame, zone: str) -> DataFrame:
 
 def reach_flag_cumsum(df: DataFrame, zone: str) -> DataFrame:
     """Add ``flag`` (1 on the tag's first row in ``zone``) and ``reached``, its running sum."""
-    if not is_sliced(df):
-        rank = F.row_number().over(timeline(df, "zone"))
-        flagged = df.withColumn(
-            "flag", F.when((F.col("zone") == zone) & (rank == 1), 1).otherwise(0)
-        )
-        upto = timeline(df).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return flagged.withColumn("reached", F.sum("flag").over(upto))
     here = F.struct("ts", "seq")
-    return (
-        first_where(df, F.col("zone") == zone, "_f")
-        .withColumn("flag", F.coalesce((here == F.col("_f")).cast("int"), F.lit(0)))
-        .withColumn("reached", F.coalesce((here >= F.col("_f")).cast("bigint"), F.lit(0)))
-        .drop("_f")
+    flagged = first_where(df, F.col("zone") == zone, "_f").withColumn(
+        "flag", F.coalesce((here == F.col("_f")).cast("int"), F.lit(0))
     )
+    if is_sliced(df):
+        # the sum over earlier slices is 1 if the flag lies there
+        upto = F.coalesce((here >= F.col("_f")).cast("bigint"), F.lit(0))
+    else:
+        rows = timeline(df).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = F.sum("flag").over(rows)
+    return flagged.withColumn("reached", upto).drop("_f")
 
 
 def movement_rates(df: DataFrame) -> DataFrame:

@@ -118,12 +118,12 @@ def false_positive_rate(det: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def tag_flags(det: DataFrame, conditions: dict[str, Column], *, keep=()) -> DataFrame:
-    """One row per tag: did any of its rows meet each condition? ``keep`` columns belong to the
-    tag and are the same on all its rows."""
+def tag_flags(det: DataFrame, conditions: dict[str, Column], **more: Column) -> DataFrame:
+    """One row per tag: did any of its rows meet each condition? ``more`` are further
+    aggregates."""
     return det.groupBy("tag").agg(
-        *[F.max(k).alias(k) for k in keep],
         *[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in conditions.items()],
+        *[c.alias(n) for n, c in more.items()],
     )
 
 
@@ -131,21 +131,19 @@ def detected_counts(
     det: DataFrame, tags: DataFrame, fixed=K.FIXED_STATIONS, mobile: str = "Mobile"
 ) -> DataFrame:
     """Tags, and how many were detected at all, at fixed stations, in mobile surveys, nowhere."""
-    known = det.join(tags.select("tag").distinct(), "tag", "left_semi")
     seen = tag_flags(
-        known,
+        det,
         {
             "any": F.col("station").isin(*fixed, mobile),
             "fixed": F.col("station").isin(*fixed),
             "mobile": F.col("station") == mobile,
         },
-    ).agg(*[F.count_if(F.col(c)).alias(c) for c in ("any", "fixed", "mobile")])
-    total = tags.agg(F.count_distinct("tag").alias("tags"))
-    # two one-row tables
-    both = total.withColumn("_k", F.lit(1)).join(seen.withColumn("_k", F.lit(1)), "_k")
-    return both.select(
-        "tags", "any", "fixed", "mobile", (F.col("tags") - F.col("any")).alias("undetected")
     )
+    known = tags.select("tag").distinct().join(seen, "tag", "left")
+    counts = known.agg(
+        _count().alias("tags"), *[F.count_if(F.col(c)).alias(c) for c in ("any", "fixed", "mobile")]
+    )
+    return counts.withColumn("undetected", F.col("tags") - F.col("any"))
 
 
 def undetected_tags(tags: DataFrame, det: DataFrame) -> DataFrame:
@@ -181,18 +179,20 @@ def detection_efficiency(det: DataFrame, stations=tuple(K.EFFICIENCY_STATIONS))
 
 def zone_presence_counts(det: DataFrame, sections: dict[str, Column]) -> DataFrame:
     """Tags ever present in each section, by sex. A tag may count in several sections."""
-    flags = tag_flags(det, sections, keep=("sex",))
+    # a number, so that the aggregation hashes instead of sorting
+    label = sex_label("sex")
+    sex = F.when(label == "Male", 2).when(label == "Female", 1).otherwise(0)
+    flags = tag_flags(det, sections, sex=F.max(sex))
     present = F.filter(
         F.array(*[F.when(F.col(n), F.lit(n)) for n in sections]), lambda s: s.isNotNull()
     )
-    label = sex_label("sex")
     return (
-        flags.select(label.alias("sex"), F.explode(present).alias("section"))
+        flags.select("sex", F.explode(present).alias("section"))
         .groupBy("section")
         .agg(
-            F.count_if(F.col("sex") == "Male").alias("male"),
-            F.count_if(F.col("sex") == "Female").alias("female"),
-            F.count_if(F.col("sex") == "Unknown").alias("unknown"),
+            F.count_if(F.col("sex") == 2).alias("male"),
+            F.count_if(F.col("sex") == 1).alias("female"),
+            F.count_if(F.col("sex") == 0).alias("unknown"),
             _count().alias("total"),
         )
     )

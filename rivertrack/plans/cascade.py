@@ -1,8 +1,8 @@
 """The cleaning cascade over the union of fixed, mobile and tagging rows.
 
-Without long tags the whole chain is one shuffle by tag: every window partitions by it. With
-long tags (see ``timeline.slice_hot_tags``) each step runs on slices, and the table is written
-to the checkpoint folder between steps.
+For short tags the whole chain is one shuffle by tag: every window partitions by it. Long tags
+(see ``timeline.slice_hot_tags``) go through the same steps on slices, and only their rows are
+written to the checkpoint folder between steps.
 """
 
 from functools import reduce
@@ -20,7 +20,14 @@ from rivertrack.operators.cleaning import (
 from rivertrack.operators.lookups import stations, tagging_events
 from rivertrack.operators.rules import exclude
 from rivertrack.operators.speed import speed_filter
-from rivertrack.operators.timeline import settle, slice_hot_tags, unslice
+from rivertrack.operators.timeline import (
+    SLICE,
+    hot_rows,
+    is_sliced,
+    settle,
+    slice_hot_tags,
+    unslice,
+)
 from rivertrack.schema import conform
 
 # order of the sources within one instant of one tag
@@ -55,20 +62,28 @@ def cleaning_cascade(
     remove_impossible: bool = False,
     max_distance: float = K.MAX_DISTANCE_RKM,
     max_rate: float = K.MAX_RATE_RKM_PER_DAY,
-    rows_per_slice: int = 2_000_000,
+    rows_per_slice: int | None = 2_000_000,
 ) -> DataFrame:
     """Gap gate and lost-tag flag, early rules, terminal zones in turn, late rules, movement
     rates, strongest mobile row per day. The late rules are the hand-made form of removing
     impossible moves; ``remove_impossible`` runs the described procedure as well."""
-    out = slice_hot_tags(det, rows_per_slice)
-    out = settle(gap_gate(out, min_gap, lost_gap, lost_tolerance))
-    if early_rules is not None:
-        out = exclude(out, early_rules)
-    for zone in zones:
-        out = settle(terminal_zone_lock(out, zone))
-    if late_rules is not None:
-        out = exclude(out, late_rules)
-    if remove_impossible:
-        out = settle(speed_filter(out, max_distance, max_rate))
-    out = settle(movement_rates(out))
-    return unslice(strongest_mobile(out, clustered=True))
+
+    def chain(out: DataFrame) -> DataFrame:
+        out = settle(gap_gate(out, min_gap, lost_gap, lost_tolerance))
+        if early_rules is not None:
+            out = exclude(out, early_rules)
+        for zone in zones:
+            out = settle(terminal_zone_lock(out, zone))
+        if late_rules is not None:
+            out = exclude(out, late_rules)
+        if remove_impossible:
+            out = settle(speed_filter(out, max_distance, max_rate))
+        out = settle(movement_rates(out))
+        return unslice(strongest_mobile(out, clustered=True))
+
+    rows = det if rows_per_slice is None else slice_hot_tags(det, rows_per_slice)
+    if not is_sliced(rows):
+        return chain(rows)
+    # tags are independent: the short ones stay one shuffle, only the long ones are written
+    short = unslice(rows.where(F.col(SLICE).isNull()))
+    return chain(short).unionByName(chain(settle(hot_rows(rows))))

@@ -12,21 +12,28 @@ from rivertrack.sources.files import FILE_ORDER
 from rivertrack.sources.receivers import scan_receiver
 
 
+# seq of a station's rows begins at its place in the list times this
+STATION_SHIFT = 1 << 56
+
+
 def fixed_raw(
-    spark: SparkSession, directories: list, station_of: dict | None = None
+    spark: SparkSession, directories: list[str], station_of: dict[str, str] | None = None
 ) -> DataFrame:
-    """Union of the stations' downloads: first row per (tag, second) in file order, from the
-    deployment's first day. ``station_of`` maps a directory to the station all its rows are."""
+    """Downloads of the stations, one directory each: first row per (tag, second) in file order,
+    from the deployment's first day. Stations keep their order in the list where two hear a tag
+    in the same second. ``station_of`` maps a directory to the station all its rows are."""
     station_of = station_of or {}
-    plain = [d for d in directories if d not in station_of]
-    scans = [scan_receiver(spark, plain, deploy_start=K.DEPLOY_START)] if plain else []
-    scans += [
-        scan_receiver(spark, d, station=s, deploy_start=K.DEPLOY_START)
-        for d, s in station_of.items()
-    ]
+    scans = []
+    for i, directory in enumerate(directories):
+        rows = scan_receiver(
+            spark, directory, station=station_of.get(directory), deploy_start=K.DEPLOY_START
+        )
+        scans.append(rows.withColumn("_place", F.lit(min(i, 15))))
     rows = reduce(DataFrame.unionByName, scans)
-    # one directory per station: two stations may hear the same tag in one second
-    return dedup_keep_first(rows, by=("src_dir", "tag", "ts"), order=FILE_ORDER)
+    first = dedup_keep_first(rows, by=("_place", "tag", "ts"), order=FILE_ORDER)
+    return first.withColumn("seq", F.col("seq") + F.col("_place") * F.lit(STATION_SHIFT)).drop(
+        "_place"
+    )
 
 
 def fixed_detections(raw: DataFrame, study_start: str = K.STUDY_START, stations=None) -> DataFrame:

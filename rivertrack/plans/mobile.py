@@ -7,6 +7,7 @@ from rivertrack.functions.keys import tag_key
 from rivertrack.operators.cleaning import dedup_keep_first
 from rivertrack.operators.lookups import after_tagging, channel_frequency
 from rivertrack.operators.spatial import nearest_reference_point, project_utm
+from rivertrack.sources.files import FILE_ORDER
 
 
 def mobile_raw(srx: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def mobile_raw(srx: DataFrame) -> DataFrame:
     )
 
 
-def mobile_initial(raw: DataFrame, tags: DataFrame, order=("seq",)) -> DataFrame:
+def mobile_initial(raw: DataFrame, tags: DataFrame, order=FILE_ORDER) -> DataFrame:
     """Known tags, after tagging, with a position, first row per (tag, time)."""
     known = after_tagging(raw, tags).where(F.col("lat").isNotNull())
     return dedup_keep_first(known, by=("tag", "ts"), order=order)
@@ -29,6 +30,6 @@ def mobile_rkm(initial: DataFrame, points: DataFrame, id_col: str = "seq") -> Da
 
 
 def mobile_pipeline(
-    raw: DataFrame, tags: DataFrame, points: DataFrame, order=("seq",)
+    raw: DataFrame, tags: DataFrame, points: DataFrame, order=FILE_ORDER
 ) -> DataFrame:
     return mobile_rkm(mobile_initial(raw, tags, order), points)

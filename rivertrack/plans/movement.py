@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivertrack import constants as K
+from rivertrack.functions.times import micros
 from rivertrack.operators import arrivals, reports
 
 
@@ -41,14 +42,15 @@ def spawner_fate(det: DataFrame, where: dict[str, Column] | None = None) -> Data
     last one in the lake system, its first in each terminal river, in that order of claim."""
     where = where or sections()
     lake_system = where["morice_lake"] | where["nanika"] | where["atna"]
-    rows = present(det)
-    return arrivals.priority_union(
+    return arrivals.first_claim(
+        present(det),
         [
-            ("upper_bulkley", arrivals.first_per_tag(rows.where(where["upper_bulkley"]))),
-            ("morice_system", arrivals.last_detection_ties(rows.where(lake_system))),
-            ("atna", arrivals.first_per_tag(rows.where(where["atna"]))),
-            ("nanika", arrivals.first_per_tag(rows.where(where["nanika"]))),
-        ]
+            ("upper_bulkley", where["upper_bulkley"], "first"),
+            ("morice_system", lake_system, "last"),
+            ("atna", where["atna"], "first"),
+            ("nanika", where["nanika"], "first"),
+        ],
+        micros("ts"),
     )
 
 

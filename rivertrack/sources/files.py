@@ -16,7 +16,6 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("src_path"),
-        F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1).alias("src_dir"),
         F.col("_metadata.file_name").alias("src_file"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.monotonically_increasing_id().alias("seq"),
@@ -27,20 +26,28 @@ FILE_ORDER = ("src_path", "src_block", "seq")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line``, the 1-based line number in the file: the number within the split plus the
-    lines of the file's earlier splits. Splits bound the groups, whatever the file's size."""
+    """Add ``line``, the 1-based line number in the file: the place within the split plus the
+    lines of the file's earlier splits.
+
+    The lines are first written to the checkpoint folder, as two scans of the same files need
+    not be split alike. ``seq`` has no gaps within a split, so the only further work is one
+    aggregation per split and a join with its result."""
+    shared_dir(lines.sparkSession)
+    lines = lines.checkpoint()
     split = ["src_path", "src_block"]
-    sizes = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = lines.groupBy(*split).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
+    )
     earlier = Window.partitionBy("src_path").orderBy("src_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    before = sizes.select(*split, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*split).orderBy("seq"))
+    start = sizes.select(
+        *split, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_at")
+    )
     return (
-        lines.withColumn("_within", within)
-        .join(before, split)
-        .withColumn("line", F.col("_before") + F.col("_within"))
-        .drop("_before", "_within")
+        lines.join(start, split)
+        .withColumn("line", F.col("seq") + F.col("_at"))
+        .drop("_at")
     )
 
 
@@ -83,9 +90,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Write a report as CSV with a header, no row-name column, and NA for NULL."""
+    df.write.mode("overwrite").options(header=True, nullValue="NA").csv(path)
+
+
 def write_stage(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     """Write a stage table (no row-name column) and return it as read back: later steps start
-    from the files, so a lost executor costs a re-read and not the steps before."""
+    from the files, so a lost executor costs a re-read and not the steps before. Partitioned
+    by ``date``, later date filters read only their days."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

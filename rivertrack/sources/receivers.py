@@ -73,7 +73,7 @@ def scan_receiver(
 def receiver_quarantine(spark: SparkSession, paths) -> DataFrame:
     """The lines ``scan_receiver`` rejects, as read."""
     rows = parse_receiver(read_lines(spark, paths)).where(~_parsed())
-    return rows.select("value", "src_path", "src_dir", "src_file", "src_block", "seq")
+    return rows.select("value", "src_path", "src_file", "src_block", "seq")
 
 
 def _srx_lines(spark: SparkSession, paths) -> DataFrame:
@@ -122,6 +122,5 @@ def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame
         .withColumns(
             {"hour": F.hour("ts"), "station": F.substring("src_file", 1, SRX_STATION_CHARS)}
         )
-        .drop("value", "seq")
-        .withColumnRenamed("line", "seq")
+        .drop("value")
     )

@@ -506,13 +506,14 @@ def history_panel(spark, sf):
 @query
 def cleaning_cascade(spark, sf):
     out = cascade.cleaning_cascade(
-        _after_tagging(spark, sf),
+        lookups.after_tagging(B.timelines(spark, sf), B.tags(spark, sf)),
         early_rules=_rules(spark).where(F.col("station").isNotNull()),
         late_rules=_rules(spark).where(F.col("station").isNull()),
         zones=(Z1, Z2),
         min_gap=B.MIN_GAP,
         lost_gap=B.LOST_GAP,
         lost_tolerance=B.LOST_TOLERANCE,
+        rows_per_slice=None,
     )
     return out.select(
         "tag", "ts", "seq", "zone", "method", "rkm", "distance", "lag_days", "rate", "power"
@@ -551,7 +552,7 @@ def mobile_pipeline(spark, sf):
     tag_table = B.tags(spark, sf)
     freq = F.when(F.col("tag") % 2 == 0, "149.500").otherwise("149.320")
     keyed = tag_table.withColumn("tag", tag_key(freq.cast("decimal(6,3)"), "tag"))
-    out = mobile.mobile_pipeline(mobile.mobile_raw(srx), keyed, points)
+    out = mobile.mobile_pipeline(mobile.mobile_raw(srx), keyed, points, order=("seq",))
     return out.select(
         "tag", "ts", "seq", "idx", "rkm", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"),
         F.round("dist", 3).alias("dist"),

@@ -43,6 +43,10 @@ def downloads(tmp_path_factory):
     return str(root)
 
 
+def _directories(root):
+    return [f"{root}/Station4", f"{root}/Station6"], {f"{root}/Station6": "6"}
+
+
 @pytest.fixture(params=["whole files", "small splits"])
 def splits(spark, request):
     if request.param == "small splits":
@@ -76,16 +80,19 @@ def test_receiver_quarantine(spark, rows, downloads):
 
 
 def test_fixed_raw_keeps_first_in_file_order(spark, rows, downloads, splits):
-    raw = fixed_raw(spark, [f"{downloads}/Station4"], {f"{downloads}/Station6": "6"})
+    raw = fixed_raw(spark, *_directories(downloads))
     got = rows(raw, "station", "tag", "ts", "power")
     at = datetime(2024, 9, 10, 13, 18, 41)
     assert ("4", "149.500 005", at, -73) in got
     assert ("6", "149.500 005", at, -99) in got  # one directory does not hide another
     assert len(got) == 6  # 2023-07-03 lies before the deployment
+    assert raw.select("seq").distinct().count() == 6
+    four, six = (r.seq for r in raw.where("code = 5 AND year(ts) = 2024").orderBy("seq").collect())
+    assert raw.where(F.col("seq") == four).first().station == "4"
 
 
 def test_fixed_pipeline(spark, rows, downloads):
-    raw = fixed_raw(spark, [f"{downloads}/Station4"], {f"{downloads}/Station6": "6"})
+    raw = fixed_raw(spark, *_directories(downloads))
     kept = fixed_detections(raw)
     assert sorted(r[0] for r in rows(kept, "tag")) == [
         "149.320 196",
@@ -175,6 +182,12 @@ def test_read_csv_tokens(spark, rows, tmp_path):
     )
 
 
+def test_write_csv(spark, rows, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i INT, s STRING")
+    files.write_csv(df, str(tmp_path / "out"))
+    assert rows(files.read_csv(spark, str(tmp_path / "out"), "i INT, s STRING")) == rows(df)
+
+
 def test_stage_roundtrip(spark, rows):
     df = spark.createDataFrame(
         [(1, date(2024, 1, 1), "a"), (2, date(2024, 1, 2), None)], "i INT, d DATE, s STRING"
