@@ -99,6 +99,16 @@ PANELS_PER_PAGE = 9
 PANEL_RKM_RANGE = (-5.0, 250.0)
 LAKE_ZONE, LAKE_RKM = "Morice Lake", 201.0
 FALLBACK_RKM = -0.7
+# (zone, label)
+HISTORY_LOCATIONS = [
+    ("Tagging", "Tagging"),
+    ("Bulkley River", "Bulkley River"),
+    ("Upper Bulkley River", "Upper Bulkley\nRiver"),
+    ("Morice River", "Morice River"),
+    ("Atna River", "Atna River"),
+    ("Morice Lake", "Morice Lake"),
+    ("Nanika River", "Nanika River"),
+]
 
 # --- fixed values: length histogram -------------------------------------------------------
 HISTOGRAM_RANGE = (46.0, 66.0)

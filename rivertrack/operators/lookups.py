@@ -8,6 +8,7 @@ from rivertrack import constants as K
 from rivertrack.functions.keys import tag_key
 from rivertrack.functions.times import parse_date, parse_ts
 from rivertrack.operators.cleaning import dedup_keep_first
+from rivertrack.operators.timeline import SLICE, hot_rows, is_sliced
 from rivertrack.schema import fixed_table
 
 
@@ -59,11 +60,29 @@ def reject_error_records(
     return df.where(good), df.where(~good)
 
 
-def detection_tag_join(det: DataFrame, tags: DataFrame) -> DataFrame:
+def detection_tag_join(det: DataFrame, tags: DataFrame, salts: int = 64) -> DataFrame:
     """Detections of known tags, with tagging time, sex and length. Several rows per tag in
-    either table are allowed. Not hinted: the tag table grows with the study, so Catalyst
-    broadcasts it only when its size permits and otherwise splits skewed tags at run time."""
-    return det.join(tags, "tag", "left").where(F.col("tag_ts").isNotNull())
+    either table are allowed.
+
+    Not hinted: the tag table grows with the study, so Catalyst broadcasts it only when its size
+    permits and otherwise splits skewed tags at run time. On sliced detections the long tags are
+    known, and their join is spread over ``salts`` keys: their few tag rows are repeated."""
+    if not is_sliced(det):
+        return det.join(tags, "tag", "left").where(F.col("tag_ts").isNotNull())
+    long_tags = F.broadcast(hot_rows(det).select("tag").distinct().withColumn("_long", F.lit(True)))
+    spread = F.when(F.col("_long"), F.sequence(F.lit(0), F.lit(salts - 1)))
+    tags = (
+        tags.join(long_tags, "tag", "left")
+        .withColumn("_salt", F.explode(F.coalesce(spread, F.array(F.lit(0)))))
+        .drop("_long")
+    )
+    salt = F.when(F.col(SLICE).isNotNull(), F.pmod(F.hash(SLICE), F.lit(salts))).otherwise(0)
+    return (
+        det.withColumn("_salt", salt)
+        .join(tags, ["tag", "_salt"], "left")
+        .drop("_salt")
+        .where(F.col("tag_ts").isNotNull())
+    )
 
 
 def after_tagging(det: DataFrame, tags: DataFrame) -> DataFrame:
@@ -148,9 +167,9 @@ def tags_2023(raw: DataFrame) -> DataFrame:
 
 
 def tagging_events(tags: DataFrame) -> DataFrame:
-    """Each tagging as a synthetic detection at rkm 0."""
+    """Each tagging with a known time as a synthetic detection at rkm 0."""
     label = F.lit("Tagging")
-    return tags.withColumns(
+    return tags.where(F.col("tag_ts").isNotNull()).withColumns(
         {
             "ts": F.col("tag_ts"),
             "date": F.col("tag_ts").cast("date"),

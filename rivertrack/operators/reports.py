@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivertrack import constants as K
-from rivertrack.operators.lookups import after_tagging, sex_label
+from rivertrack.operators.lookups import after_tagging, first_match, sex_label
 
 
 def _count() -> Column:
@@ -94,13 +94,14 @@ def length_histogram(
     value: str = "fork_length",
     width: float = K.HISTOGRAM_BIN,
     limits: tuple[float, float] | None = K.HISTOGRAM_RANGE,
+    centre: float = 0.0,
 ) -> DataFrame:
-    """Counts per group and bin; bins are right-closed and centred on multiples of ``width``.
-    Values outside ``limits`` are left out; empty bins have no row."""
+    """Counts per group and bin; bins are right-closed, one of them centred on ``centre``. Values
+    outside ``limits`` are left out; empty bins have no row."""
     x = F.col(value)
     rows = tags.where(x.between(*limits)) if limits else tags.where(x.isNotNull())
-    centre = (F.ceil(x / width - 0.5) * F.lit(width)).cast("double")
-    return rows.groupBy(sex_label(group).alias(group), centre.alias("bin")).agg(
+    middle = (F.ceil((x - centre) / width - 0.5) * F.lit(width) + centre).cast("double")
+    return rows.groupBy(sex_label(group).alias(group), middle.alias("bin")).agg(
         _count().alias("n")
     )
 
@@ -250,5 +251,7 @@ def history_panel(
 
 
 def study_locations() -> Column:
-    """Location label of the study: the fallback station first, then the zone."""
-    return F.when(F.col("rkm") == K.FALLBACK_RKM, F.lit("Fallback")).otherwise(F.col("zone"))
+    """Location label of the study: the fallback station first, then the zone; NULL for a zone
+    that is not on the list."""
+    cases = [(F.col("rkm") == K.FALLBACK_RKM, "Fallback")]
+    return first_match(cases + [(F.col("zone") == z, label) for z, label in K.HISTORY_LOCATIONS])

@@ -25,29 +25,35 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
 FILE_ORDER = ("src_path", "src_block", "seq")
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line``, the 1-based line number in the file: the place within the split plus the
-    lines of the file's earlier splits.
-
-    The lines are first written to the checkpoint folder, as two scans of the same files need
-    not be split alike. ``seq`` has no gaps within a split, so the only further work is one
-    aggregation per split and a join with its result."""
+def settle_lines(lines: DataFrame) -> DataFrame:
+    """Lines written to the checkpoint folder. Line numbers take two passes, and two scans of
+    the same files need not be split alike."""
     shared_dir(lines.sparkSession)
-    lines = lines.checkpoint()
-    split = ["src_path", "src_block"]
-    sizes = lines.groupBy(*split).agg(
+    return lines.checkpoint()
+
+
+def split_starts(settled: DataFrame) -> DataFrame:
+    """Per split of settled lines: ``first_line``, what to add to ``seq`` to get the 1-based line
+    number in the file. ``seq`` has no gaps within a split, so the lines of the file's earlier
+    splits are all there is to know: one aggregation, whatever the size of a file."""
+    sizes = settled.groupBy("src_path", "src_block").agg(
         F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
     )
-    earlier = Window.partitionBy("src_path").orderBy("src_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    start = sizes.select(
-        *split, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_at")
+    earlier = (
+        Window.partitionBy("src_path")
+        .orderBy("src_block")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    return sizes.select("src_path", "src_block", (before + 1 - F.col("_first")).alias("first_line"))
+
+
+def number_lines(settled: DataFrame, starts: DataFrame) -> DataFrame:
+    """Add ``line`` to settled lines. The join is on splits, so no file is one group."""
     return (
-        lines.join(start, split)
-        .withColumn("line", F.col("seq") + F.col("_at"))
-        .drop("_at")
+        settled.join(starts, ["src_path", "src_block"])
+        .withColumn("line", F.col("seq") + F.col("first_line"))
+        .drop("first_line")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rivertrack import constants as K
 from rivertrack.functions.keys import tag_key
 from rivertrack.functions.times import parse_date, parse_ts
-from rivertrack.sources.files import number_lines, read_lines
+from rivertrack.sources.files import number_lines, read_lines, settle_lines, split_starts
 
 # fixed values: the line that precedes an SRX file's records, and how many lines follow it
 SRX_MARKER = "ID Only Records"
@@ -77,16 +77,18 @@ def receiver_quarantine(spark: SparkSession, paths) -> DataFrame:
 
 
 def _srx_lines(spark: SparkSession, paths) -> DataFrame:
-    lines = number_lines(read_lines(spark, paths))
+    """The lines of each file from the third after its first marker on."""
+    lines = settle_lines(read_lines(spark, paths))
+    starts = split_starts(lines)
     marker = (
-        lines.where(F.col("value").contains(SRX_MARKER))
+        number_lines(lines.where(F.col("value").contains(SRX_MARKER)), starts)
         .groupBy("src_path")
         .agg(F.min("line").alias("_marker"))
     )
-    return (
-        lines.join(marker, "src_path")
-        .where(F.col("line") > F.col("_marker") + SRX_LINES_AFTER_MARKER)
-        .drop("_marker")
+    # joined to the splits first, so that the lines are joined once and by split
+    numbered = number_lines(lines, starts.join(marker, "src_path"))
+    return numbered.where(F.col("line") > F.col("_marker") + SRX_LINES_AFTER_MARKER).drop(
+        "_marker"
     )
 
 

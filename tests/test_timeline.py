@@ -6,6 +6,7 @@ import tracks
 from pyspark.sql import functions as F
 
 from rivertrack.operators import cleaning, speed
+from rivertrack.operators.lookups import detection_tag_join
 from rivertrack.operators.timeline import SLICE, hot_rows, is_sliced, previous, slice_hot_tags
 from rivertrack.plans.cascade import cleaning_cascade
 
@@ -184,6 +185,16 @@ def test_input_order_does_not_matter(spark, rows, data):
     assert rows(cleaning_cascade(one)) == rows(cleaning_cascade(other))
 
 
+def test_salted_tag_join_equals_plain(spark, rows, det, sliced):
+    tags = spark.createDataFrame(
+        [(f"149.500 {i:03d}", tracks.START, s) for i in range(1, 5) for s in "ab"[: 1 + i % 2]],
+        "tag STRING, tag_ts TIMESTAMP_NTZ, sex STRING",
+    )
+    plain = detection_tag_join(det.drop("tag_ts"), tags)
+    cut = detection_tag_join(sliced.drop("tag_ts"), tags, salts=5)
+    assert rows(cut, *plain.columns) == rows(plain)
+
+
 def test_whole_cascade_is_one_shuffle(det):
     plan = cleaning_cascade(det)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
