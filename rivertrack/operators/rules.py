@@ -2,7 +2,7 @@
 
 import csv
 from datetime import datetime
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ RULES = (
     "step STRING, tag STRING, station STRING, rkm DOUBLE, methods ARRAY<STRING>, "
     "ts_from TIMESTAMP_NTZ, ts_to TIMESTAMP_NTZ"
 )
-_FILE = Path(__file__).parent.parent / "data" / "exclusion_rules.csv"
+_FILE = files("rivertrack") / "data" / "exclusion_rules.csv"
 
 
 def study_rules(spark: SparkSession, *steps: str) -> DataFrame:
@@ -23,20 +23,20 @@ def study_rules(spark: SparkSession, *steps: str) -> DataFrame:
     def when(text):
         return datetime.fromisoformat(text) if text else None
 
-    with open(_FILE, newline="", encoding="utf-8") as f:
-        rows = [
-            (
-                r["step"],
-                r["tag"],
-                r["station"] or None,
-                float(r["rkm"]) if r["rkm"] else None,
-                r["methods"].split("|") if r["methods"] else None,
-                when(r["ts_from"]),
-                when(r["ts_to"]),
-            )
-            for r in csv.DictReader(f)
-            if not steps or r["step"] in steps
-        ]
+    lines = [x for x in _FILE.read_text("utf-8").splitlines() if not x.startswith("#")]
+    rows = [
+        (
+            r["step"],
+            r["tag"],
+            r["station"] or None,
+            float(r["rkm"]) if r["rkm"] else None,
+            r["methods"].split("|") if r["methods"] else None,
+            when(r["ts_from"]),
+            when(r["ts_to"]),
+        )
+        for r in csv.DictReader(lines)
+        if not steps or r["step"] in steps
+    ]
     rules = fixed_table(spark, rows, RULES)
     return rules.withColumn("tag", normalise_key("tag"))
 

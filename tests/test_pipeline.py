@@ -11,6 +11,7 @@ from rivertrack.operators.lookups import tags_2024
 from rivertrack.operators.rules import study_rules
 from rivertrack.operators.spatial import project_utm
 from rivertrack.plans import cascade, fixed, mobile, movement
+from rivertrack.plans.study import Inputs, run_study
 from rivertrack.schema import DETECTIONS, TAG_METADATA_2024, conform
 from rivertrack.sources import files, receivers
 
@@ -141,3 +142,38 @@ def test_report(tables, rows):
     presence = {r.section: r for r in report["zone_presence_counts"].collect()}
     assert (presence["bulkley"].male, presence["bulkley"].female) == (1, 1)
     assert (presence["nanika"].female, presence["nanika"].total) == (1, 1)
+
+
+def test_whole_study(spark, study, tables, rows, tmp_path):
+    points = str(tmp_path / "points")
+    project_utm(
+        spark.createDataFrame(
+            [(1, -127.40, 54.10, 203.0, "Morice Lake"), (2, -127.0, 54.0, 150.0, "Morice River")],
+            "idx BIGINT, long DOUBLE, lat DOUBLE, rkm DOUBLE, zone STRING",
+        )
+    ).select("idx", "x", "y", "rkm", "zone").write.parquet(points)
+    dirs = [str(study / s) for s in ("Station1", "Station2", "Station4", "Station6")]
+    out = str(tmp_path / "out")
+    stages = run_study(
+        spark,
+        Inputs(
+            str(study / "tags.csv"), dirs, str(study / "Mobile"), points, {dirs[-1]: "6"}
+        ),
+        out,
+    )
+    columns = ["tag", "ts", "station", "method", "rkm", "power"]
+    assert rows(stages["detections_clean"], *columns) == rows(tables["clean"], *columns)
+    rates = files.read_csv(
+        spark, f"{out}/report/false_positive_rate", "station STRING, raw INT, kept INT"
+    )
+    assert rows(rates) == [("1", 5, 3), ("2", 2, 2), ("4", 2, 2), ("6", 2, 2)]
+    assert stages["unknown_stations"].count() == 0
+    assert stages["survey_maps"].where("extent = 'Study area'").count() == 1
+    moves = files.read_csv(spark, f"{out}/report/impossible_moves", "tag STRING")
+    assert moves.count() == 0
+    history = stages["detection_history"]
+    assert {(r.tag, r.page, r.panel) for r in history.select("tag", "page", "panel").collect()} == {
+        ("149.500 007", 1, 1),
+        ("149.500 008", 1, 2),
+        ("149.500 019", 1, 3),
+    }
