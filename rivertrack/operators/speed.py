@@ -14,7 +14,14 @@ from pyspark.sql import types as T
 from rivertrack import constants as K
 from rivertrack.functions.times import MICROS_PER_DAY, micros
 from rivertrack.operators.cleaning import is_impossible
-from rivertrack.operators.timeline import SLICE, hot_rows, is_sliced, timeline, timeline_keys
+from rivertrack.operators.timeline import (
+    SLICE,
+    hot_rows,
+    is_sliced,
+    settle,
+    timeline,
+    timeline_keys,
+)
 from rivertrack.schema import fixed_table
 
 _HELPERS = ["_us", "_first", "_bad", "_start_us", "_start_rkm"]
@@ -140,7 +147,8 @@ def speed_filter(
         folded = _fold(_fresh(df), max_distance, max_rate)
         return folded.select(*df.columns)
 
-    hot = hot_rows(df)
+    short = _fold(_fresh(df.where(F.col(SLICE).isNull())), max_distance, max_rate)
+    hot = settle(hot_rows(df))  # read once per round
     known: dict[tuple, dict] = {}  # (tag, slice) -> {start: end}
     for key, end in _ends(_fold(_fresh(hot), max_distance, max_rate)).items():
         known[key] = {None: end}
@@ -165,5 +173,5 @@ def speed_filter(
             # a slice that keeps nothing passes its start on
             known[key][start] = ends.get(key, start)
     given = [(*k, *s) for k, s in starts.items() if s is not None]
-    folded = _fold(_with_starts(df, given, "left"), max_distance, max_rate)
-    return folded.select(*df.columns)
+    long = _fold(_with_starts(hot, given, "left"), max_distance, max_rate)
+    return short.select(*df.columns).unionByName(long.select(*df.columns))

@@ -104,9 +104,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_stage(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     """Write a stage table (no row-name column) and return it as read back: later steps start
     from the files, so a lost executor costs a re-read and not the steps before. Partitioned
-    by ``date``, later date filters read only their days."""
-    writer = df.write.mode("overwrite")
+    by ``date``, later date filters read only their days; rows are brought together by day for
+    that, big days in several files, so that not every task writes a file per day."""
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        even = df.hint("rebalance", *partition_by)
+        even.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

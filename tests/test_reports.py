@@ -8,6 +8,7 @@ import pytest
 import tracks
 from pyspark.sql import functions as F
 
+from rivertrack.functions.times import micros
 from rivertrack.operators import arrivals, reports
 from rivertrack.plans import movement
 from rivertrack.plans.cascade import cleaning_cascade, unified_timeline, with_station_positions
@@ -201,6 +202,25 @@ def test_priority_union_fills_and_ranks(spark, rows):
     assert got == [("a", "one", None), ("b", "two", 6.0)]
 
 
+def test_first_claim_equals_priority_union(det, rows):
+    a, b = F.col("rkm") > 210, F.col("zone").isin("Morice Lake", "Atna River")
+    c, d = F.col("zone") == "Atna River", F.col("station") == "1"
+    first = arrivals.first_per_tag
+    want = arrivals.priority_union(
+        [
+            ("a", first(det.where(a))),
+            ("b", first(arrivals.last_detection_ties(det.where(b)), ("seq",))),
+            ("c", first(det.where(c))),
+            ("d", first(det.where(d))),
+        ]
+    )
+    got = arrivals.first_claim(
+        det, [("a", a, "first"), ("b", b, "last"), ("c", c, "first"), ("d", d, "first")], micros("ts")
+    )
+    assert {r.source for r in got.collect()} >= {"a", "b"}
+    assert rows(got, *want.columns) == rows(want)
+
+
 def test_movement_report_runs(det, tags):
     report = movement.movement_report(det, tags)
     assert {name: df.count() >= 0 for name, df in report.items()} == dict.fromkeys(report, True)
