@@ -65,6 +65,8 @@ def slice_hot_tags(
     long_tags = over_limit(known.groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
     if not long_tags:
         return df
+    # so that all slices together stay within a small multiple of max_cuts
+    rows_per_slice = max(rows_per_slice, -(-sum(r.n for r in long_tags) // max_cuts))
 
     tag_table = T.StructType([T.StructField("tag", tag_type)])
     long_table = F.broadcast(fixed_table(spark, [(r.tag,) for r in long_tags], tag_table))
@@ -91,6 +93,8 @@ def slice_hot_tags(
             )
         )
         if not too_full:
+            if level == 0:
+                return df
             break
         cuts = []
         for r in too_full:

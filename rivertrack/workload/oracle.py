@@ -181,6 +181,22 @@ def _utm(long, lat, prefix, source):
          500000.0 + {k!r} * (eta + {east}) AS x, {k!r} * (xi + {north}) AS y FROM {prefix}_c)"""
 
 
+PLACED = """placed AS (
+  SELECT *, -127.0 - rkm / 100.0 + (power - 100.0) / 10000.0 AS long,
+         54.0 + rkm / 100.0 - (power - 100.0) / 10000.0 AS lat FROM det)"""
+EXTENTS = """extents(extent, x0, x1, y0, y1) AS (VALUES
+  ('Study area', 580000.0::DOUBLE, 660000.0::DOUBLE, 5950000.0::DOUBLE, 6120000.0::DOUBLE),
+  ('Study area zoom', 575000, 590000, 5965000, 5990000),
+  ('Atna Lake', 576500, 583500, 5984000, 5991000),
+  ('SW Morice Lake', 576500, 584000, 5966000, 5973500),
+  ('Nanika River', 598500, 603500, 5976000, 5981000),
+  ('Morice-Bulkley Confluence, September 22', 638000, 653000, 6023380, 6038380),
+  ('Morice-Bulkley Confluence, September 26', 645000, 660000, 6023380, 6038380),
+  ('SW Morice Lake, October 4', 575500, 589000, 5963000, 5976500),
+  ('Bulkley River', 605700, 655000, 6020000, 6100900),
+  ('Morice River', 603000, 655000, 5998000, 6031000),
+  ('Morice Lake', 575000, 607000, 5962000, 5999000))"""
+
 VEC = """vec AS (
   SELECT vec_id AS det_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
          label FROM embeddings)"""
@@ -377,6 +393,16 @@ FROM m""",
   ('centre', -0.05, 0.05, -0.05, 0.05), ('north', -0.2, 0.2, 0.05, 0.4),
   ('south west', -0.4, 0.0, -0.4, 0.0))
 SELECT det_id, x, y, extent FROM vec JOIN boxes ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
+    "survey_map": f"""WITH {DET}, {PLACED}, {EXTENTS}, m AS (
+  SELECT *, dense_rank() OVER (ORDER BY date) AS survey FROM placed WHERE method = 'Mobile'),
+{_utm("long", "lat", "p", "m")}
+SELECT tag, seq, survey, extent, round(x, 2) AS x, round(y, 2) AS y
+FROM p_xy JOIN extents ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
+    "last_detection_map": f"""WITH {DET}, {PLACED}, {EXTENTS}, m AS (
+  SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY tag ORDER BY ts DESC, seq) = 1),
+{_utm("long", "lat", "p", "m")}
+SELECT tag, seq, extent, round(x, 2) AS x, round(y, 2) AS y
+FROM p_xy JOIN extents ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
     "vertex_attribute_join": """SELECT l_orderkey AS id, l_linenumber AS vertex,
        l_extendedprice AS long, l_quantity AS lat, o_orderpriority AS road_class
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -411,9 +437,7 @@ SELECT raw.tag, raw.ts, raw.seq, raw.station, s.zone, s.rkm, s.lat, s.long, 'Fix
 FROM raw LEFT JOIN stations s USING (station) JOIN tags ON tags.tag = raw.number
 WHERE raw.tag NOT IN ('149.500 212', '149.500 211') AND raw.date >= DATE '2024-01-04'
   AND raw.ts > tags.tag_ts""",
-    "mobile_pipeline": f"""WITH {DET}, {TAGS}, placed AS (
-  SELECT *, -127.0 - rkm / 100.0 + (power - 100.0) / 10000.0 AS long,
-         54.0 + rkm / 100.0 - (power - 100.0) / 10000.0 AS lat FROM det),
+    "mobile_pipeline": f"""WITH {DET}, {TAGS}, {PLACED},
 srx AS (
   SELECT tag AS code, ts, seq, long, lat,
          CASE WHEN rkm = 50 THEN NULL WHEN tag % 2 = 0 THEN '149.500 ' ELSE '149.320 ' END AS f

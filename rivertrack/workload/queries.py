@@ -17,7 +17,7 @@ QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_")] = fn
     return fn
 
 
@@ -288,16 +288,13 @@ def channel_to_freq(spark, sf):
 
 
 @query
-def tag_key_canonical(spark, sf):
+def tag_key_(spark, sf):
     det = B.detections(spark, sf)
     freq = B.frequency(F.col("tag")).cast("decimal(6,3)")
     known = F.when(F.col("rkm") != 50, F.col("tag"))
     return det.select("seq", tag_key(freq, known).alias("key"))
 
 
-QUERIES["tag_key"] = QUERIES.pop("tag_key_canonical")
-
-
 @query
 def tag_key_normalise(spark, sf):
     det = B.detections(spark, sf)
@@ -471,6 +468,25 @@ def bbox_membership(spark, sf):
     return spatial.bbox_membership(points, EXTENTS).select("det_id", "x", "y", "extent")
 
 
+@query
+def survey_map(spark, sf):
+    slices = spatial.survey_slices(B.positions(B.detections(spark, sf)))
+    out = spatial.bbox_membership(spatial.project_utm(slices))
+    return out.select(
+        "tag", "seq", F.col("survey").cast("bigint").alias("survey"), "extent",
+        F.round("x", 2).alias("x"), F.round("y", 2).alias("y"),
+    )
+
+
+@query
+def last_detection_map(spark, sf):
+    last = arrivals.last_detection(B.positions(B.detections(spark, sf)))
+    out = spatial.bbox_membership(spatial.project_utm(last))
+    return out.select(
+        "tag", "seq", "extent", F.round("x", 2).alias("x"), F.round("y", 2).alias("y")
+    )
+
+
 @query
 def jitter_points(spark, sf):
     points = B.embedding_points(spark, sf)
