@@ -30,24 +30,29 @@ _HELPERS = ["_us", "_first", "_bad", "_start_us", "_start_rkm"]
 def _fold(df: DataFrame, max_distance: float, max_rate: float) -> DataFrame:
     """Fold each (tag, slice), from (``_start_us``, ``_start_rkm``) where given."""
     w = timeline(df)
-    prev = F.lag(F.struct("_us", "rkm")).over(w)
     rows = (
-        df.withColumn("_us", micros("ts"))
-        .withColumn("_prev", prev)
-        .withColumn("_first", F.col("_prev").isNull())
+        # plain columns in the window, so that nothing extra is shuffled
+        df.withColumns(
+            {
+                "_prev_ts": F.lag("ts").over(w),
+                "_prev_rkm": F.lag("rkm").over(w),
+                "_first": F.row_number().over(w) == 1,
+            }
+        )
+        .withColumn("_us", micros("ts"))
         .withColumn(
             "_bad",
             F.coalesce(
                 is_impossible(
-                    F.abs(F.col("rkm") - F.col("_prev.rkm")),
-                    (F.col("_us") - F.col("_prev._us")) / float(MICROS_PER_DAY),
+                    F.abs(F.col("rkm") - F.col("_prev_rkm")),
+                    (F.col("_us") - micros("_prev_ts")) / float(MICROS_PER_DAY),
                     max_distance,
                     max_rate,
                 ),
                 F.lit(False),
             ),
         )
-        .drop("_prev")
+        .drop("_prev_ts", "_prev_rkm")
         # already the order the window leaves behind; stated, not relied on
         .sortWithinPartitions(*timeline_keys(df), "ts", "seq")
     )

@@ -136,26 +136,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def previous(df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
+def previous(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add, for each ``name: column``, that column's value in the tag's preceding row."""
-    values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in columns.items()}
-    row = F.struct(*[v.alias(n) for n, v in values.items()])
-    out = df.withColumn("_prev", F.lag(row).over(timeline(df)))
-    if is_sliced(df):
-        # last row of each slice, handed to the next slice of the tag that has rows
-        tails = (
-            hot_rows(df)
-            .groupBy("tag", SLICE)
-            .agg(F.max_by(row, F.struct("ts", "seq")).alias("_tail"))
-        )
-        carried = F.lag("_tail").over(Window.partitionBy("tag").orderBy(SLICE))
-        carry = F.broadcast(tails.withColumn("_carry", carried).drop("_tail"))
-        out = (
-            out.join(carry, ["tag", SLICE], "left")
-            .withColumn("_prev", F.coalesce("_prev", "_carry"))
-            .drop("_carry")
-        )
-    return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
+    w = timeline(df)
+    if not is_sliced(df):
+        # plain columns, so that nothing extra is shuffled
+        return df.withColumns({n: F.lag(c).over(w) for n, c in columns.items()})
+    row = F.struct(*columns.values())
+    # last row of each slice, handed to the next slice of the tag that has rows
+    tails = (
+        hot_rows(df)
+        .groupBy("tag", SLICE)
+        .agg(F.max_by(row, F.struct("ts", "seq")).alias("_tail"))
+    )
+    carried = F.lag("_tail").over(Window.partitionBy("tag").orderBy(SLICE))
+    carry = F.broadcast(tails.withColumn("_carry", carried).drop("_tail"))
+    out = (
+        df.withColumn("_prev", F.lag(row).over(w))
+        .join(carry, ["tag", SLICE], "left")
+        .withColumn("_prev", F.coalesce("_prev", "_carry"))
+    )
+    return out.select(
+        *df.columns, *[F.col(f"_prev.{c}").alias(n) for n, c in columns.items()]
+    )
 
 
 def first_where(df: DataFrame, condition: Column, name: str) -> DataFrame:
