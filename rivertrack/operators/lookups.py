@@ -151,7 +151,7 @@ def tags_2023(raw: DataFrame) -> DataFrame:
             F.concat(F.lit("149."), "freq").try_cast("decimal(6,3)"),
             F.col("code").try_cast("int"),
         ).alias("tag"),
-        "sex",
+        F.upper("sex").alias("sex"),
         F.col("forkLength").try_cast("double").alias("fork_length"),
     )
     recaptures = fixed_table(raw.sparkSession, K.RECAPTURES, "at STRING, written STRING")

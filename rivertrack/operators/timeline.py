@@ -167,9 +167,8 @@ def first_where(df: DataFrame, condition: Column, name: str) -> DataFrame:
     if not is_sliced(df):
         return df.withColumn(name, F.min(here).over(Window.partitionBy("tag")))
     # long tags: aggregate map-side first; at most one row per long tag comes back
-    first = (
-        hot_rows(df).where(condition).groupBy("tag").agg(F.min(F.struct("ts", "seq")).alias("_of_long"))
-    )
+    met = hot_rows(df).where(condition)
+    first = met.groupBy("tag").agg(F.min(F.struct("ts", "seq")).alias("_of_long"))
     short = F.min(here).over(Window.partitionBy("tag", SLICE))
     return (
         df.withColumn(name, short)

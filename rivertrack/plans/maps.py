@@ -7,7 +7,13 @@ from rivertrack import constants as K
 from rivertrack.functions.keys import normalise_key, pad_two_digit_code
 from rivertrack.operators.arrivals import last_detection
 from rivertrack.operators.reports import history_panel, study_locations
-from rivertrack.operators.spatial import bbox_membership, jitter_points, project_utm, survey_slices
+from rivertrack.operators.spatial import (
+    bbox_membership,
+    jitter_points,
+    project_utm,
+    survey_slices,
+    vertex_attribute_join,
+)
 from rivertrack.schema import FIXED_LOCATIONS, fixed_table
 from rivertrack.sources.files import read_csv
 
@@ -20,6 +26,22 @@ def fixed_station_points(spark, path) -> DataFrame:
     return project_utm(places)
 
 
+def map_streams(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Vertices of the larger streams."""
+    return vertex_attribute_join(vertices, attributes, F.col("STRMRDR") >= K.MIN_STREAM_ORDER)
+
+
+def map_roads(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Vertices of the main roads."""
+    main = F.col("ROAD_CLASS").isin(*K.MAP_ROAD_CLASSES)
+    return vertex_attribute_join(vertices, attributes, main)
+
+
+def map_lakes(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Vertices of the named lakes."""
+    return vertex_attribute_join(vertices, attributes, F.col("GNSNM1").isNotNull())
+
+
 def survey_maps(det: DataFrame, dates=tuple(K.SURVEY_DATES), jitter: float = 500.0) -> DataFrame:
     """Mobile rows by survey day and map extent, projected and jittered."""
     points = bbox_membership(project_utm(survey_slices(det, dates)))

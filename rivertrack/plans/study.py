@@ -81,7 +81,8 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
         union, study_rules(spark, "early"), study_rules(spark, "lost_tag", "odd")
     )
     clean = stage("detections_clean", clean, ["date"])
-    report("impossible_moves", cleaning.impossible_moves(clean.drop("distance", "lag_days", "rate")))
+    bare = clean.drop("distance", "lag_days", "rate")
+    report("impossible_moves", cleaning.impossible_moves(bare))
     report("lake_outlet_tags", reports.count_by(clean.where(F.col("rkm") == K.LAKE_RKM), "tag"))
 
     # histories, maps, movement

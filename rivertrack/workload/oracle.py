@@ -376,7 +376,8 @@ c AS (
          count(DISTINCT tag) AS at_or_upstream
   FROM st LEFT JOIN det ON rkm >= r AND (z IS NULL OR zone = z) GROUP BY 1)
 SELECT *, round(at_station / at_or_upstream::DOUBLE * 100, 6) AS efficiency FROM c""",
-    "project_utm": f"""WITH {VEC}, p AS (SELECT det_id, -127.0 + x AS long, 54.5 + y AS lat FROM vec),
+    "project_utm": f"""WITH {VEC},
+p AS (SELECT det_id, -127.0 + x AS long, 54.5 + y AS lat FROM vec),
 {_utm("long", "lat", "p", "p")} SELECT det_id, round(x, 2) AS x, round(y, 2) AS y FROM p_xy""",
     "nearest_reference_point": f"""WITH {VEC}, pts AS (
   SELECT label AS zone_label, det_id AS idx, x AS px, y AS py FROM vec

@@ -34,12 +34,18 @@ def study(tmp_path_factory):
             record("2024-07-11", "10:00:00", 1, 19),  # before tagging
             record("2024-07-13", "10:00:00", 1, 150),  # unknown tag
         ],
-        "Station2": [record("2024-07-14", "22:00:00", 2, 19), record("2024-07-20", "00:00:00", 2, 7)],
+        "Station2": [
+            record("2024-07-14", "22:00:00", 2, 19),
+            record("2024-07-20", "00:00:00", 2, 7),
+        ],
         "Station4": [
             record("2024-07-30", "12:00:00", 4, 7),
             record("2024-07-30", "12:01:00", 4, 7),
         ],
-        "Station6": [record("2024-07-31", "12:00:00", 9, 7), record("2024-08-30", "12:00:00", 9, 19)],
+        "Station6": [
+            record("2024-07-31", "12:00:00", 9, 7),
+            record("2024-08-30", "12:00:00", 9, 19),
+        ],
     }
     for name, rows in stations.items():
         (root / name).mkdir()

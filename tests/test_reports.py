@@ -215,7 +215,9 @@ def test_first_claim_equals_priority_union(det, rows):
         ]
     )
     got = arrivals.first_claim(
-        det, [("a", a, "first"), ("b", b, "last"), ("c", c, "first"), ("d", d, "first")], micros("ts")
+        det,
+        [("a", a, "first"), ("b", b, "last"), ("c", c, "first"), ("d", d, "first")],
+        micros("ts"),
     )
     assert {r.source for r in got.collect()} >= {"a", "b"}
     assert rows(got, *want.columns) == rows(want)

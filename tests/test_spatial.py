@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rivertrack.functions.geo import utm_zone9
 from rivertrack.operators import spatial
+from rivertrack.plans import maps
 from rivertrack.plans.mobile import mobile_rkm
 
 
@@ -97,7 +98,9 @@ def test_mobile_rkm(spark):
 
 
 def test_bbox_borders(spark, rows):
-    d = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (1.1, 0.0), (None, 0.0)], "x DOUBLE, y DOUBLE")
+    d = spark.createDataFrame(
+        [(0.0, 0.0), (1.0, 1.0), (1.1, 0.0), (None, 0.0)], "x DOUBLE, y DOUBLE"
+    )
     boxes = (("a", 0.0, 1.0, 0.0, 1.0), ("b", 1.0, 2.0, 0.0, 2.0))
     assert rows(spatial.bbox_membership(d, boxes)) == [
         (0.0, 0.0, "a"),
@@ -108,7 +111,7 @@ def test_bbox_borders(spark, rows):
 
 
 def test_jitter(spark):
-    d = spark.range(2000).select(F.col("id").alias("seq"), F.lit(0.0).alias("x"), F.lit(9.0).alias("y"))
+    d = spark.range(2000).selectExpr("id AS seq", "0D AS x", "9D AS y")
     j = spatial.jitter_points(d, 500.0)
     r = j.agg(
         F.min("x_jitter").alias("lo"), F.max("x_jitter").alias("hi"), F.avg("x_jitter").alias("m"),
@@ -138,3 +141,25 @@ def test_vertex_filter_reaches_the_attribute_scan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_map_layers(spark, rows):
+    vertices = spark.createDataFrame(
+        [(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (2, 1, 5.0, 5.0), (3, 1, 9.0, 9.0)],
+        "id INT, `order` INT, long DOUBLE, lat DOUBLE",
+    )
+    attributes = spark.createDataFrame(
+        [(1, 3, "highway", "A"), (2, 2, "arterial", None), (3, None, "track", "C")],
+        "id INT, STRMRDR INT, ROAD_CLASS STRING, GNSNM1 STRING",
+    )
+    assert rows(maps.map_streams(vertices, attributes), "id", "order") == [(1, 1), (1, 2)]
+    assert rows(maps.map_roads(vertices, attributes), "id", "order") == [(1, 1), (1, 2), (2, 1)]
+    assert rows(maps.map_lakes(vertices, attributes), "id", "order") == [(1, 1), (1, 2), (3, 1)]
+
+
+def test_fixed_station_points(spark, tmp_path):
+    path = tmp_path / "places.csv"
+    path.write_text("Station,Latitude,Longitude\n1,55.01835,-127.3189\n")
+    r = maps.fixed_station_points(spark, str(path)).first()
+    assert (r.station, r.lat, r.long) == ("1", 55.01835, -127.3189)
+    assert (r.x, r.y) == pytest.approx(snyder(-127.3189, 55.01835), abs=0.01)
