@@ -26,7 +26,9 @@ def _day(name="date"):
 
 
 def _after_tagging(spark, sf):
-    return lookups.after_tagging(B.detections(spark, sf), B.tags(spark, sf))
+    """For aggregations per tag: the join with the tag table is salted for very long tags, as
+    otherwise the aggregation would take over the join's partitions, skew and all."""
+    return lookups.after_tagging(B.timelines(spark, sf), B.tags(spark, sf))
 
 
 # --- joins with the tag table --------------------------------------------------------------
@@ -40,7 +42,8 @@ def detection_tag_join(spark, sf):
 
 @query
 def after_tagging(spark, sf):
-    return _after_tagging(spark, sf).select("tag", "ts", "seq", "station", "tag_ts")
+    det = lookups.after_tagging(B.detections(spark, sf), B.tags(spark, sf))
+    return det.select("tag", "ts", "seq", "station", "tag_ts")
 
 
 @query
@@ -522,7 +525,7 @@ def history_panel(spark, sf):
 @query
 def cleaning_cascade(spark, sf):
     out = cascade.cleaning_cascade(
-        lookups.after_tagging(B.timelines(spark, sf), B.tags(spark, sf)),
+        _after_tagging(spark, sf),
         early_rules=_rules(spark).where(F.col("station").isNotNull()),
         late_rules=_rules(spark).where(F.col("station").isNull()),
         zones=(Z1, Z2),

@@ -4,6 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from rivertrack.operators.timeline import slice_hot_tags
+from rivertrack.workload import binding
 
 SF_DIR = "/root/testdata/sf0.01"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -28,5 +30,23 @@ def test_query_matches_sql(spark, con, name):
     assert compare.differences(ours, theirs) is None
 
 
+SMALL_DIR = "/root/testdata/sf0.001"
+TIMELINE_QUERIES = """detection_lag min_gap_filter lost_tag_flag lost_tags movement_rates
+impossible_moves speed_filter_fixpoint terminal_zone_lock reach_flag_cumsum first_arrival
+arrival_summary arrival_timing_stats priority_union spawner_fate detected_counts
+zone_presence_counts cleaning_cascade""".split()
+
+
+@pytest.mark.parametrize("name", TIMELINE_QUERIES)
+def test_query_matches_sql_when_every_tag_is_long(spark, monkeypatch, name):
+    def all_sliced(session, sf_dir):
+        return slice_hot_tags(binding.detections(session, sf_dir), rows_per_slice=20)
+
+    monkeypatch.setattr(binding, "timelines", all_sliced)
+    ours = QUERIES[name](spark, SMALL_DIR).toPandas()
+    theirs = compare.connect(SMALL_DIR).execute(ORACLE[name]).fetchdf()
+    assert compare.differences(ours, theirs) is None
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
