@@ -92,25 +92,25 @@ def _srx_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def _mdy(text: Column) -> Column:
-    text = F.regexp_replace(text, "[-.]", "/")
-    four = text.rlike(r"/\d{4}$")
-    return F.when(four, parse_date(text, "M/d/yyyy")).otherwise(parse_date(text, "M/d/yy"))
+def _iso_day(text: str) -> Column:
+    """Month, day, year in either length, with any usual separator, as year-month-day text."""
+    part = F.split(F.col(text), "[-/.]")
+    year = F.get(part, F.lit(2))
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    return F.when(
+        F.size(part) == 3, F.concat_ws("-", year, F.get(part, F.lit(0)), F.get(part, F.lit(1)))
+    )
 
 
 def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame:
     """Mobile survey downloads. Short records are filled with NULL; the trailer (no tag number)
     and the error code are dropped. Times stay wall-clock; with ``src_tz`` they are taken as
     that zone's and turned into UTC wall-clock time."""
-    day = _mdy(_field(0))
-    ts = parse_ts(F.concat_ws(" ", day.cast("string"), _field(1)))
-    if src_tz is not None:
-        ts = F.convert_timezone(F.lit(src_tz), F.lit("UTC"), ts)
     records = _records(
         _srx_lines(spark, paths),
         {
-            "date": day,
-            "ts": ts,
+            "_day": _field(0),
+            "_time": _field(1),
             "channel": _field(2).try_cast("int"),
             "code": _field(3).try_cast("int"),
             "antenna": _field(4),
@@ -119,10 +119,15 @@ def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame
             "long": _field(7).try_cast("double"),
         },
     )
+    ts = parse_ts(F.concat_ws(" ", "_iso", "_time"))
+    if src_tz is not None:
+        ts = F.convert_timezone(F.lit(src_tz), F.lit("UTC"), ts)
     return (
         records.where(F.col("code").isNotNull() & (F.col("code") != K.ERROR_CODE))
+        .withColumn("_iso", _iso_day("_day"))
+        .withColumns({"date": parse_date("_iso"), "ts": F.when(F.col("_iso").isNotNull(), ts)})
         .withColumns(
             {"hour": F.hour("ts"), "station": F.substring("src_file", 1, SRX_STATION_CHARS)}
         )
-        .drop("value")
+        .drop("value", "_day", "_time", "_iso")
     )
