@@ -164,14 +164,18 @@ def cutoffs(rows, by=("lang", "source"), min_group=MIN_GROUP):
     found = written(fences(sketches(rows, by), by), "quality-fences")
     names = [f"f_{m}" for m in MEASURES]
     out = found.filter("level = 0").select(*by, F.struct("n", *names).alias("_0"))
-    for level in range(1, len(by) + 1):
+    for level in range(1, len(by)):
         keys = list(by[: len(by) - level])
         part = found.filter(F.col("level") == level).select(
             *[F.col(k).alias(f"_{k}") for k in keys], F.struct("n", *names).alias(f"_{level}")
         )
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
         out = out.join(part, same, "left").drop(*[f"_{k}" for k in keys])
-    last = F.col(f"_{len(by)}")
+    # the sketch of all documents gives one row
+    overall = found.filter(F.col("level") == len(by)).select(*names).first() or [None] * len(names)
+    last = F.struct(F.lit(None).cast("long").alias("n"), *[
+        F.lit(v).cast("long").alias(n) for n, v in zip(names, overall, strict=True)
+    ])
     chosen = F.coalesce(
         *[F.when(F.col(f"_{i}.n") >= min_group, F.col(f"_{i}")) for i in range(len(by))], last
     )

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rivertrack.llm import packing, quality_rules, secret_scan
+from rivertrack.llm import byte_bpe, packing, piecewise_hash, quality_rules, secret_scan
 from rivertrack.llm.common import table
 from rivertrack.sources.files import stage_path
 
@@ -136,3 +136,23 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset",
     )
+
+
+@query
+def op2_byte_bpe(spark, sf_dir):
+    vocabulary = byte_bpe.Vocabulary.from_file(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    rows = byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op3_piecewise_hash(spark, sf_dir):
+    return piecewise_hash.edit_chain(table(spark, sf_dir, "documents"))
