@@ -24,12 +24,12 @@ _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class PerfectHash:
-    """Hash and displace: keys fall into buckets of about four; a bucket stores the displacement
+    """Hash and displace: keys fall into buckets of about two; a bucket stores the displacement
     that sends its keys to free slots, and a bucket of one key stores its slot."""
 
     def __init__(self, keys):
         n = self.n = len(keys)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 2)
         hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
         places = [[] for _ in range(self.buckets)]
         for i, h in enumerate(hashes):

@@ -3,7 +3,14 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rivertrack.llm import byte_bpe, packing, piecewise_hash, quality_rules, secret_scan
+from rivertrack.llm import (
+    byte_bpe,
+    jaccard_join,
+    packing,
+    piecewise_hash,
+    quality_rules,
+    secret_scan,
+)
 from rivertrack.llm.common import table
 from rivertrack.sources.files import stage_path
 
@@ -156,3 +163,8 @@ def op2_byte_bpe(spark, sf_dir):
 @query
 def op3_piecewise_hash(spark, sf_dir):
     return piecewise_hash.edit_chain(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
