@@ -1,8 +1,10 @@
 """N-gram Jaccard join of all documents, exact, by index lists and relations between sets.
 
 Equal sets are one class and count once. A class is indexed under the shingles of its prefix: in
-an order common to all sets, two sets that link share a shingle among the first
-n - ceil(t n) + 1 of each. Frequent shingles come last in that order, so lists stay short.
+an order common to all sets, two sets that link share three shingles among the first
+n - ceil(t n) + 3 of each. Frequent shingles come last in that order, so lists stay short. A place
+in a list is skipped if no set there is near enough in size, and a set with fewer than three
+places left has no link.
 
 A list is not turned into all its pairs. First, every set is compared with the leader of each of
 its lists, the set with most places in lists of several; the components of the links found so far
@@ -27,6 +29,7 @@ WORDS = 3
 PERCENT = 90
 HOT_IN_CHUNK, HOT, MOST_HOT = 4, 32, 500_000
 CHUNK = 2_000_000  # shingles counted at a time
+SHARED = 3  # prefix shingles that two linked, different sets have in common at least
 BLOCK = 256  # sets
 MOST_BROADCAST = 2_000_000  # ids of sets that share a list, 8 bytes each
 
@@ -152,7 +155,7 @@ def postings(docs, hot, text="text", percent=PERCENT):
                 n = len(found)
                 if not n:
                     continue
-                length = n - least_overlap(n, percent) + 1
+                length = min(n, n - least_overlap(n, percent) + SHARED)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
                     rank = np.where(tokens[at] == found, classes[at], -1)
@@ -171,17 +174,53 @@ def postings(docs, hot, text="text", percent=PERCENT):
     return map_batches(docs.select(text), schema, start)
 
 
-def shared_lists(index):
-    """Rows (token, key, n, pos) of the lists that hold several classes, one per class."""
+def _level(percent):
+    """Sizes by powers of 100/percent: sets that link are of one level or of neighbours."""
+    return F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+
+
+def _near_in_size(rows, percent):
+    """Without the places whose list holds no other set of a size that could link. Lists are
+    looked at by level through their sizes' extremes only, so none is held or sorted."""
+    rows = rows.withColumn("level", _level(percent))
+    levels = rows.groupBy("token", "level").agg(
+        F.count(F.lit(1)).alias("count"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    near = F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1))
+    around = levels.withColumn("at", near).groupBy("token", F.col("at").alias("level")).agg(
+        F.max(F.when(F.col("level") == F.col("at"), F.col("count"))).alias("count"),
+        F.max(F.when(F.col("level") < F.col("at"), F.col("high"))).alias("below"),
+        F.min(F.when(F.col("level") > F.col("at"), F.col("low"))).alias("above"),
+    )
+    possible = (
+        (F.col("count") > 1)
+        | (100 * F.col("below") >= percent * F.col("n"))
+        | (100 * F.col("n") >= percent * F.col("above"))
+    )
+    return rows.join(around, ["token", "level"]).filter(possible).select("token", "key", "n", "pos")
+
+
+def _often_placed(rows):
+    places = rows.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
+    return rows.join(places.filter(F.col("places") >= SHARED).select("key"), "key")
+
+
+def shared_lists(index, percent=PERCENT):
+    """Rows (token, key, n, pos) of the lists that hold several classes, one per class, without
+    the places that size or number of places rule out."""
     several = index.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
     several = several.filter("a != b").select("token")
     key = F.concat_ws("", F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")).alias("key")
     rows = index.join(several, "token").select("token", key, "n", "pos")
-    return rows.dropDuplicates(["token", "key"])
+    rows = written(rows.dropDuplicates(["token", "key"]), "jaccard-lists")
+    for _ in range(2):
+        rows = written(_often_placed(_near_in_size(rows, percent)), "jaccard-lists")
+    return rows
 
 
 def active_sets(docs, classes, lists, id_col="doc_id", text="text"):
-    """Rows (key, n, shingles binary) of the classes in ``lists``, read from one document each.
+    """Rows (key, n, shingles binary) of the classes in ``lists``, read from one document each
+    (more where an id repeats: that is harmless).
     Their ids are broadcast while they are few (counted), otherwise shuffled."""
     ids = classes.join(lists.select("key").distinct(), "key", "left_semi")
     ids = written(ids.select("rep").distinct(), "jaccard-active")
@@ -197,8 +236,7 @@ def active_sets(docs, classes, lists, id_col="doc_id", text="text"):
 
         return step
 
-    sets = map_batches(chosen.select(text), "key string, n int, shingles binary", start)
-    return sets.dropDuplicates(["key"])
+    return map_batches(chosen.select(text), "key string, n int, shingles binary", start)
 
 
 def _similar(both, n, m, percent):
@@ -254,7 +292,8 @@ def leader_links(lists, sets, percent=PERCENT):
 
 def unsettled(lists, labels):
     """The rows of ``lists`` that still hold several components, with their component; of each
-    list one component, the least, is the one the others are compared with."""
+    list one component, the largest, is settled in itself and only compared with the others. A
+    list of two was settled by comparing them."""
     rows = lists.join(labels, lists["key"] == labels["vertex"], "left").select(
         "token", "key", "n", "pos", F.coalesce("component", "key").alias("component")
     )
@@ -264,14 +303,13 @@ def unsettled(lists, labels):
         F.count(F.lit(1)).alias("found"),
         F.sum("n").alias("size"),
     )
-    return rows.join(main.filter("found > 1"), "token")
+    return rows.join(main.filter("found > 1 and size > 2"), "token")
 
 
 def block_links(rows, sets, percent=PERCENT):
     """Links between different components of one list, block by block."""
-    ratio = math.log(100 / percent)
     rows = rows.withColumns({
-        "level": F.floor(F.log("n") / ratio).cast("int"),
+        "level": _level(percent),
         "part": F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("size") / BLOCK)).cast("int"),
         "minor": F.col("component") != F.col("main"),
     })
@@ -314,10 +352,16 @@ def linked(pdf, percent=PERCENT):
         flat = np.concatenate(parts)
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         seen, column = np.unique(flat, return_inverse=True)
+        # what only one side has cannot be common
+        on_both = np.bincount(column[row < k], minlength=len(seen)).astype(bool)
+        on_both &= np.bincount(column[row >= k], minlength=len(seen)).astype(bool)
+        used = on_both[column]
+        row, column = row[used], (np.cumsum(on_both) - 1)[column[used]]
+        seen = seen[on_both]
         out = np.zeros((k, len(parts) - k), np.float32)
         for a in range(0, len(seen), 8192):  # a bounded stretch of columns at a time
             here = (column >= a) & (column < a + 8192)
-            table = np.zeros((len(parts), 8192), np.float32)
+            table = np.zeros((len(parts), min(8192, len(seen) - a)), np.float32)
             table[row[here], column[here] - a] = 1
             out += table[:k] @ table[k:].T
         return out.astype(np.int64)
@@ -356,7 +400,7 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     classes = members.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("rep"))
     classes = written(classes, "jaccard-classes")
     index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
-    lists = written(shared_lists(index), "jaccard-lists")
+    lists = shared_lists(index, percent)
     sets = written(active_sets(docs, classes, lists, id_col, text), "jaccard-sets")
     links = written(leader_links(lists, sets, percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
