@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 from rivertrack.llm import (
     byte_bpe,
     jaccard_join,
+    language_id,
+    license_scan,
+    merkle_audit,
     packing,
     piecewise_hash,
+    quality_classifier,
     quality_rules,
     secret_scan,
 )
-from rivertrack.llm.common import table
+from rivertrack.llm.common import table, written
 from rivertrack.sources.files import stage_path
 
 QUERIES = {}
@@ -168,3 +172,59 @@ def op3_piecewise_hash(spark, sf_dir):
 @query
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    rows = language_id.held_out_languages(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "n_positions", "n_agree")
+
+
+@query
+def op1_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_license_scan"] = license_scan.oracle_sql()
+
+
+@query
+def op6_merkle_audit(spark, sf_dir):
+    """All pages as archive files, audited against a replica of them in which, by rule, some
+    bytes have changed, some records have been blanked and some archives lost."""
+    ours = merkle_audit.records(table(spark, sf_dir, "pages"))
+    damaged = (
+        F.when(F.col("id") % 500 == 11, F.sha2(F.lit(""), 256))
+        .when(F.col("id") % 50 == 7, F.sha2(F.concat("digest", F.lit("flipped")), 256))
+        .otherwise(F.col("digest"))
+    )
+    ours = written(merkle_audit.laid_out(ours), "records")
+    theirs = ours.filter("archive % 20 != 19").withColumn("digest", damaged)
+    return merkle_audit.audit(ours, theirs)
+
+
+ORACLE["op6_merkle_audit"] = """
+WITH payload AS (
+  SELECT page_id AS id, coalesce(floor(page_id / 1000), -1)::BIGINT AS archive,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+         || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS p
+  FROM pages
+), records AS (
+  SELECT archive, id, strlen(p)::BIGINT AS length, sha256(p) AS digest FROM payload
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY id, digest
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM records
+)
+SELECT archive, "offset", id, length,
+       CASE WHEN archive % 20 = 19 THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE archive % 20 = 19 OR id % 500 = 11 OR id % 50 = 7
+"""
