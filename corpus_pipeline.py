@@ -1,7 +1,11 @@
 """A training-data pipeline over `documents`: each stage is one operator of rivertrack.llm."""
 
-from rivertrack.llm import quality_rules
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from rivertrack.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan
 from rivertrack.llm.common import table, written
+from rivertrack.sources.files import stage_path
 
 
 def quality_rules_stage(spark, docs, sf_dir):
@@ -9,8 +13,38 @@ def quality_rules_stage(spark, docs, sf_dir):
     return quality_rules.quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules_stage)]
-ORACLE_SQL = None
+def quality_classifier_stage(spark, docs, sf_dir):
+    """Documents that the classifier and their sites speak against go. It is fitted on labelled
+    rows of `documents`, of which the earlier stage has removed nearly all bad ones."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), labels)
+    return quality_classifier.quality_keep(docs, labels, model)
+
+
+def jaccard_join_stage(spark, docs, sf_dir):
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secret_scan_stage(spark, docs, sf_dir):
+    """Secrets are masked in the text; n_chars follows."""
+    masked = secret_scan.redact(docs, stage_path(spark, "secret-ledger"))
+    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long"))
+
+
+def packing_stage(spark, docs, sf_dir):
+    """The pieces of all sequences, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("jaccard_join", jaccard_join_stage),
+    ("secret_scan", secret_scan_stage),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # a trained classifier and a tokenizer; tests compare with brute force
 
 
 def run(spark, sf_dir):

@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from rivertrack.llm.common import map_batches, written
+from rivertrack.llm.common import map_batches, whole_text, written
 from rivertrack.llm.components import components
 
 WORDS = 3
@@ -77,9 +77,14 @@ def _signed(a):
     return a.astype(np.uint64).view(np.int64)
 
 
+def said(text="text"):
+    return F.xxhash64(whole_text(text)).alias("said")
+
+
 def summarise(docs, id_col="doc_id", text="text"):
-    """One pass over the texts: rows of kind 0, one per document (id, n, hi, lo), and rows of
-    kind 1, shingles seen HOT_IN_CHUNK times in a stretch of the partition (hi, n)."""
+    """One pass over the texts: rows of kind 0, one per document (id, said, n, hi, lo), ``said``
+    being a hash of its text, and rows of kind 1, shingles seen HOT_IN_CHUNK times in a stretch
+    of the partition (hi, n)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
@@ -94,14 +99,14 @@ def summarise(docs, id_col="doc_id", text="text"):
             often = count >= HOT_IN_CHUNK
             return _signed(token[often]), count[often]
 
-        def with_hot(ids, n, hi, lo, token, count):
+        def with_hot(ids, said, n, hi, lo, token, count):
             k = len(token)
             return (
-                [0] * len(ids) + [1] * k, [*ids, *[None] * k], [*n, *count.tolist()],
-                [*hi, *token.tolist()], [*lo, *[None] * k],
+                [0] * len(ids) + [1] * k, [*ids, *[None] * k], [*said, *[None] * k],
+                [*n, *count.tolist()], [*hi, *token.tolist()], [*lo, *[None] * k],
             )
 
-        def step(ids, texts):
+        def step(ids, said, texts):
             nonlocal size
             n, hi, lo, hot = [], [], [], [(np.zeros(0, np.int64),) * 2]
             for t in texts:
@@ -115,14 +120,13 @@ def summarise(docs, id_col="doc_id", text="text"):
                 if size >= CHUNK:
                     hot.append(counted())
             token, count = (np.concatenate(x) for x in zip(*hot, strict=True))
-            return with_hot(ids, n, hi, lo, token, count)
+            return with_hot(ids, said, n, hi, lo, token, count)
 
-        step.finish = lambda: with_hot([], [], [], [], *counted())
+        step.finish = lambda: with_hot([], [], [], [], [], *counted())
         return step
 
-    return map_batches(
-        docs.select(id_col, text), f"kind int, id {kind}, n bigint, hi bigint, lo bigint", start
-    )
+    schema = f"kind int, id {kind}, said bigint, n bigint, hi bigint, lo bigint"
+    return map_batches(docs.select(id_col, said(text), text), schema, start)
 
 
 def frequent(summary):
@@ -386,8 +390,24 @@ def linked(pdf, percent=PERCENT):
     return pd.DataFrame(links, columns=["a", "b"], dtype="string")
 
 
+def one_of_each(docs, id_col="doc_id", text="text", percent=PERCENT):
+    """The rows of ``docs`` that carry their component's smallest id, with all their columns and
+    only those; of equal rows one stays. Documents without words all stay."""
+    rows = written(jaccard_components(docs, id_col, text, percent), "jaccard-components")
+    kept = rows.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(
+        F.col(id_col).alias("_id"), F.col("said").alias("_said")
+    )
+    repeated = kept.groupBy("_id", "_said").count().filter("count > 1").take(1)
+    marked = docs.withColumn("_now", said(text))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_now") == F.col("_said"))
+    out = marked.join(kept, same, "left_semi")
+    if repeated:
+        out = out.dropDuplicates([id_col, "_now"])
+    return out.drop("_now")
+
+
 def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
-    """One row (id, n_shingles, component_id) per row of ``docs``: the size of the document's set
+    """One row (id, said, n_shingles, component_id) per row of ``docs``: a hash of its text, the size of the document's set
     and the smallest id reachable over links, two documents linking when
     100 * |intersection| >= percent * |union|.
 
@@ -396,7 +416,7 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
     summary = written(summarise(docs, id_col, text), "jaccard-summary", ("kind",))
     key = F.concat_ws("", F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
-    members = summary.filter("kind = 0").select("id", F.col("n").alias("n_shingles"), key.alias("key"))
+    members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), key.alias("key"))
     classes = members.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("rep"))
     classes = written(classes, "jaccard-classes")
     index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
@@ -414,6 +434,6 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = placed.join(smallest, "component").select("key", "component_id")
     return members.join(named, "key", "left").select(
-        F.col("id").alias(id_col), "n_shingles",
+        F.col("id").alias(id_col), "said", "n_shingles",
         F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("id"))).alias("component_id"),
     )

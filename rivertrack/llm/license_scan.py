@@ -117,52 +117,57 @@ def _longs(values):
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
+def _best(words, hashes, step, template, windows):
+    """(license, n_shingles, n_found, word_start) of the fullest window that the bands retrieve
+    for one template, the first of equals; n_found is null without any."""
+    name, phrases, _, sig = template
+    wanted = F.array(*[F.lit(p) for p in phrases])
+    retrieved = F.filter(windows, lambda r: F.arrays_overlap(r["sig"], _longs(sig)))
+
+    def held(r):
+        last = F.least(r["at"] + 2 * step, F.size(hashes)) - 1
+        said = F.transform(F.sequence(r["at"], last), lambda i: _phrase(words, i))
+        return F.struct(
+            F.size(F.array_intersect(wanted, said)).alias("n_found"), (-r["at"]).alias("before")
+        )
+
+    best = F.array_max(F.transform(retrieved, held))
+    return F.struct(
+        F.lit(name).alias("license"),
+        F.lit(len(phrases)).cast("long").alias("n_shingles"),
+        best["n_found"].cast("long").alias("n_found"),
+        (-best["before"]).cast("long").alias("word_start"),
+    )
+
+
 def _matches(words, hashes, classes):
-    """array of (license, n_shingles, n_found, word_start): per template the fullest window, the
-    first of equals, if it holds enough."""
-    none = "array<struct<n_found: int, before: int>>"
+    """The templates of which some window holds enough, as an array of `_best`."""
     out = []
     for step, (bands, templates) in classes.items():
-        of_class = _longs(sorted({h for t in templates for h in t[2]}))
-        starts = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / step).cast("int")), lambda k: k * step
-        )
+        out.append(_of_class(words, hashes, step, bands, templates))
+    return F.concat(*out)
 
-        def window(s, step=step):
-            return F.slice(hashes, s + 1, 2 * step)
 
-        near = F.filter(starts, lambda s: F.arrays_overlap(window(s), of_class))
-        signed = F.transform(
-            near, lambda s: F.struct(s.alias("at"), _signature(window(s), bands).alias("sig"))
-        )
+def _of_class(words, hashes, step, bands, templates):
+    of_class = _longs(sorted({h for t in templates for h in t[2]}))
+    last = F.floor((F.size(hashes) - 1) / step).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), last), lambda k: k * step)
+    # a window without a shingle of any template cannot match one
+    near = F.filter(
+        starts, lambda s: F.arrays_overlap(F.slice(hashes, s + 1, 2 * step), of_class)
+    )
+    signed = F.transform(
+        near,
+        lambda s: F.struct(
+            s.alias("at"), _signature(F.slice(hashes, s + 1, 2 * step), bands).alias("sig")
+        ),
+    )
 
-        def verified(rows, templates=templates, step=step):
-            found = []
-            for name, phrases, _, sig in templates:
-                wanted = F.array(*[F.lit(p) for p in phrases])
-                retrieved = F.filter(rows, lambda r, sig=sig: F.arrays_overlap(r["sig"], _longs(sig)))
-
-                def held(r, wanted=wanted):
-                    last = F.least(r["at"] + 2 * step, F.size(hashes)) - 1
-                    said = F.transform(F.sequence(r["at"], last), lambda i: _phrase(words, i))
-                    return F.struct(
-                        F.size(F.array_intersect(wanted, said)).alias("n_found"),
-                        (-r["at"]).alias("before"),
-                    )
-
-                best = F.array_max(F.transform(retrieved, held).cast(none))
-                found.append(F.struct(
-                    F.lit(name).alias("license"),
-                    F.lit(len(phrases)).cast("long").alias("n_shingles"),
-                    best["n_found"].cast("long").alias("n_found"),
-                    (-best["before"]).cast("long").alias("word_start"),
-                ))
-            return F.filter(
-                F.array(*found), lambda m: 100 * m["n_found"] >= CONTAINED * m["n_shingles"]
-            )
-
-        out.append(let(signed, verified))
-    return F.concat(*out)
+    def verified(windows):
+        found = F.array(*[_best(words, hashes, step, t, windows) for t in templates])
+        return F.filter(found, lambda m: 100 * m["n_found"] >= CONTAINED * m["n_shingles"])
+
+    return let(signed, verified)
 
 
 def scan(docs, id_col="doc_id", text="text", templates=None):
