@@ -146,7 +146,8 @@ def least_overlap(n, percent=PERCENT):
 
 
 def postings(docs, hot, text="text", percent=PERCENT):
-    """Rows (token, hi, lo, n, pos): the prefix of every document's set, without a shuffle."""
+    """Rows (token, hi, n, pos): the prefix of every document's set, without a shuffle. ``hi`` is
+    half of the set's name; the other half follows once most places are ruled out."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def start():
@@ -166,15 +167,13 @@ def postings(docs, hot, text="text", percent=PERCENT):
                     found_in_order = found[np.lexsort((found, rank))]
                 else:
                     found_in_order = found
-                hi, lo = _key(found)
                 prefix = _signed(found_in_order[:length])
-                out.append((prefix, np.full(length, hi), np.full(length, lo),
-                            np.full(length, n), np.arange(length)))
+                out.append((prefix, np.full(length, _key(found)[0]), np.full(length, n), np.arange(length)))
             return [np.concatenate(x) for x in zip(*out, strict=True)] if out else []
 
         return step
 
-    schema = "token bigint, hi bigint, lo bigint, n int, pos int"
+    schema = "token bigint, hi bigint, n int, pos int"
     return map_batches(docs.select(text), schema, start)
 
 
@@ -209,14 +208,14 @@ def _often_placed(rows):
     return rows.join(places.filter(F.col("places") >= SHARED).select("key"), "key")
 
 
-def shared_lists(index, percent=PERCENT):
+def shared_lists(index, classes, percent=PERCENT):
     """Rows (token, key, n, pos) of the lists that hold several classes, one per class, without
     the places that size or number of places rule out."""
     several = index.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
     several = several.filter("a != b").select("token")
-    key = F.concat_ws("", F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")).alias("key")
-    rows = index.join(several, "token").select("token", key, "n", "pos")
-    rows = written(rows.dropDuplicates(["token", "key"]), "jaccard-lists")
+    rows = index.join(several, "token").dropDuplicates(["token", "hi"])
+    rows = rows.join(classes.select("hi", "key"), "hi").select("token", "key", "n", "pos")
+    rows = written(rows, "jaccard-lists")
     for _ in range(2):
         rows = written(_often_placed(_near_in_size(rows, percent)), "jaccard-lists")
     return rows
@@ -247,13 +246,17 @@ def _similar(both, n, m, percent):
     return 100 * both >= percent * (n + m - both)
 
 
-def leader_links(lists, sets, percent=PERCENT):
+def list_leaders(lists):
+    """Rows (token, leader, leader_n, places): of each list the set with most places."""
+    places = lists.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
+    best = F.max(F.struct("places", F.reverse("key").alias("tie"), "key", "n")).alias("b")
+    leaders = lists.join(places, "key").groupBy("token").agg(best)
+    return leaders.select("token", F.col("b.key").alias("leader"), F.col("b.n").alias("leader_n"), "b.places")
+
+
+def leader_links(lists, leaders, sets, percent=PERCENT):
     """Links (a, b) between sets and the leaders of their lists. A leader's comparisons are dealt
     out in chunks of at most a few thousand, each with its own copy of the leader's set."""
-    places = lists.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
-    ranked = lists.join(places, "key")
-    best = F.max_by("key", F.struct("places", F.reverse("key")))
-    leaders = ranked.groupBy("token").agg(best.alias("leader"), F.max_by("n", F.struct("places", F.reverse("key"))).alias("leader_n"))
     pairs = lists.join(leaders, "token").filter(
         (F.col("key") != F.col("leader"))
         & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
@@ -310,32 +313,46 @@ def unsettled(lists, labels):
     return rows.join(main.filter("found > 1 and size > 2"), "token")
 
 
-def block_links(rows, sets, percent=PERCENT):
-    """Links between different components of one list, block by block."""
-    rows = rows.withColumns({
-        "level": _level(percent),
-        "part": F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col("size") / BLOCK)).cast("int"),
-        "minor": F.col("component") != F.col("main"),
-    })
-    blocks = rows.groupBy("token", "level", "part").agg(F.max("minor").alias("minor"))
-    left = blocks.filter("minor").select("token", F.col("level").alias("l1"), F.col("part").alias("p1"))
-    right = blocks.select("token", F.col("level").alias("l2"), F.col("part").alias("p2"))
-    # sets two levels apart differ too much in size; a block pair of a list is one unit of work
-    units = left.join(right, "token").filter("abs(l1 - l2) <= 1")
-    probe = units.join(
-        rows.filter("minor").withColumnsRenamed({"level": "l1", "part": "p1"}), ["token", "l1", "p1"]
-    ).withColumn("probe", F.lit(True))
-    index = units.join(
-        rows.withColumnsRenamed({"level": "l2", "part": "p2"}), ["token", "l2", "p2"]
-    ).withColumn("probe", F.lit(False))
-    unit = ["token", "l1", "p1", "l2", "p2"]
-    keep = [*unit, "key", "component", "pos", "probe"]
-    work = probe.select(*keep).unionByName(index.select(*keep)).join(sets, "key")
+def blocks_of(lists, leaders, percent=PERCENT):
+    """Rows (key, anchor, level, part): every set in one block of about BLOCK sets. Sets of one
+    block have the same anchor, the leader with most places among the leaders of their lists, so
+    near copies come together, and one level of size."""
+    best = F.max(F.struct("places", "leader")).alias("b")
+    anchored = lists.join(leaders, "token").groupBy("key", "n").agg(best)
+    anchored = anchored.select("key", F.col("b.leader").alias("anchor"), _level(percent).alias("level"))
+    counts = anchored.groupBy("anchor", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("key", F.lit(7)), "parts").cast("int").alias("part")
+    return anchored.join(counts, ["anchor", "level"]).select("key", "anchor", "level", part)
+
+
+def block_links(rows, blocks, sets, percent=PERCENT):
+    """Links between different components that share a list. Only blocks that meet in an
+    unsettled list and whose sizes can link are compared, each pair of blocks once however many
+    lists they share: the sets outside some list's main component with the others."""
+    place = F.xxhash64("anchor", "level", "part").alias("block")
+    rows = rows.withColumn("minor", F.col("component") != F.col("main")).join(
+        blocks.select("key", place, "level"), "key"
+    )
+    rows = written(rows.select("token", "key", "component", "minor", "block", "level"), "jaccard-blocks")
+    meet = rows.groupBy("token", "block", "level").agg(F.max("minor").alias("minor"))
+    left = meet.filter("minor").select("token", F.col("block").alias("b1"), F.col("level").alias("l1"))
+    right = meet.select("token", F.col("block").alias("b2"), F.col("level").alias("l2"))
+    units = left.join(right, "token").filter("abs(l1 - l2) <= 1").select("b1", "b2").distinct()
+    units = written(units, "jaccard-units")
+    members = rows.groupBy("key", "component", "block").agg(F.max("minor").alias("minor"))
+    members = written(members, "jaccard-members")
+    probe = units.join(members.filter("minor").withColumnRenamed("block", "b1"), "b1")
+    index = units.join(members.withColumnRenamed("block", "b2"), "b2")
+    keep = ["b1", "b2", "key", "component"]
+    work = probe.select(*keep, F.lit(True).alias("probe")).unionByName(
+        index.select(*keep, F.lit(False).alias("probe"))
+    )
+    work = work.join(sets, "key").select(*keep, "probe", "shingles")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return linked(pdf, percent)
 
-    return work.groupBy(*unit).applyInPandas(compare, "a string, b string")
+    return work.groupBy("b1", "b2").applyInPandas(compare, "a string, b string")
 
 
 def linked(pdf, percent=PERCENT):
@@ -416,16 +433,17 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
     summary = written(summarise(docs, id_col, text), "jaccard-summary", ("kind",))
     key = F.concat_ws("", F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
-    members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), key.alias("key"))
-    classes = members.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("rep"))
+    members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), "hi", key.alias("key"))
+    classes = members.filter("n_shingles > 0").groupBy("hi", "key").agg(F.min("id").alias("rep"))
     classes = written(classes, "jaccard-classes")
     index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
-    lists = shared_lists(index, percent)
+    lists = shared_lists(index, classes, percent)
     sets = written(active_sets(docs, classes, lists, id_col, text), "jaccard-sets")
-    links = written(leader_links(lists, sets, percent), "jaccard-links")
+    leaders = written(list_leaders(lists), "jaccard-leaders")
+    links = written(leader_links(lists, leaders, sets, percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
     rest = written(unsettled(lists, labels), "jaccard-unsettled")
-    more = written(block_links(rest, sets, percent), "jaccard-links")
+    more = written(block_links(rest, blocks_of(lists, leaders, percent), sets, percent), "jaccard-links")
     labels = written(components(links.unionByName(more)), "jaccard-labels")
     # every class with its component, every component with its smallest id
     placed = classes.join(labels, classes["key"] == labels["vertex"], "left").select(
