@@ -6,11 +6,10 @@ n - ceil(t n) + 3 of each. Frequent shingles come last in that order, so lists s
 in a list is skipped if no set there is near enough in size, and a set with fewer than three
 places left has no link.
 
-A list is not turned into all its pairs. First, every set is compared with the leader of each of
-its lists, the set with most places in lists of several; the components of the links found so far
-settle most lists, as sets already connected need no comparison. Then the lists that still hold
-several components are cut into blocks by size of set, and only blocks whose sizes can link
-are compared, only sets outside the leader's component with the rest. Inside a pair of blocks a
+A list is not turned into all its pairs. First, every set is compared with its anchor, the one set
+that leads its lists; the components of the links found so far settle most lists, as sets already
+connected need no comparison. The sets of lists that still hold several components come in
+blocks, and only blocks that meet in a list, at sizes and positions that can link, are compared. Inside a pair of blocks a
 set's overlap with all others is derived from its difference to one pivot set: |x & y| is |p|
 less what either lacks of p plus what both have beside p, all read from the differences.
 """
@@ -216,30 +215,34 @@ def shared_lists(index, classes, percent=PERCENT):
     rows = index.join(several, "token").dropDuplicates(["token", "hi"])
     rows = rows.join(classes.select("hi", "key"), "hi").select("token", "key", "n", "pos")
     rows = written(rows, "jaccard-lists")
-    for _ in range(2):
-        rows = written(_often_placed(_near_in_size(rows, percent)), "jaccard-lists")
-    return rows
+    return written(_often_placed(_near_in_size(rows, percent)), "jaccard-lists")
 
 
-def active_sets(docs, classes, lists, id_col="doc_id", text="text"):
-    """Rows (key, n, shingles binary) of the classes in ``lists``, read from one document each
-    (more where an id repeats: that is harmless).
-    Their ids are broadcast while they are few (counted), otherwise shuffled."""
-    ids = classes.join(lists.select("key").distinct(), "key", "left_semi")
-    ids = written(ids.select("rep").distinct(), "jaccard-active")
+def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
+    """The sets of the classes in ``roles`` (key, ...), one row per role (its columns, shingles),
+    read from one document of each class and sent straight to where the role is played. The
+    documents' ids are broadcast while they are few (counted), otherwise shuffled."""
+    columns = roles.columns
+    plays = F.collect_list(F.struct(*columns)).alias("_roles")
+    ids = classes.join(roles.groupBy("key").agg(plays), "key").select("rep", "rep_said", "_roles")
+    ids = written(ids, "jaccard-roles")
     few = ids.count() <= MOST_BROADCAST
-    same = docs[id_col].eqNullSafe(ids["rep"])
-    chosen = docs.join(F.broadcast(ids) if few else ids, same, "left_semi")
+    same = docs[id_col].eqNullSafe(F.col("rep")) & (said(text) == F.col("rep_said"))
+    chosen = docs.join(F.broadcast(ids) if few else ids, same)
 
     def start():
-        def step(texts):
-            sets = [shingles(t) for t in texts]
-            keys = ["".join(f"{x & (1 << 64) - 1:016X}" for x in _key(s)) for s in sets]
-            return keys, [len(s) for s in sets], [s.tobytes() for s in sets]
+        def step(texts, lists):
+            out = []
+            for t, plays in zip(texts, lists, strict=True):
+                raw = shingles(t).tobytes()
+                out += [(*(r[c] for c in columns), raw) for r in plays]
+            return list(zip(*out, strict=True))
 
         return step
 
-    return map_batches(chosen.select(text), "key string, n int, shingles binary", start)
+    fields = ", ".join(f"{c} {roles.schema[c].dataType.simpleString()}" for c in columns)
+    rows = map_batches(chosen.select(text, "_roles"), f"{fields}, shingles binary", start)
+    return rows.repartition(*order)
 
 
 def _similar(both, n, m, percent):
@@ -249,38 +252,43 @@ def _similar(both, n, m, percent):
 def list_leaders(lists):
     """Rows (token, leader, leader_n, places): of each list the set with most places."""
     places = lists.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
-    best = F.max(F.struct("places", F.reverse("key").alias("tie"), "key", "n")).alias("b")
+    best = F.max(F.struct("places", "key", "n")).alias("b")
     leaders = lists.join(places, "key").groupBy("token").agg(best)
     return leaders.select("token", F.col("b.key").alias("leader"), F.col("b.n").alias("leader_n"), "b.places")
 
 
-def leader_links(lists, leaders, sets, percent=PERCENT):
-    """Links (a, b) between sets and the leaders of their lists. A leader's comparisons are dealt
-    out in chunks of at most a few thousand, each with its own copy of the leader's set."""
-    pairs = lists.join(leaders, "token").filter(
-        (F.col("key") != F.col("leader"))
-        & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
-    )
-    pairs = written(pairs.select("key", "leader").distinct(), "jaccard-pairs")
-    chunks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "leader").select(
-        "leader", F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk"), "key"
+def anchors(lists, leaders):
+    """Rows (key, n, anchor, anchor_n): of the leaders of a set's lists the one with most places.
+    Near copies have the same anchor."""
+    best = F.max(F.struct("places", "leader", "leader_n")).alias("b")
+    rows = lists.join(leaders, "token").groupBy("key", "n").agg(best)
+    return rows.select("key", "n", F.col("b.leader").alias("anchor"), F.col("b.leader_n").alias("anchor_n"))
+
+
+def anchor_links(docs, classes, anchored, id_col="doc_id", text="text", percent=PERCENT):
+    """Links (a, b) between sets and their anchors. An anchor's comparisons are dealt out in
+    chunks of at most a few thousand, each with its own copy of the anchor's set."""
+    pairs = anchored.filter(
+        (F.col("key") != F.col("anchor"))
+        & (100 * F.least("n", "anchor_n") >= percent * F.greatest("n", "anchor_n"))
+    ).select("key", "anchor")
+    chunks = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("chunks"))
+    dealt = pairs.join(chunks, "anchor").select(
+        "anchor", F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk"), "key"
     )
     heads = chunks.select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.col("leader").alias("key"),
+        "anchor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.col("anchor").alias("key"),
     )
-    work = dealt.unionByName(heads).join(sets, "key")
-    work = work.repartition("leader", "chunk").sortWithinPartitions(
-        "leader", "chunk", F.col("key") != F.col("leader")
-    )
+    work = shipped(docs, classes, dealt.unionByName(heads), ("anchor", "chunk"), id_col, text)
+    work = work.sortWithinPartitions("anchor", "chunk", F.col("key") != F.col("anchor"))
 
     def start():
         state = {}
 
-        def step(leader, chunk, keys, found):
+        def step(anchor, chunk, keys, found):
             links = []
-            for head, part, key, raw in zip(leader, chunk, keys, found, strict=True):
+            for head, part, key, raw in zip(anchor, chunk, keys, found, strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if key == head:
                     state["at"], state["set"] = (head, part), s
@@ -294,65 +302,75 @@ def leader_links(lists, leaders, sets, percent=PERCENT):
 
         return step
 
-    return map_batches(work.select("leader", "chunk", "key", "shingles"), "a string, b string", start)
+    columns = work.select("anchor", "chunk", "key", "shingles")
+    return map_batches(columns, "a bigint, b bigint", start)
 
 
-def unsettled(lists, labels):
-    """The rows of ``lists`` that still hold several components, with their component; of each
-    list one component, the largest, is settled in itself and only compared with the others. A
-    list of two was settled by comparing them."""
-    rows = lists.join(labels, lists["key"] == labels["vertex"], "left").select(
-        "token", "key", "n", "pos", F.coalesce("component", "key").alias("component")
+def unsettled(lists, anchored, labels):
+    """The rows of ``lists`` that still hold several components, with their component and whether
+    it is not the list's main one, the largest, which is settled in itself. A list of a set and
+    its anchor was settled by comparing them."""
+    rows = lists.join(anchored.select("key", "anchor"), "key")
+    rows = rows.join(labels, rows["key"] == labels["vertex"], "left").select(
+        "token", "key", "n", "pos", "anchor", F.coalesce("component", "key").alias("component")
     )
-    counts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("token").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"),
-        F.count(F.lit(1)).alias("found"),
-        F.sum("n").alias("size"),
+    counts = rows.groupBy("token", "component", "anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("key") == F.col("anchor")).alias("own")
     )
-    return rows.join(main.filter("found > 1 and size > 2"), "token")
-
-
-def blocks_of(lists, leaders, percent=PERCENT):
-    """Rows (key, anchor, level, part): every set in one block of about BLOCK sets. Sets of one
-    block have the same anchor, the leader with most places among the leaders of their lists, so
-    near copies come together, and one level of size."""
-    best = F.max(F.struct("places", "leader")).alias("b")
-    anchored = lists.join(leaders, "token").groupBy("key", "n").agg(best)
-    anchored = anchored.select("key", F.col("b.leader").alias("anchor"), _level(percent).alias("level"))
-    counts = anchored.groupBy("anchor", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("key", F.lit(7)), "parts").cast("int").alias("part")
-    return anchored.join(counts, ["anchor", "level"]).select("key", "anchor", "level", part)
-
-
-def block_links(rows, blocks, sets, percent=PERCENT):
-    """Links between different components that share a list. Only blocks that meet in an
-    unsettled list and whose sizes can link are compared, each pair of blocks once however many
-    lists they share: the sets outside some list's main component with the others."""
-    place = F.xxhash64("anchor", "level", "part").alias("block")
-    rows = rows.withColumn("minor", F.col("component") != F.col("main")).join(
-        blocks.select("key", place, "level"), "key"
+    parts = counts.groupBy("token", "component").agg(
+        F.sum("n").alias("n"), F.min("anchor").alias("a"), F.max("anchor").alias("b"), F.max("own").alias("own")
     )
-    rows = written(rows.select("token", "key", "component", "minor", "block", "level"), "jaccard-blocks")
-    meet = rows.groupBy("token", "block", "level").agg(F.max("minor").alias("minor"))
-    left = meet.filter("minor").select("token", F.col("block").alias("b1"), F.col("level").alias("l1"))
-    right = meet.select("token", F.col("block").alias("b2"), F.col("level").alias("l2"))
-    units = left.join(right, "token").filter("abs(l1 - l2) <= 1").select("b1", "b2").distinct()
-    units = written(units, "jaccard-units")
+    main = parts.groupBy("token").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.count(F.lit(1)).alias("found"), F.sum("n").alias("size"),
+        (F.min("a") == F.max("b")).alias("alike"), F.max("own").alias("own"),
+    )
+    open_lists = main.filter("found > 1 and not (size = 2 and alike and own)").select("token", "main")
+    return rows.join(open_lists, "token").withColumn("minor", F.col("component") != F.col("main"))
+
+
+def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT):
+    """Links between different components that share a list. Sets come in blocks of about BLOCK,
+    of one anchor and one level of size. Only blocks are compared that meet in an unsettled list,
+    whose sizes can link, and whose places in that list are near enough: a set that has d
+    shingles more before a common one lacks d of the other's. Each pair of blocks is compared
+    once, however many lists they share: sets outside some list's main component with the rest."""
+    rows = rows.withColumn("level", _level(percent))
+    sizes = rows.select("key", "anchor", "level").distinct().groupBy("anchor", "level")
+    sizes = sizes.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("key", F.lit(7)), "parts")
+    rows = rows.join(sizes, ["anchor", "level"]).select(
+        "token", "key", "n", "pos", "component", "minor", "level",
+        F.xxhash64("anchor", "level", part).alias("block"),
+    )
+    rows = written(rows, "jaccard-blocks")
+
+    def meeting(of, name):
+        return of.groupBy("token", "block", "level").agg(
+            F.min("pos").alias(f"low{name}"), F.max("pos").alias(f"high{name}"), F.max("n").alias(f"n{name}")
+        ).withColumnsRenamed({"block": f"b{name}", "level": f"level{name}"})
+
+    near = (
+        (F.abs(F.col("level1") - F.col("level2")) <= 1)
+        & (100 * (F.col("low2") - F.col("high1")) <= (100 - percent) * F.col("n2"))
+        & (100 * (F.col("low1") - F.col("high2")) <= (100 - percent) * F.col("n1"))
+    )
+    units = meeting(rows.filter("minor"), 1).join(meeting(rows, 2), "token").filter(near)
+    units = written(units.select("b1", "b2").distinct(), "jaccard-units")
     members = rows.groupBy("key", "component", "block").agg(F.max("minor").alias("minor"))
     members = written(members, "jaccard-members")
     probe = units.join(members.filter("minor").withColumnRenamed("block", "b1"), "b1")
     index = units.join(members.withColumnRenamed("block", "b2"), "b2")
     keep = ["b1", "b2", "key", "component"]
-    work = probe.select(*keep, F.lit(True).alias("probe")).unionByName(
+    roles = probe.select(*keep, F.lit(True).alias("probe")).unionByName(
         index.select(*keep, F.lit(False).alias("probe"))
     )
-    work = work.join(sets, "key").select(*keep, "probe", "shingles")
+    work = shipped(docs, classes, roles, ("b1", "b2"), id_col, text)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return linked(pdf, percent)
 
-    return work.groupBy("b1", "b2").applyInPandas(compare, "a string, b string")
+    return work.groupBy("b1", "b2").applyInPandas(compare, "a bigint, b bigint")
 
 
 def linked(pdf, percent=PERCENT):
@@ -360,7 +378,7 @@ def linked(pdf, percent=PERCENT):
     components. Overlaps come from differences to the first set, the pivot."""
     probes, others = pdf[pdf["probe"]], pdf[~pdf["probe"]]
     if not len(probes) or not len(others):
-        return pd.DataFrame({"a": [], "b": []}, dtype="string")
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     sets = [np.frombuffer(x, np.uint64) for x in [*probes["shingles"], *others["shingles"]]]
     pivot, k = sets[0], len(probes)
     lacks = [np.setdiff1d(pivot, s, assume_unique=True) for s in sets]
@@ -404,7 +422,7 @@ def linked(pdf, percent=PERCENT):
         if a != b:
             roots[a] = b
             links.append((a_keys[i], b_keys[j]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype="string")
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def one_of_each(docs, id_col="doc_id", text="text", percent=PERCENT):
@@ -432,26 +450,29 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     own component. Equal rows and equal texts are one class. A null id is never the smallest
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
     summary = written(summarise(docs, id_col, text), "jaccard-summary", ("kind",))
-    key = F.concat_ws("", F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
-    members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), "hi", key.alias("key"))
-    classes = members.filter("n_shingles > 0").groupBy("hi", "key").agg(F.min("id").alias("rep"))
+    members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), "hi", "lo")
+    classes = members.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "said")).alias("r"))
+    # numbered once, as they are written
+    classes = classes.select(
+        "hi", "lo", F.col("r.id").alias("rep"), F.col("r.said").alias("rep_said"),
+        F.monotonically_increasing_id().alias("key"),
+    )
     classes = written(classes, "jaccard-classes")
     index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
     lists = shared_lists(index, classes, percent)
-    sets = written(active_sets(docs, classes, lists, id_col, text), "jaccard-sets")
-    leaders = written(list_leaders(lists), "jaccard-leaders")
-    links = written(leader_links(lists, leaders, sets, percent), "jaccard-links")
+    anchored = written(anchors(lists, list_leaders(lists)), "jaccard-anchors")
+    links = written(anchor_links(docs, classes, anchored, id_col, text, percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
-    rest = written(unsettled(lists, labels), "jaccard-unsettled")
-    more = written(block_links(rest, blocks_of(lists, leaders, percent), sets, percent), "jaccard-links")
+    rest = written(unsettled(lists, anchored, labels), "jaccard-unsettled")
+    more = written(block_links(docs, classes, rest, id_col, text, percent), "jaccard-links")
     labels = written(components(links.unionByName(more)), "jaccard-labels")
     # every class with its component, every component with its smallest id
     placed = classes.join(labels, classes["key"] == labels["vertex"], "left").select(
-        "key", "rep", F.coalesce("component", "key").alias("component")
+        "hi", "lo", "rep", F.coalesce("component", "key").alias("component")
     )
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(smallest, "component").select("key", "component_id")
-    return members.join(named, "key", "left").select(
+    named = placed.join(smallest, "component").select("hi", "lo", "component_id")
+    return members.join(named, ["hi", "lo"], "left").select(
         F.col("id").alias(id_col), "said", "n_shingles",
         F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("id"))).alias("component_id"),
     )
