@@ -220,29 +220,21 @@ def shared_lists(index, classes, percent=PERCENT):
 
 def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
     """The sets of the classes in ``roles`` (key, ...), one row per role (its columns, shingles),
-    read from one document of each class and sent straight to where the role is played. The
-    documents' ids are broadcast while they are few (counted), otherwise shuffled."""
-    columns = roles.columns
-    plays = F.collect_list(F.struct(*columns)).alias("_roles")
-    ids = classes.join(roles.groupBy("key").agg(plays), "key").select("rep", "rep_said", "_roles")
+    read from one document of each class and dealt out by ``order``. The documents' ids are broadcast while they are few (counted), otherwise shuffled."""
+    ids = classes.join(roles.select("key").distinct(), "key").select("key", "rep", "rep_said")
     ids = written(ids, "jaccard-roles")
     few = ids.count() <= MOST_BROADCAST
     same = docs[id_col].eqNullSafe(F.col("rep")) & (said(text) == F.col("rep_said"))
     chosen = docs.join(F.broadcast(ids) if few else ids, same)
 
     def start():
-        def step(texts, lists):
-            out = []
-            for t, plays in zip(texts, lists, strict=True):
-                raw = shingles(t).tobytes()
-                out += [(*(r[c] for c in columns), raw) for r in plays]
-            return list(zip(*out, strict=True))
+        def step(keys, texts):
+            return keys, [shingles(t).tobytes() for t in texts]
 
         return step
 
-    fields = ", ".join(f"{c} {roles.schema[c].dataType.simpleString()}" for c in columns)
-    rows = map_batches(chosen.select(text, "_roles"), f"{fields}, shingles binary", start)
-    return rows.repartition(*order)
+    sets = map_batches(chosen.select("key", text), "key bigint, shingles binary", start)
+    return roles.join(sets, "key").repartition(*order)
 
 
 def _similar(both, n, m, percent):
