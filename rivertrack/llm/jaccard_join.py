@@ -224,8 +224,9 @@ def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
     ids = classes.join(roles.select("key").distinct(), "key").select("key", "rep", "rep_said")
     ids = written(ids, "jaccard-roles")
     few = ids.count() <= MOST_BROADCAST
-    same = docs[id_col].eqNullSafe(F.col("rep")) & (said(text) == F.col("rep_said"))
-    chosen = docs.join(F.broadcast(ids) if few else ids, same)
+    texts = docs.select(F.col(id_col).alias("_id"), said(text), F.col(text).alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("rep")) & (F.col("said") == F.col("rep_said"))
+    chosen = texts.join(F.broadcast(ids) if few else ids, same)
 
     def start():
         def step(keys, texts):
@@ -233,7 +234,7 @@ def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
 
         return step
 
-    sets = map_batches(chosen.select("key", text), "key bigint, shingles binary", start)
+    sets = map_batches(chosen.select("key", "_text"), "key bigint, shingles binary", start)
     return roles.join(sets, "key").repartition(*order)
 
 

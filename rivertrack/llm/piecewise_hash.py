@@ -145,7 +145,7 @@ def with_next(docs, id_col="doc_id", text="text"):
     ).withColumn("_tie", F.xxhash64("_text"))
     shares = [i / count for i in range(1, count)] or [0.5]
     cuts = rows.agg(F.percentile_approx("_order", shares, 100_000).alias("c")).first().c or []
-    cuts = sorted({float(c) for c in cuts})
+    cuts = sorted({float(c) for c in cuts}) or [0.0]
     splits = [-float("inf"), *cuts, float("inf")]
     placed = rows.withColumn("_double", F.col("_order").cast("double"))
     placed = Bucketizer(splits=splits, inputCol="_double", outputCol="_bucket").transform(placed)
