@@ -322,13 +322,16 @@ def unsettled(lists, anchored, labels):
     return rows.join(open_lists, "token").withColumn("minor", F.col("component") != F.col("main"))
 
 
-def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT):
+def block_links(docs, classes, rows, clusters, id_col="doc_id", text="text", percent=PERCENT):
     """Links between different components that share a list. Sets come in blocks of about BLOCK,
-    of one anchor and one level of size. Only blocks are compared that meet in an unsettled list,
+    of one cluster (sets, their anchors, the anchors of these, and so on) and one level of size. Only blocks are compared that meet in an unsettled list,
     whose sizes can link, and whose places in that list are near enough: a set that has d
     shingles more before a common one lacks d of the other's. Each pair of blocks is compared
     once, however many lists they share: sets outside some list's main component with the rest."""
-    rows = rows.withColumn("level", _level(percent))
+    rows = rows.drop("anchor").join(
+        clusters.select(F.col("vertex").alias("key"), F.col("component").alias("anchor")), "key", "left"
+    )
+    rows = rows.withColumns({"anchor": F.coalesce("anchor", "key"), "level": _level(percent)})
     sizes = rows.select("key", "anchor", "level").distinct().groupBy("anchor", "level")
     sizes = sizes.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key", F.lit(7)), "parts")
@@ -457,7 +460,9 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     links = written(anchor_links(docs, classes, anchored, id_col, text, percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
     rest = written(unsettled(lists, anchored, labels), "jaccard-unsettled")
-    more = written(block_links(docs, classes, rest, id_col, text, percent), "jaccard-links")
+    clusters = components(anchored.select(F.col("key").alias("a"), F.col("anchor").alias("b")))
+    clusters = written(clusters, "jaccard-clusters")
+    more = written(block_links(docs, classes, rest, clusters, id_col, text, percent), "jaccard-links")
     labels = written(components(links.unionByName(more)), "jaccard-labels")
     # every class with its component, every component with its smallest id
     placed = classes.join(labels, classes["key"] == labels["vertex"], "left").select(
