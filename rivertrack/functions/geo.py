@@ -31,17 +31,15 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def _atanh(x: Column) -> Column:
-    return F.log((1 + x) / (1 - x)) / 2
-
-
 def utm_zone9(long, lat) -> tuple[Column, Column]:
-    """Easting and northing of a position."""
+    """Easting and northing of a position; NULL for a latitude beyond 90 degrees, a longitude
+    beyond 360, or a value that is not finite."""
+    valid = (F.abs(_col(lat)) <= 90) & (F.abs(_col(long)) <= 360)
     phi = F.radians(_col(lat))
     lam = F.radians(_col(long) - CENTRAL_MERIDIAN)
     sin_phi = F.sin(phi)
     # tangent of the conformal latitude
-    tau = F.sinh(_atanh(sin_phi) - ECCENTRICITY * _atanh(ECCENTRICITY * sin_phi))
+    tau = F.sinh(F.atanh(sin_phi) - ECCENTRICITY * F.atanh(ECCENTRICITY * sin_phi))
     xi = F.atan2(tau, F.cos(lam))
     eta = F.asinh(F.sin(lam) / F.sqrt(tau * tau + F.cos(lam) * F.cos(lam)))
     east, north = eta, xi
@@ -49,4 +47,4 @@ def utm_zone9(long, lat) -> tuple[Column, Column]:
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     k = SCALE * RECTIFYING_RADIUS
-    return FALSE_EASTING + k * east, k * north
+    return F.when(valid, FALSE_EASTING + k * east), F.when(valid, k * north)

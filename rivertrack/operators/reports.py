@@ -184,25 +184,25 @@ def zone_presence_counts(det: DataFrame, sections: dict[str, Column]) -> DataFra
     label = sex_label("sex")
     sex = F.when(label == "Male", 2).when(label == "Female", 1).otherwise(0)
     flags = tag_flags(det, sections, sex=F.max(sex))
-    present = F.filter(
-        F.array(*[F.when(F.col(n), F.lit(n)) for n in sections]), lambda s: s.isNotNull()
-    )
-    return (
-        flags.select("sex", F.explode(present).alias("section"))
-        .groupBy("section")
-        .agg(
-            F.count_if(F.col("sex") == 2).alias("male"),
-            F.count_if(F.col("sex") == 1).alias("female"),
-            F.count_if(F.col("sex") == 0).alias("unknown"),
-            _count().alias("total"),
+    def counted(section):
+        here = F.col(section)
+        return F.struct(
+            F.lit(section).alias("section"),
+            F.count_if(here & (F.col("sex") == 2)).alias("male"),
+            F.count_if(here & (F.col("sex") == 1)).alias("female"),
+            F.count_if(here & (F.col("sex") == 0)).alias("unknown"),
+            F.count_if(here).alias("total"),
         )
-    )
+
+    # a section that no tag reached has a row of zeros
+    return flags.agg(F.array(*[counted(n) for n in sections]).alias("_rows")).select(F.inline("_rows"))
 
 
-def multi_survey_tags(det: DataFrame, surveys: int = 3) -> DataFrame:
-    """Tags seen on at least ``surveys`` mobile survey days."""
+def multi_survey_tags(det: DataFrame, surveys: int = 3, station: str = "Mobile") -> DataFrame:
+    """Tags seen on at least ``surveys`` mobile survey days: days with a row of the surveys'
+    ``station``, whatever the cascade has made of its method since."""
     return (
-        det.where(F.col("method") == "Mobile")
+        det.where(F.col("station") == station)
         .groupBy("tag")
         .agg(F.count_distinct("date").alias("surveys"))
         .where(F.col("surveys") >= surveys)

@@ -12,10 +12,6 @@ from rivertrack.sources.files import FILE_ORDER
 from rivertrack.sources.receivers import scan_receiver
 
 
-# seq of a station's rows begins at its place in the list times this
-STATION_SHIFT = 1 << 56
-
-
 def fixed_raw(
     spark: SparkSession, directories: list[str], station_of: dict[str, str] | None = None
 ) -> DataFrame:
@@ -28,12 +24,12 @@ def fixed_raw(
         rows = scan_receiver(
             spark, directory, station=station_of.get(directory), deploy_start=K.DEPLOY_START
         )
-        scans.append(rows.withColumn("_place", F.lit(min(i, 15))))
+        scans.append(rows.withColumn("_place", F.lit(i)))
     rows = reduce(DataFrame.unionByName, scans)
+    # numbered anew over all scans, whose splits follow one another in the order of the list
+    rows = rows.withColumn("seq", F.monotonically_increasing_id())
     first = dedup_keep_first(rows, by=("_place", "tag", "ts"), order=FILE_ORDER)
-    return first.withColumn("seq", F.col("seq") + F.col("_place") * F.lit(STATION_SHIFT)).drop(
-        "_place"
-    )
+    return first.drop("_place")
 
 
 def fixed_detections(raw: DataFrame, study_start: str = K.STUDY_START, stations=None) -> DataFrame:

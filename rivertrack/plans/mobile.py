@@ -20,7 +20,7 @@ def mobile_raw(srx: DataFrame) -> DataFrame:
 
 def mobile_initial(raw: DataFrame, tags: DataFrame, order=FILE_ORDER) -> DataFrame:
     """Known tags, after tagging, with a position, first row per (tag, time)."""
-    known = after_tagging(raw, tags).where(F.col("lat").isNotNull())
+    known = after_tagging(raw, tags).where((F.abs("lat") <= 90) & (F.abs("long") <= 360))
     return dedup_keep_first(known, by=("tag", "ts"), order=order)
 
 

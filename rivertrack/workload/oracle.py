@@ -367,7 +367,7 @@ FROM aft WHERE method = 'Mobile' OR station IN ('1', '2', '4', '5', '6')""",
   count(*) FILTER (WHERE sex = 'F') AS female, count(*) FILTER (WHERE sex IS NULL) AS unknown,
   count(*) AS total FROM s GROUP BY section""",
     "multi_survey_tags": f"""WITH {DET}
-SELECT tag, count(DISTINCT date) AS surveys FROM det WHERE method = 'Mobile' GROUP BY tag
+SELECT tag, count(DISTINCT date) AS surveys FROM det WHERE station = '3' GROUP BY tag
 HAVING count(DISTINCT date) >= 3""",
     "detection_efficiency": f"""WITH {DET}, st(station, r, z) AS (VALUES
   ('20', 20.0, NULL), ('40', 40.0, NULL), ('60', 60.0, 'signup'), ('80', 80.0, 'purchase')),

@@ -421,7 +421,7 @@ def zone_presence_counts(spark, sf):
 
 @query
 def multi_survey_tags(spark, sf):
-    return reports.multi_survey_tags(B.detections(spark, sf), 3)
+    return reports.multi_survey_tags(B.detections(spark, sf), 3, station="3")
 
 
 @query

@@ -6,9 +6,10 @@ import pytest
 import __spark_entry__ as entry
 from rivertrack.operators.timeline import slice_hot_tags
 from rivertrack.workload import binding
+from rivertrack.workload.oracle import ORACLE
+from rivertrack.workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 NO_SQL = {"jitter_points"}
 
 
@@ -48,5 +49,9 @@ def test_query_matches_sql_when_every_tag_is_long(spark, monkeypatch, name):
     assert compare.differences(ours, theirs) is None
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1

@@ -210,3 +210,27 @@ def test_stage_by_date_writes_few_files(spark, tmp_path):
     one_day = stage.where("date = DATE '2024-01-02'")
     assert "PartitionFilters: [isnotnull(date" in one_day._jdf.queryExecution().toString()
     assert one_day.count() == 1333
+
+
+def test_more_than_sixteen_stations_keep_their_rows(spark, tmp_path):
+    from rivertrack.plans.fixed import fixed_raw
+
+    places = []
+    for i in range(20):
+        place = tmp_path / f"Station{i + 100}"
+        place.mkdir()
+        head = "Date Time Site Ant Freq Type Code Power\n"
+        (place / "a.txt").write_text(head + "2024-09-04 15:03:08 1 1 149.500 LOTEK 7 -80\n")
+        places.append(str(place))
+    rows = fixed_raw(spark, places, {p: p[-3:] for p in places}).select("station", "seq").collect()
+    assert [r.station for r in sorted(rows, key=lambda r: r.seq)] == [str(i + 100) for i in range(20)]
+
+
+def test_positions_off_the_earth_are_null(spark):
+    from rivertrack.functions.geo import utm_zone9
+
+    rows = [(-127.0, 54.0), (-127.0, 90.0), (-127.0, 200.0), (float("nan"), 54.0), (-127.0, None)]
+    east, north = utm_zone9("long", "lat")
+    df = spark.createDataFrame(rows, "long double, lat double").select(east.alias("x"), north.alias("y"))
+    got = [r.x is not None and r.y is not None for r in df.collect()]
+    assert got == [True, True, False, False, False]
