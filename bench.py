@@ -1,4 +1,4 @@
-"""Time the headline queries: prints one JSON line.
+"""Time the queries of the detection operators: prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default: all) choose data and cores.
 Each query runs once unmeasured, then its best of two runs counts; results go to a no-op sink,
@@ -13,31 +13,6 @@ import time
 from rivertrack.session import local_session, shared_dir
 from rivertrack.workload.queries import QUERIES
 
-HEADLINE = [
-    "after_tagging",
-    "dedup_keep_first",
-    "min_gap_filter",
-    "lost_tag_flag",
-    "movement_rates",
-    "terminal_zone_lock",
-    "speed_filter_fixpoint",
-    "exclusion_rules",
-    "max_power_per_day",
-    "arrival_summary",
-    "detection_efficiency",
-    "false_positive_rate",
-    "length_summary",
-    "nearest_reference_point",
-    "vertex_attribute_join",
-    "history_panel",
-    "cleaning_cascade",
-    "fixed_pipeline",
-    "mobile_pipeline",
-    "scan_receiver",
-    "scan_srx",
-]
-
-
 def run(spark, name, sf_dir) -> float:
     start = time.perf_counter()
     QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -47,7 +22,7 @@ def run(spark, name, sf_dir) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or sorted(QUERIES)
     spark = local_session(cpus, "bench", partitions=cpus)
     shared_dir(spark)
     seconds = {}
