@@ -8,10 +8,13 @@ places left has no link.
 
 A list is not turned into all its pairs. First, every set is compared with its anchor, the one set
 that leads its lists; the components of the links found so far settle most lists, as sets already
-connected need no comparison. The sets of lists that still hold several components come in
-blocks, and only blocks that meet in a list, at sizes and positions that can link, are compared. Inside a pair of blocks a
-set's overlap with all others is derived from its difference to one pivot set: |x & y| is |p|
-less what either lacks of p plus what both have beside p, all read from the differences.
+connected need no comparison. What lists still hold of different components is found in two ways
+that share the work by list. In a short list each set meets the others, and a pair is compared
+only if it met often enough: what it can share after the prefixes is known from the sizes. The
+sets of longer lists come in blocks, and only blocks that meet in such a list, at sizes and
+positions that can link, are compared. Inside a pair of blocks a set's overlap with all others is
+derived from its difference to one pivot set: |x & y| is |p| less what either lacks of p plus
+what both have beside p, all read from the differences.
 """
 
 import math
@@ -29,7 +32,8 @@ PERCENT = 90
 HOT_IN_CHUNK, HOT, MOST_HOT = 4, 32, 500_000
 CHUNK = 2_000_000  # shingles counted at a time
 SHARED = 3  # prefix shingles that two linked, different sets have in common at least
-BLOCK = 256  # sets
+SHORT = 64  # sets of a list that meet one by one
+BLOCK = 512  # sets
 MOST_BROADCAST = 2_000_000  # ids of sets that share a list, 8 bytes each
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -258,13 +262,15 @@ def anchors(lists, leaders):
     return rows.select("key", "n", F.col("b.leader").alias("anchor"), F.col("b.leader_n").alias("anchor_n"))
 
 
-def anchor_links(docs, classes, anchored, id_col="doc_id", text="text", percent=PERCENT):
-    """Links (a, b) between sets and their anchors. An anchor's comparisons are dealt out in
-    chunks of at most a few thousand, each with its own copy of the anchor's set."""
-    pairs = anchored.filter(
-        (F.col("key") != F.col("anchor"))
-        & (100 * F.least("n", "anchor_n") >= percent * F.greatest("n", "anchor_n"))
-    ).select("key", "anchor")
+def anchor_pairs(anchored, percent=PERCENT):
+    """Rows (key, anchor) whose sizes can link."""
+    near = 100 * F.least("n", "anchor_n") >= percent * F.greatest("n", "anchor_n")
+    return anchored.filter((F.col("key") != F.col("anchor")) & near).select("key", "anchor")
+
+
+def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCENT):
+    """Links (a, b) among ``pairs`` (key, anchor). An anchor's comparisons are dealt out in chunks
+    of at most a few thousand, each with its own copy of the anchor's set."""
     chunks = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "anchor").select(
         "anchor", F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk"), "key"
@@ -318,23 +324,55 @@ def unsettled(lists, anchored, labels):
         F.count(F.lit(1)).alias("found"), F.sum("n").alias("size"),
         (F.min("a") == F.max("b")).alias("alike"), F.max("own").alias("own"),
     )
-    open_lists = main.filter("found > 1 and not (size = 2 and alike and own)").select("token", "main")
-    return rows.join(open_lists, "token").withColumn("minor", F.col("component") != F.col("main"))
+    open_lists = main.filter("found > 1 and not (size = 2 and alike and own)").select("token", "main", "size")
+    rows = rows.join(open_lists, "token").withColumn("minor", F.col("component") != F.col("main"))
+    return rows.select("token", "key", "n", "pos", "component", "minor", "size")
+
+
+def often_met(rows, percent=PERCENT):
+    """Pairs (key, anchor) of different components that meet in short lists and can link. What
+    two sets share beyond the prefixes is at most what the longer rest holds, so a linked pair
+    meets in as many lists as its overlap needs beyond that. Pairs that also meet in a longer
+    list are compared by ``block_links`` and need not be found here."""
+    one = rows.filter("minor").select("token", F.col("key").alias("a"), F.col("n").alias("n1"),
+                                      F.col("pos").alias("pos1"), F.col("component").alias("c1"))
+    two = rows.select("token", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
+                      F.col("component").alias("c2"), F.col("minor").alias("minor2"))
+    once = ~F.col("minor2") | (F.col("a") < F.col("b"))
+    near = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    placed = (
+        (100 * (F.col("pos2") - F.col("pos1")) <= (100 - percent) * F.col("n2"))
+        & (100 * (F.col("pos1") - F.col("pos2")) <= (100 - percent) * F.col("n1"))
+    )
+    met = one.join(two, "token").filter((F.col("c1") != F.col("c2")) & once & near & placed)
+
+    def unseen(n):  # shingles after a prefix
+        return F.greatest(F.ceil(percent * n / 100) - SHARED, F.lit(0))
+
+    # one of a pair can be minor here and the other one elsewhere
+    met = met.groupBy(F.least("a", "b").alias("key"), F.greatest("a", "b").alias("anchor")).agg(
+        F.count(F.lit(1)).alias("met"), F.max(F.col("n1") + F.col("n2")).alias("both"),
+        F.max(F.greatest(unseen(F.col("n1")), unseen(F.col("n2")))).alias("unseen"),
+    )
+    needed = F.ceil(percent * F.col("both") / (100 + percent))
+    return met.filter(F.col("met") + F.col("unseen") >= needed).select("key", "anchor")
 
 
 def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT):
-    """Links between different components that share a list. Sets come in blocks of about BLOCK,
-    of one anchor and one level of size. Only blocks are compared that meet in an unsettled list,
-    whose sizes can link, and whose places in that list are near enough: a set that has d
-    shingles more before a common one lacks d of the other's. Each pair of blocks is compared
-    once, however many lists they share: sets outside some list's main component with the rest."""
-    rows = rows.withColumn("level", _level(percent))
-    sizes = rows.select("key", "anchor", "level").distinct().groupBy("anchor", "level")
+    """Links between different components that share a long list. Sets come in blocks of about
+    BLOCK, of one level of size and with the same longest list. Only blocks are compared that
+    meet in a list, whose sizes can link, and whose places in that list are near enough: a set
+    that has d shingles more before a common one lacks d of the other's. Each pair of blocks is
+    compared once, however many lists they share: sets outside some list's main component with
+    the rest."""
+    home = rows.groupBy("key").agg(F.max(F.struct("size", "token"))["token"].alias("home"))
+    rows = rows.withColumn("level", _level(percent)).join(home, "key")
+    sizes = rows.select("key", "home", "level").distinct().groupBy("home", "level")
     sizes = sizes.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key", F.lit(7)), "parts")
-    rows = rows.join(sizes, ["anchor", "level"]).select(
+    rows = rows.join(sizes, ["home", "level"]).select(
         "token", "key", "n", "pos", "component", "minor", "level",
-        F.xxhash64("anchor", "level", part).alias("block"),
+        F.xxhash64("home", "level", part).alias("block"),
     )
     rows = written(rows, "jaccard-blocks")
 
@@ -454,10 +492,15 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
     lists = shared_lists(index, classes, percent)
     anchored = written(anchors(lists, list_leaders(lists)), "jaccard-anchors")
-    links = written(anchor_links(docs, classes, anchored, id_col, text, percent), "jaccard-links")
+    near = anchor_pairs(anchored, percent)
+    links = written(pair_links(docs, classes, near, id_col, text, percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
     rest = written(unsettled(lists, anchored, labels), "jaccard-unsettled")
-    more = written(block_links(docs, classes, rest, id_col, text, percent), "jaccard-links")
+    met = written(often_met(rest.filter(F.col("size") <= SHORT), percent), "jaccard-met")
+    more = pair_links(docs, classes, met, id_col, text, percent)
+    long = rest.filter(F.col("size") > SHORT)
+    more = more.unionByName(block_links(docs, classes, long, id_col, text, percent))
+    more = written(more, "jaccard-links")
     labels = written(components(links.unionByName(more)), "jaccard-labels")
     # every class with its component, every component with its smallest id
     placed = classes.join(labels, classes["key"] == labels["vertex"], "left").select(
