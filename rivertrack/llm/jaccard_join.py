@@ -262,10 +262,27 @@ def anchors(lists, leaders):
     return rows.select("key", "n", F.col("b.leader").alias("anchor"), F.col("b.leader_n").alias("anchor_n"))
 
 
-def anchor_pairs(anchored, percent=PERCENT):
-    """Rows (key, anchor) whose sizes can link."""
+def _unseen(n, percent):
+    """Shingles that a set has after its prefix."""
+    return F.greatest(F.ceil(percent * F.col(n) / 100) - SHARED, F.lit(0))
+
+
+def _meet_enough(n, m, percent):
+    """Whether sets that meet in ``met`` lists can link: what they share beyond the prefixes is
+    at most what the longer rest holds."""
+    needed = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+    return F.col("met") + F.greatest(_unseen(n, percent), _unseen(m, percent)) >= needed
+
+
+def anchor_pairs(lists, anchored, percent=PERCENT):
+    """Rows (key, anchor) that can link by their sizes and the number of lists they meet in."""
     near = 100 * F.least("n", "anchor_n") >= percent * F.greatest("n", "anchor_n")
-    return anchored.filter((F.col("key") != F.col("anchor")) & near).select("key", "anchor")
+    pairs = anchored.filter((F.col("key") != F.col("anchor")) & near)
+    places = lists.select("token", "key")
+    of_anchors = places.withColumnRenamed("key", "anchor")
+    met = places.join(pairs, "key").join(of_anchors, ["token", "anchor"])
+    met = met.groupBy("key", "n", "anchor", "anchor_n").agg(F.count(F.lit(1)).alias("met"))
+    return met.filter(_meet_enough("n", "anchor_n", percent)).select("key", "anchor")
 
 
 def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCENT):
@@ -330,10 +347,8 @@ def unsettled(lists, anchored, labels):
 
 
 def often_met(rows, percent=PERCENT):
-    """Pairs (key, anchor) of different components that meet in short lists and can link. What
-    two sets share beyond the prefixes is at most what the longer rest holds, so a linked pair
-    meets in as many lists as its overlap needs beyond that. Pairs that also meet in a longer
-    list are compared by ``block_links`` and need not be found here."""
+    """Pairs (key, anchor) of different components that meet in enough short lists to link. Pairs
+    that also meet in a longer list are compared by ``block_links`` and need not be found here."""
     one = rows.filter("minor").select("token", F.col("key").alias("a"), F.col("n").alias("n1"),
                                       F.col("pos").alias("pos1"), F.col("component").alias("c1"))
     two = rows.select("token", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
@@ -346,16 +361,12 @@ def often_met(rows, percent=PERCENT):
     )
     met = one.join(two, "token").filter((F.col("c1") != F.col("c2")) & once & near & placed)
 
-    def unseen(n):  # shingles after a prefix
-        return F.greatest(F.ceil(percent * n / 100) - SHARED, F.lit(0))
-
     # one of a pair can be minor here and the other one elsewhere
     met = met.groupBy(F.least("a", "b").alias("key"), F.greatest("a", "b").alias("anchor")).agg(
-        F.count(F.lit(1)).alias("met"), F.max(F.col("n1") + F.col("n2")).alias("both"),
-        F.max(F.greatest(unseen(F.col("n1")), unseen(F.col("n2")))).alias("unseen"),
+        F.count(F.lit(1)).alias("met"), F.min(F.least("n1", "n2")).alias("n"),
+        F.max(F.greatest("n1", "n2")).alias("m"),
     )
-    needed = F.ceil(percent * F.col("both") / (100 + percent))
-    return met.filter(F.col("met") + F.col("unseen") >= needed).select("key", "anchor")
+    return met.filter(_meet_enough("n", "m", percent)).select("key", "anchor")
 
 
 def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT):
@@ -492,7 +503,7 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
     index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
     lists = shared_lists(index, classes, percent)
     anchored = written(anchors(lists, list_leaders(lists)), "jaccard-anchors")
-    near = anchor_pairs(anchored, percent)
+    near = written(anchor_pairs(lists, anchored, percent), "jaccard-near")
     links = written(pair_links(docs, classes, near, id_col, text, percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
     rest = written(unsettled(lists, anchored, labels), "jaccard-unsettled")

@@ -182,7 +182,9 @@ def test_jaccard_components_equal_all_pairs(spark, docs, empty, rows):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_components_of_many_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("short", [2, 64])
+def test_jaccard_components_of_many_near_copies(spark, monkeypatch, short):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(11)
     rows = []
