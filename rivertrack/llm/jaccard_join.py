@@ -34,7 +34,7 @@ CHUNK = 2_000_000  # shingles counted at a time
 SHARED = 3  # prefix shingles that two linked, different sets have in common at least
 SHORT = 64  # sets of a list that meet one by one
 BLOCK = 512  # sets
-MOST_BROADCAST = 2_000_000  # ids of sets that share a list, 8 bytes each
+MOST_BROADCAST = 2_000_000  # ids or roles of sets to compare, some 40 bytes each
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (
@@ -224,7 +224,10 @@ def shared_lists(index, classes, percent=PERCENT):
 
 def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
     """The sets of the classes in ``roles`` (key, ...), one row per role (its columns, shingles),
-    read from one document of each class and dealt out by ``order``. The documents' ids are broadcast while they are few (counted), otherwise shuffled."""
+    read from one document of each class and dealt out by ``order``. The documents' ids and the
+    roles are broadcast while they are few (counted), so that sets are sent once; otherwise they
+    are shuffled."""
+    roles = written(roles, "jaccard-roles")
     ids = classes.join(roles.select("key").distinct(), "key").select("key", "rep", "rep_said")
     ids = written(ids, "jaccard-roles")
     few = ids.count() <= MOST_BROADCAST
@@ -239,7 +242,9 @@ def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
         return step
 
     sets = map_batches(chosen.select("key", "_text"), "key bigint, shingles binary", start)
-    return roles.join(sets, "key").repartition(*order)
+    if roles.count() <= MOST_BROADCAST:
+        roles = F.broadcast(roles)
+    return sets.join(roles, "key").repartition(*order)
 
 
 def _similar(both, n, m, percent):
