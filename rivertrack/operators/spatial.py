@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivertrack import constants as K
 from rivertrack.functions.geo import utm_zone9
@@ -17,13 +18,17 @@ def project_utm(df: DataFrame, long: str = "long", lat: str = "lat") -> DataFram
     return df.withColumns({"x": x, "y": y})
 
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # NaN is above infinity
+
+
 def _nearest_in_task(df: DataFrame, points: list) -> DataFrame:
     """Every task holds the whole (size-checked) point table and answers a batch at a time."""
     import numpy as np
     import pandas as pd
 
     points = sorted(points, key=lambda p: p.idx)
-    idx = np.array([p.idx for p in points], dtype="int64")
+    at_idx = np.arange(len(points))
     px = np.array([p.x for p in points])
     py = np.array([p.y for p in points])
     rows_at_once = max(1, 2_000_000 // len(points))
@@ -36,29 +41,22 @@ def _nearest_in_task(df: DataFrame, points: list) -> DataFrame:
             part = slice(i, i + rows_at_once)
             d = np.sqrt((xs[part, None] - px) ** 2 + (ys[part, None] - py) ** 2)
             at = d.argmin(axis=1)  # the first of equal distances, as idx is ascending
-            best[part] = idx[at]
+            best[part] = at_idx[at]
             dist[part] = d[np.arange(len(at)), at]
-        return pd.DataFrame({"idx": best, "dist": dist})
-
-    udf = F.pandas_udf(nearest, "idx bigint, dist double")
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
-    found = udf(F.coalesce("x", F.lit(float("nan"))), F.coalesce("y", F.lit(float("nan"))))
-    return (
-        df.withColumn("_near", found)
-        .withColumn("idx", F.when(placed, F.col("_near.idx")))
-        .withColumn("dist", F.when(placed, F.col("_near.dist")))
-        .drop("_near")
-    )
+        return pd.DataFrame({"at": best, "dist": dist})
 
+    udf = F.pandas_udf(nearest, "at bigint, dist double")
+    return df.withColumn("_near", udf("x", "y")).select("x", "y", "_near.at", "_near.dist")
 
-def _nearest_by_cell(df: DataFrame, points: DataFrame, id_col: str, cell: float) -> DataFrame:
-    """For a point table too large to hold in a task: join on grid cells. A row looks at the
+
+def _nearest_by_cell(df: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """For a point table too large to hold in a task: join on grid cells. A position looks at the
     3x3 cells around it and is done if its nearest point there is no farther than one cell, as
     nothing outside can be nearer. The rest, ever fewer, try again with cells four times as
     wide, until none is left."""
     shared_dir(df.sparkSession)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    pending = df.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(id_col, "x", "y")
+    pending = df
     found = []
     while True:
 
@@ -80,24 +78,22 @@ def _nearest_by_cell(df: DataFrame, points: DataFrame, id_col: str, cell: float)
         near = (
             pending.withColumns({"_cx": cell_of("x"), "_cy": cell_of("y")})
             .join(spread, ["_cx", "_cy"])
-            .groupBy(id_col)
+            .groupBy("x", "y")
             .agg(F.min(F.struct(dist.alias("dist"), "idx")).alias("_near"))
-            .select(id_col, "_near.dist", "_near.idx")
+            .select("x", "y", "_near.idx", "_near.dist")
             .where(F.col("dist") <= cell)
             .checkpoint()
         )
         found.append(near)
-        pending = pending.join(near, id_col, "left_anti").checkpoint()
+        pending = pending.join(near, ["x", "y"], "left_anti").checkpoint()
         if pending.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, found)
         cell *= 4
-    return df.join(reduce(DataFrame.unionByName, found), id_col, "left")
 
 
 def nearest_reference_point(
     df: DataFrame,
     points: DataFrame,
-    id_col: str = "det_id",
     max_points: int = 20_000,
     cell: float | None = None,
 ) -> DataFrame:
@@ -105,14 +101,24 @@ def nearest_reference_point(
 
     ``points`` (idx, x, y, ...) is a reference layer of one point per kilometre. Up to
     ``max_points`` are read to the driver and sent to every task: no pair of row and point is
-    ever a row. A larger layer is joined by grid cell. Rows without a position get NULLs.
+    ever a row. A larger layer is joined by grid cell. Both ways answer each distinct position
+    once, so rows need no id, and agree. Rows whose position is missing or not finite get NULLs;
+    points without a finite position are never nearest.
     """
+    points = points.where(_finite("x") & _finite("y"))
     held = points.limit(max_points + 1).collect()
     if not held:
         raise ValueError("no reference points")
+    positions = df.where(_finite("x") & _finite("y")).select("x", "y").distinct()
     if len(held) <= max_points:
-        placed = _nearest_in_task(df, held)
-        payload = F.broadcast(fixed_table(df.sparkSession, held, points.schema).drop("x", "y"))
+        order = sorted(held, key=lambda p: p.idx)
+        schema = points.drop("x", "y").schema
+        names = [f.name for f in schema]
+        kept = T.StructType([T.StructField("at", T.LongType()), *schema.fields])
+        rows = [(i, *[p[n] for n in names]) for i, p in enumerate(order)]
+        placed = _nearest_in_task(positions, held)
+        payload = F.broadcast(fixed_table(df.sparkSession, rows, kept))
+        near = placed.join(payload, "at", "left").drop("at")
     else:
         slim = points.select("idx", "x", "y")
         if cell is None:
@@ -122,9 +128,10 @@ def nearest_reference_point(
                 (F.max("y") - F.min("y")).alias("h"),
             ).first()
             cell = max(box.w, box.h, 1e-9) / max(1.0, box.n**0.5)
-        placed = _nearest_by_cell(df, slim, id_col, cell)
-        payload = points.drop("x", "y")
-    return placed.join(payload, "idx", "left")
+        near = _nearest_by_cell(positions, slim, cell).join(points.drop("x", "y"), "idx", "left")
+    return df.join(near, ["x", "y"], "left").select(
+        *df.columns, *[c for c in near.columns if c not in ("x", "y")]
+    )
 
 
 def bbox_membership(df: DataFrame, extents=tuple(K.MAP_EXTENTS)) -> DataFrame:
@@ -155,8 +162,10 @@ def jitter_points(df: DataFrame, amount: float, key: str = "seq") -> DataFrame:
     shift is a hash of ``key``, so a task run again draws the same."""
 
     def shift(salt: int) -> Column:
-        unit = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(2**53)) / F.lit(float(2**53))
-        return (unit * 2 - 1) * amount
+        named = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(salt)))
+        # the first 13 hexadecimal digits of the hash, as a number from 0 to 1
+        digits = F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double")
+        return (digits / float(2**52) * 2 - 1) * amount
 
     return df.withColumns(
         {"x_jitter": F.col("x") + shift(1), "y_jitter": F.col("y") + shift(2)}

@@ -49,7 +49,8 @@ def slice_hot_tags(
     when no tag is that long. Otherwise a long tag is cut evenly over its time span, slices still
     too full are cut again, and rows that share one instant are cut by ``seq``. The table of
     cuts reaches the driver and the executors, so ``rows_per_slice`` is raised until it has at
-    most ``max_cuts`` rows. This is the only place where an operator runs a job up front.
+    most ``max_cuts`` rows. These counts are jobs that run while the plan is made, as do the rounds
+    of ``speed_filter`` on slices and the reading of a reference layer.
     """
     spark, tag_type = df.sparkSession, df.schema["tag"].dataType
 
@@ -75,6 +76,7 @@ def slice_hot_tags(
             T.StructField("_tag", tag_type),
             T.StructField("_slice", T.LongType()),
             T.StructField("_by_seq", T.BooleanType()),
+            T.StructField("_timeless", T.BooleanType()),
             T.StructField("_lo", T.LongType()),
             T.StructField("_width", T.LongType()),
         ]
@@ -101,10 +103,14 @@ def slice_hot_tags(
             by_seq = r.t0 == r.t1
             lo, hi = (r.s0, r.s1) if by_seq else (r.t0, r.t1)
             parts = min(-(-r.n // rows_per_slice), 2**_CUT_BITS - 1)
-            cuts.append((r.tag, r[SLICE], by_seq, lo, -(-(hi - lo + 1) // parts)))
-        at = F.when(F.col("_by_seq"), seq).otherwise(time)
+            cuts.append((r.tag, r[SLICE], by_seq, r.t0 is None, lo, -(-(hi - lo + 1) // parts)))
+        # rows without a time come first in a timeline, so they stay in the first of the new
+        # slices; where no row has one, seq alone orders them
+        ordered = F.col("ts").isNotNull() | F.col("_timeless")
+        at = F.when(F.col("_by_seq"), F.when(ordered, seq)).otherwise(time)
         place = F.lit(2 ** (_CUT_BITS * (_CUTS - 1 - level)))
-        step = F.floor((at - F.col("_lo")) / F.col("_width")) * place
+        cut = F.floor((at - F.col("_lo")) / F.col("_width"))
+        step = F.coalesce(cut, F.lit(0)) * place
         out = (
             out.join(
                 F.broadcast(fixed_table(spark, cuts, schema)),

@@ -24,9 +24,9 @@ def mobile_initial(raw: DataFrame, tags: DataFrame, order=FILE_ORDER) -> DataFra
     return dedup_keep_first(known, by=("tag", "ts"), order=order)
 
 
-def mobile_rkm(initial: DataFrame, points: DataFrame, id_col: str = "seq") -> DataFrame:
+def mobile_rkm(initial: DataFrame, points: DataFrame) -> DataFrame:
     """River kilometre and zone of the nearest reference point."""
-    return nearest_reference_point(project_utm(initial), points, id_col=id_col)
+    return nearest_reference_point(project_utm(initial), points)
 
 
 def mobile_pipeline(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rivertrack import constants as K
 from rivertrack.operators import cleaning, lookups, reports
 from rivertrack.operators.rules import study_rules
+from rivertrack.operators.timeline import slice_hot_tags
 from rivertrack.plans import cascade, fixed, maps, mobile, movement
 from rivertrack.schema import RKM_POINTS, TAG_METADATA_2023, TAG_METADATA_2024
 from rivertrack.sources import files, receivers
@@ -62,7 +63,7 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
     fixed_rows = stage("fixed", lookups.after_tagging(known, tags), ["date"])
     report("detections_per_station", reports.count_by(heard, "station"))
     report("false_positive_rate", reports.false_positive_rate(heard, tags))
-    report("lost_tags", cleaning.lost_tags(fixed_rows))
+    report("lost_tags", cleaning.lost_tags(slice_hot_tags(fixed_rows)))
 
     # mobile surveys
     survey = stage("mobile_raw", mobile.mobile_raw(receivers.scan_srx(spark, inputs.surveys)))
@@ -82,7 +83,7 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
     )
     clean = stage("detections_clean", clean, ["date"])
     bare = clean.drop("distance", "lag_days", "rate")
-    report("impossible_moves", cleaning.impossible_moves(bare))
+    report("impossible_moves", cleaning.impossible_moves(slice_hot_tags(bare)))
     report("lake_outlet_tags", reports.count_by(clean.where(F.col("rkm") == K.LAKE_RKM), "tag"))
 
     # histories, maps, movement

@@ -1,9 +1,4 @@
-"""The same results in plain SQL over the given tables, written independently of the operators.
-
-``jitter_points`` has none: its shift is a Spark hash.
-"""
-
-from rivertrack.functions import geo
+"""The same results in plain SQL over the given tables, written independently of the operators."""
 
 DET = """det AS (
   SELECT user_id AS tag, ts, event_id AS seq, value AS power, CAST(ts AS DATE) AS date,
@@ -158,16 +153,24 @@ def _priority(sections, system, names, source):
 best AS (SELECT * FROM sets QUALIFY row_number() OVER (PARTITION BY tag ORDER BY p, ts, seq) = 1)"""
 
 
+# of GRS 80: eccentricity, the series of the transverse Mercator projection, rectifying radius
+UTM_E = 0.08181919104281579
+UTM_SERIES = (
+    0.0008377318247344344, 7.608527788826164e-07, 1.1976380191731537e-09, 2.443376242510368e-12,
+)
+UTM_RADIUS = 6367449.145771048
+
+
 def _utm(long, lat, prefix, source):
     """Projection in steps, as CTEs ending in ``{prefix}_xy`` with x and y."""
-    e = geo.ECCENTRICITY
+    e = UTM_E
     east = " + ".join(
-        f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo.SERIES, 1)
+        f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(UTM_SERIES, 1)
     )
     north = " + ".join(
-        f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo.SERIES, 1)
+        f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(UTM_SERIES, 1)
     )
-    k = geo.SCALE * geo.RECTIFYING_RADIUS
+    k = 0.9996 * UTM_RADIUS
     return f"""{prefix}_a AS (
   SELECT *, sin(radians({lat})) AS s, radians({long} + 129.0) AS lam FROM {source}),
 {prefix}_b AS (
@@ -404,6 +407,11 @@ FROM p_xy JOIN extents ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
 {_utm("long", "lat", "p", "m")}
 SELECT tag, seq, extent, round(x, 2) AS x, round(y, 2) AS y
 FROM p_xy JOIN extents ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
+    "jitter_points": f"""WITH {VEC}, h AS (
+  SELECT *, ('0x' || substr(md5(det_id || ':1'), 1, 13))::BIGINT::DOUBLE AS h1,
+         ('0x' || substr(md5(det_id || ':2'), 1, 13))::BIGINT::DOUBLE AS h2 FROM vec)
+SELECT det_id, x, y, label, x + (h1 / 4503599627370496.0::DOUBLE * 2 - 1) * 500 AS x_jitter,
+       y + (h2 / 4503599627370496.0::DOUBLE * 2 - 1) * 500 AS y_jitter FROM h""",
     "vertex_attribute_join": """SELECT l_orderkey AS id, l_linenumber AS vertex,
        l_extendedprice AS long, l_quantity AS lat, o_orderpriority AS road_class
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey

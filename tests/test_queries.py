@@ -10,7 +10,7 @@ from rivertrack.workload.oracle import ORACLE
 from rivertrack.workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
-NO_SQL = {"jitter_points"}
+NO_SQL = set()
 
 
 @pytest.fixture(scope="module")

@@ -86,6 +86,22 @@ def test_nearest_tie_takes_lowest_index(spark):
     assert spatial.nearest_reference_point(d, p, max_points=1).first().idx == 2
 
 
+@pytest.mark.parametrize("way", [{}, {"max_points": 1}], ids=["in task", "by cell"])
+def test_nearest_repeated_ids_and_bad_positions(spark, way):
+    p = spark.createDataFrame(
+        [(0, 0.0, 0.0), (2, 10.0, 0.0), (5, float("nan"), 0.0)], "idx INT, x DOUBLE, y DOUBLE"
+    )
+    nan, inf = float("nan"), float("inf")
+    d = spark.createDataFrame(
+        [(1, 1.0, 0.0), (1, 9.0, 0.0), (1, 9.0, 0.0), (2, nan, 0.0), (3, 0.0, inf), (4, None, 0.0)],
+        "det_id BIGINT, x DOUBLE, y DOUBLE",
+    )
+    out = spatial.nearest_reference_point(d, p, **way)
+    assert out.schema["idx"].dataType.simpleString() == "int"
+    got = sorted((r.det_id, r.idx if r.idx is not None else -1) for r in out.collect())
+    assert got == [(1, 0), (1, 2), (1, 2), (2, -1), (3, -1), (4, -1)]
+
+
 def test_mobile_rkm(spark):
     p = spatial.project_utm(
         spark.createDataFrame(

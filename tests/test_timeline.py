@@ -81,6 +81,16 @@ def test_sliced_equals_plain(rows, det, sliced, name):
     assert rows(cut, *OPERATORS[name](det).columns) == plain
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_rows_without_time_stay_in_their_timeline(rows, det, name):
+    """They come first, sliced or not, also where all of a tag's times are missing."""
+    some = det.withColumn("ts", F.when(F.col("seq") % 7 != 0, F.col("ts")))
+    for d in (some, det.withColumn("ts", F.lit(None).cast(det.schema["ts"].dataType))):
+        cut = slice_hot_tags(d, rows_per_slice=LIMIT)
+        assert is_sliced(cut)
+        assert rows(OPERATORS[name](cut).drop(SLICE)) == rows(OPERATORS[name](d))
+
+
 def test_lost_tags(rows, det, sliced, data):
     want = {}
     for tag, track in tracks.timelines(data).items():
