@@ -10,6 +10,7 @@ from rivertrack.sources.files import stage_path, write_stage
 # The six characters that separate words, as a class of Java, Python and RE2 patterns alike.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark, sf_dir, name):
@@ -18,8 +19,15 @@ def table(spark, sf_dir, name):
 
 def written(df, name, partition_by=()):
     """``df`` written once to the shared folder and read back: later steps start from files that
-    every executor reaches, so a lost executor costs a re-read and no step runs twice."""
-    return write_stage(df, stage_path(df.sparkSession, name), partition_by)
+    every executor reaches, so a lost executor costs a re-read and no step runs twice. The
+    step's shuffle files go as soon as it has ended, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES)
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        return write_stage(df, stage_path(df.sparkSession, name), partition_by)
+    finally:
+        conf.set(DROP_SHUFFLES, before)
 
 
 def let(value, body):
