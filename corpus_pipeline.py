@@ -8,6 +8,9 @@ from rivertrack.llm.common import table, written
 from rivertrack.sources.files import stage_path
 
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # near duplicates: shingle length, least Jaccard similarity
+
+
 def quality_rules_stage(spark, docs, sf_dir):
     """Documents that the base rules or the adaptive cutoffs reject go."""
     return quality_rules.quality_filter(docs)
@@ -22,8 +25,9 @@ def quality_classifier_stage(spark, docs, sf_dir):
 
 
 def jaccard_join_stage(spark, docs, sf_dir):
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return jaccard_join.one_of_each(docs)
+    """Of each group of near duplicates, texts that share 80 % of their five-word shingles, the
+    document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs, percent=NEAR_PERCENT, words=NEAR_WORDS)
 
 
 def secret_scan_stage(spark, docs, sf_dir):

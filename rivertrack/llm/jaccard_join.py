@@ -1,10 +1,10 @@
 """N-gram Jaccard join of all documents, exact, by index lists and relations between sets.
 
 Equal sets are one class and count once. A class is indexed under the shingles of its prefix: in
-an order common to all sets, two sets that link share three shingles among the first
-n - ceil(t n) + 3 of each. Frequent shingles come last in that order, so lists stay short. A place
+an order common to all sets, two sets that link share three shingles (fewer at thresholds below
+two thirds) among the first n - ceil(t n) + 3 of each. Frequent shingles come last in that order, so lists stay short. A place
 in a list is skipped if no set there is near enough in size, and a set with fewer than three
-places left has no link.
+places left has no link. The length of the shingles and the threshold are arguments.
 
 A list is not turned into all its pairs. First, every set is compared with its anchor, the one set
 that leads its lists; the components of the links found so far settle most lists, as sets already
@@ -18,6 +18,7 @@ what both have beside p, all read from the differences.
 """
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,14 +32,14 @@ WORDS = 3
 PERCENT = 90
 HOT_IN_CHUNK, HOT, MOST_HOT = 4, 32, 500_000
 CHUNK = 2_000_000  # shingles counted at a time
-SHARED = 3  # prefix shingles that two linked, different sets have in common at least
+SHARED = 3  # prefix shingles that two linked, different sets have in common at least, if they share so many
 SHORT = 64  # sets of a list that meet one by one
 BLOCK = 512  # sets
 MOST_BROADCAST = 2_000_000  # ids or roles of sets to compare, some 40 bytes each
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_M1, _M2, _M3, _M4 = (np.uint64(x) for x in (
-    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
+_PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]  # odd factors of a shingle's first words
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 class _Words(dict):
@@ -52,20 +53,29 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text):
-    """The distinct 3-word shingles of a text as sorted 64-bit hashes. A-Z is lower-cased and the
-    six ASCII white-space characters separate words; fewer than three words are one shingle,
-    none have none."""
+@cache
+def _place(i):
+    """The factor of a shingle's word ``i``."""
+    return np.uint64(_PLACES[i] if i < len(_PLACES) else xxhash.xxh3_64_intdigest(f"place {i}") | 1)
+
+
+def shingles(text, length=WORDS):
+    """The distinct shingles of ``length`` words of a text as sorted 64-bit hashes. A-Z is
+    lower-cased and the six ASCII white-space characters separate words; fewer words than
+    ``length`` are one shingle, none have none."""
     words = (text or "").encode().translate(_LOWER).split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    if n < WORDS:
-        h = np.append(h, np.full(WORDS - n, n, np.uint64))
-    s = h[:-2] * _M1 + h[1:-1] * _M2 + h[2:] * _M3
+    if n < length:
+        h = np.append(h, np.full(length - n, n, np.uint64))
+    count = len(h) - length + 1
+    s = h[:count] * _place(0)
+    for i in range(1, length):
+        s += h[i : i + count] * _place(i)
     s ^= s >> np.uint64(32)
-    s *= _M4
+    s *= _MIX
     s ^= s >> np.uint64(29)
     return np.unique(s)
 
@@ -84,7 +94,7 @@ def said(text="text"):
     return F.xxhash64(whole_text(text)).alias("said")
 
 
-def summarise(docs, id_col="doc_id", text="text"):
+def summarise(docs, id_col="doc_id", text="text", words=WORDS):
     """One pass over the texts: rows of kind 0, one per document (id, said, n, hi, lo), ``said``
     being a hash of its text, and rows of kind 1, shingles seen HOT_IN_CHUNK times in a stretch
     of the partition (hi, n)."""
@@ -113,7 +123,7 @@ def summarise(docs, id_col="doc_id", text="text"):
             nonlocal size
             n, hi, lo, hot = [], [], [], [(np.zeros(0, np.int64),) * 2]
             for t in texts:
-                found = shingles(t)
+                found = shingles(t, words)
                 pending.append(found)
                 size += len(found)
                 a, b = _key(found)
@@ -148,7 +158,13 @@ def least_overlap(n, percent=PERCENT):
     return -(-percent * n // 100)
 
 
-def postings(docs, hot, text="text", percent=PERCENT):
+def shared_places(percent=PERCENT):
+    """Prefix shingles that two linked, different sets have in common at least: of what they
+    share, which is percent / (100 - percent) at least, SHARED or all."""
+    return min(SHARED, max(1, -(-percent // max(1, 100 - percent))))
+
+
+def postings(docs, hot, text="text", percent=PERCENT, words=WORDS):
     """Rows (token, hi, n, pos): the prefix of every document's set, without a shuffle. ``hi`` is
     half of the set's name; the other half follows once most places are ruled out."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -159,11 +175,11 @@ def postings(docs, hot, text="text", percent=PERCENT):
         def step(texts):
             out = []
             for t in texts:
-                found = shingles(t)
+                found = shingles(t, words)
                 n = len(found)
                 if not n:
                     continue
-                length = min(n, n - least_overlap(n, percent) + SHARED)
+                length = min(n, n - least_overlap(n, percent) + shared_places(percent))
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
                     rank = np.where(tokens[at] == found, classes[at], -1)
@@ -206,9 +222,9 @@ def _near_in_size(rows, percent):
     return rows.join(around, ["token", "level"]).filter(possible).select("token", "key", "n", "pos")
 
 
-def _often_placed(rows):
+def _often_placed(rows, percent):
     places = rows.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
-    return rows.join(places.filter(F.col("places") >= SHARED).select("key"), "key")
+    return rows.join(places.filter(F.col("places") >= shared_places(percent)).select("key"), "key")
 
 
 def shared_lists(index, classes, percent=PERCENT):
@@ -219,10 +235,10 @@ def shared_lists(index, classes, percent=PERCENT):
     rows = index.join(several, "token").dropDuplicates(["token", "hi"])
     rows = rows.join(classes.select("hi", "key"), "hi").select("token", "key", "n", "pos")
     rows = written(rows, "jaccard-lists")
-    return written(_often_placed(_near_in_size(rows, percent)), "jaccard-lists")
+    return written(_often_placed(_near_in_size(rows, percent), percent), "jaccard-lists")
 
 
-def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
+def shipped(docs, classes, roles, order, id_col="doc_id", text="text", words=WORDS):
     """The sets of the classes in ``roles`` (key, ...), one row per role (its columns, shingles),
     read from one document of each class and dealt out by ``order``. The documents' ids and the
     roles are broadcast while they are few (counted), so that sets are sent once; otherwise they
@@ -237,7 +253,7 @@ def shipped(docs, classes, roles, order, id_col="doc_id", text="text"):
 
     def start():
         def step(keys, texts):
-            return keys, [shingles(t).tobytes() for t in texts]
+            return keys, [shingles(t, words).tobytes() for t in texts]
 
         return step
 
@@ -269,7 +285,7 @@ def anchors(lists, leaders):
 
 def _unseen(n, percent):
     """Shingles that a set has after its prefix."""
-    return F.greatest(F.ceil(percent * F.col(n) / 100) - SHARED, F.lit(0))
+    return F.greatest(F.ceil(percent * F.col(n) / 100) - shared_places(percent), F.lit(0))
 
 
 def _meet_enough(n, m, percent):
@@ -290,7 +306,7 @@ def anchor_pairs(lists, anchored, percent=PERCENT):
     return met.filter(_meet_enough("n", "anchor_n", percent)).select("key", "anchor")
 
 
-def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCENT):
+def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
     """Links (a, b) among ``pairs`` (key, anchor). An anchor's comparisons are dealt out in chunks
     of at most a few thousand, each with its own copy of the anchor's set."""
     chunks = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("chunks"))
@@ -301,7 +317,7 @@ def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCE
         "anchor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
         F.col("anchor").alias("key"),
     )
-    work = shipped(docs, classes, dealt.unionByName(heads), ("anchor", "chunk"), id_col, text)
+    work = shipped(docs, classes, dealt.unionByName(heads), ("anchor", "chunk"), id_col, text, words)
     work = work.sortWithinPartitions("anchor", "chunk", F.col("key") != F.col("anchor"))
 
     def start():
@@ -374,7 +390,7 @@ def often_met(rows, percent=PERCENT):
     return met.filter(_meet_enough("n", "m", percent)).select("key", "anchor")
 
 
-def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT):
+def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
     """Links between different components that share a long list. Sets come in blocks of about
     BLOCK, of one level of size and with the same longest list. Only blocks are compared that
     meet in a list, whose sizes can link, and whose places in that list are near enough: a set
@@ -412,7 +428,7 @@ def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCE
     roles = probe.select(*keep, F.lit(True).alias("probe")).unionByName(
         index.select(*keep, F.lit(False).alias("probe"))
     )
-    work = shipped(docs, classes, roles, ("b1", "b2"), id_col, text)
+    work = shipped(docs, classes, roles, ("b1", "b2"), id_col, text, words)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return linked(pdf, percent)
@@ -472,10 +488,10 @@ def linked(pdf, percent=PERCENT):
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def one_of_each(docs, id_col="doc_id", text="text", percent=PERCENT):
+def one_of_each(docs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
     """The rows of ``docs`` that carry their component's smallest id, with all their columns and
     only those; of equal rows one stays. Documents without words all stay."""
-    rows = written(jaccard_components(docs, id_col, text, percent), "jaccard-components")
+    rows = written(jaccard_components(docs, id_col, text, percent, words), "jaccard-components")
     kept = rows.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(
         F.col(id_col).alias("_id"), F.col("said").alias("_said")
     )
@@ -488,15 +504,15 @@ def one_of_each(docs, id_col="doc_id", text="text", percent=PERCENT):
     return out.drop("_now")
 
 
-def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
+def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
     """One row (id, said, n_shingles, component_id) per row of ``docs``: a hash of its text, the size of the document's set
     and the smallest id reachable over links, two documents linking when
-    100 * |intersection| >= percent * |union|.
+    100 * |intersection| >= percent * |union| of their shingles of ``words`` words.
 
     A null or empty text, or one without words, has an empty set, links with nothing and is its
     own component. Equal rows and equal texts are one class. A null id is never the smallest
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
-    summary = written(summarise(docs, id_col, text), "jaccard-summary", ("kind",))
+    summary = written(summarise(docs, id_col, text, words), "jaccard-summary", ("kind",))
     members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), "hi", "lo")
     classes = members.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "said")).alias("r"))
     # numbered once, as they are written
@@ -505,17 +521,17 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT):
         F.monotonically_increasing_id().alias("key"),
     )
     classes = written(classes, "jaccard-classes")
-    index = written(postings(docs, frequent(summary), text, percent), "jaccard-index")
+    index = written(postings(docs, frequent(summary), text, percent, words), "jaccard-index")
     lists = shared_lists(index, classes, percent)
     anchored = written(anchors(lists, list_leaders(lists)), "jaccard-anchors")
     near = written(anchor_pairs(lists, anchored, percent), "jaccard-near")
-    links = written(pair_links(docs, classes, near, id_col, text, percent), "jaccard-links")
+    links = written(pair_links(docs, classes, near, id_col, text, percent, words), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
     rest = written(unsettled(lists, anchored, labels), "jaccard-unsettled")
     met = written(often_met(rest.filter(F.col("size") <= SHORT), percent), "jaccard-met")
-    more = pair_links(docs, classes, met, id_col, text, percent)
+    more = pair_links(docs, classes, met, id_col, text, percent, words)
     long = rest.filter(F.col("size") > SHORT)
-    more = more.unionByName(block_links(docs, classes, long, id_col, text, percent))
+    more = more.unionByName(block_links(docs, classes, long, id_col, text, percent, words))
     more = written(more, "jaccard-links")
     labels = written(components(links.unionByName(more)), "jaccard-labels")
     # every class with its component, every component with its smallest id
