@@ -66,7 +66,9 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
     report("lost_tags", cleaning.lost_tags(slice_hot_tags(fixed_rows)))
 
     # mobile surveys
-    survey = stage("mobile_raw", mobile.mobile_raw(receivers.scan_srx(spark, inputs.surveys)))
+    records, rejected = receivers.read_srx(spark, inputs.surveys)
+    stage("mobile_quarantine", rejected)
+    survey = stage("mobile_raw", mobile.mobile_raw(records))
     report("freqs_per_survey", reports.count_by(survey, "date", "frequency"))
     initial = stage("mobile_initial", mobile.mobile_initial(survey, tags))
     points = spark.read.schema(RKM_POINTS).parquet(inputs.rkm_points)

@@ -1,18 +1,23 @@
 """Receiver downloads: fixed stations (one header line, whitespace-separated) and mobile SRX
 surveys (a preamble of any length, then records, then a trailer)."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivertrack import constants as K
 from rivertrack.functions.keys import tag_key
 from rivertrack.functions.times import parse_date, parse_ts
+from rivertrack.schema import fixed_table
 from rivertrack.sources.files import number_lines, read_lines, settle_lines, split_starts
 
 # fixed values: the line that precedes an SRX file's records, and how many lines follow it
 SRX_MARKER = "ID Only Records"
 SRX_LINES_AFTER_MARKER = 2
 SRX_STATION_CHARS = 6
+# why lines of a survey download are in quarantine
+NO_MARKER, NO_TAG, ERROR_RECORD = "no marker", "no tag number", "error code"
 
 
 def _records(lines: DataFrame, parsed: dict[str, Column]) -> DataFrame:
@@ -76,8 +81,9 @@ def receiver_quarantine(spark: SparkSession, paths) -> DataFrame:
     return rows.select("value", "src_path", "src_file", "src_block", "seq")
 
 
-def _srx_lines(spark: SparkSession, paths) -> DataFrame:
-    """The lines of each file from the third after its first marker on."""
+def _srx_lines(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """The numbered lines of all files, with the number of their file's first marker (NULL if it
+    has none), and the paths of files without any line."""
     lines = settle_lines(read_lines(spark, paths))
     starts = split_starts(lines)
     marker = (
@@ -85,11 +91,11 @@ def _srx_lines(spark: SparkSession, paths) -> DataFrame:
         .groupBy("src_path")
         .agg(F.min("line").alias("_marker"))
     )
+    # file:///x is file:/x in a line's path
+    named = [(re.sub("^([^:/]+):///", r"\1:/", x),) for x in spark.read.text(paths).inputFiles()]
+    empty = fixed_table(spark, named, "src_path STRING").join(starts, "src_path", "left_anti")
     # joined to the splits first, so that the lines are joined once and by split
-    numbered = number_lines(lines, starts.join(marker, "src_path"))
-    return numbered.where(F.col("line") > F.col("_marker") + SRX_LINES_AFTER_MARKER).drop(
-        "_marker"
-    )
+    return number_lines(lines, starts.join(marker, "src_path", "left")), empty
 
 
 def _iso_day(text: str) -> Column:
@@ -102,12 +108,18 @@ def _iso_day(text: str) -> Column:
     )
 
 
-def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame:
-    """Mobile survey downloads. Short records are filled with NULL; the trailer (no tag number)
-    and the error code are dropped. Times stay wall-clock; with ``src_tz`` they are taken as
-    that zone's and turned into UTC wall-clock time."""
+def read_srx(
+    spark: SparkSession, paths, src_tz: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Mobile survey downloads: the records, and beside them the quarantine (src_path, src_file,
+    line, reason, value). Each line of text after a file's marker and the two lines that follow
+    it is in one of them. Short records are filled with NULL; the trailer and other lines without
+    a tag number and the error code go to quarantine, and so do all lines of a file without a
+    marker; a file without a line is one row there. Times stay wall-clock; with ``src_tz`` they
+    are taken as that zone's and turned into UTC wall-clock time."""
+    lines, empty = _srx_lines(spark, paths)
     records = _records(
-        _srx_lines(spark, paths),
+        lines.where(F.col("line") > F.col("_marker") + SRX_LINES_AFTER_MARKER).drop("_marker"),
         {
             "_day": _field(0),
             "_time": _field(1),
@@ -122,7 +134,7 @@ def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame
     ts = parse_ts(F.concat_ws(" ", "_iso", "_time"))
     if src_tz is not None:
         ts = F.convert_timezone(F.lit(src_tz), F.lit("UTC"), ts)
-    return (
+    kept = (
         records.where(F.col("code").isNotNull() & (F.col("code") != K.ERROR_CODE))
         .withColumn("_iso", _iso_day("_day"))
         .withColumns({"date": parse_date("_iso"), "ts": F.when(F.col("_iso").isNotNull(), ts)})
@@ -131,3 +143,26 @@ def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame
         )
         .drop("value", "_day", "_time", "_iso")
     )
+
+    def rejected(rows: DataFrame, reason: Column) -> DataFrame:
+        return rows.select("src_path", "src_file", "line", reason.alias("reason"), "value")
+
+    why = F.when(F.col("code").isNull(), NO_TAG).when(F.col("code") == K.ERROR_CODE, ERROR_RECORD)
+    nowhere = empty.withColumns(
+        {
+            "src_file": F.element_at(F.split("src_path", "/"), -1),
+            "line": F.lit(None).cast("bigint"),
+            "value": F.lit(None).cast("string"),
+        }
+    )
+    quarantine = (
+        rejected(lines.where(F.col("_marker").isNull()), F.lit(NO_MARKER))
+        .unionByName(rejected(records, why).where(F.col("reason").isNotNull()))
+        .unionByName(rejected(nowhere, F.lit(NO_MARKER)))
+    )
+    return kept, quarantine
+
+
+def scan_srx(spark: SparkSession, paths, src_tz: str | None = None) -> DataFrame:
+    """The records of ``read_srx``."""
+    return read_srx(spark, paths, src_tz)[0]
