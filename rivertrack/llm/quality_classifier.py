@@ -145,6 +145,24 @@ def posteriors(rows):
     return written(both.select("host", "path", "n", "host_rate", path_rate.alias("path_rate")), "site-rates"), overall
 
 
+def _site_rates(rows, labels, id_col, label):
+    """`posteriors` of rows (id, host, path, evidence), known labels in place of the evidence."""
+    known = labels.filter(F.col(label).isNotNull()).groupBy(id_col).agg(F.avg(label).alias("_y"))
+    informed = rows.join(known, id_col, "left").select("host", "path", F.coalesce("_y", "evidence").alias("p"))
+    return posteriors(informed)
+
+
+def _score(evidence, path_rate, overall):
+    """A document's score; no evidence is worth more than a millionth from certainty."""
+
+    def log_odds(p):
+        p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.log(p / (1 - p))
+
+    odds = log_odds(F.col(evidence)) + log_odds(F.col(path_rate)) - log_odds(F.lit(overall))
+    return 1 / (1 + F.exp(-odds))
+
+
 def classify(docs, labels, model=None, id_col="doc_id", text="text", source="source", lang="lang", label="quality"):
     """One row (id, host, path, evidence, host_rate, path_rate, score, kept) per row of ``docs``.
 
@@ -157,31 +175,23 @@ def classify(docs, labels, model=None, id_col="doc_id", text="text", source="sou
     placed = docs.withColumns({"_host": host, "_path": path})
     rows = evidence(placed, model, (id_col, "_host", "_path"), text)
     rows = written(rows.withColumnsRenamed({"_host": "host", "_path": "path"}), "quality-evidence")
-    known = labels.filter(F.col(label).isNotNull()).groupBy(id_col).agg(F.avg(label).alias("_y"))
-    informed = rows.join(known, id_col, "left").select("host", "path", F.coalesce("_y", "evidence").alias("p"))
-    rates, overall = posteriors(informed)
-
-    def log_odds(p):
-        p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-        return F.log(p / (1 - p))
-
-    odds = log_odds(F.col("evidence")) + log_odds(F.col("path_rate")) - log_odds(F.lit(overall))
-    score = 1 / (1 + F.exp(-odds))
+    rates, overall = _site_rates(rows, labels, id_col, label)
+    score = _score("evidence", "path_rate", overall)
     return rows.join(rates.drop("n"), ["host", "path"]).select(
         id_col, "host", "path", "evidence", "host_rate", "path_rate",
         score.alias("score"), (score >= KEEP_FROM).alias("kept"),
     )
 
 
-def quality_keep(docs, labels, model, text="text", source="source", lang="lang"):
-    """The rows of ``docs`` whose score keeps them, with all their columns and only those. A
+def quality_keep(docs, labels, model, text="text", source="source", lang="lang", id_col="doc_id", label="quality"):
+    """The rows of ``docs`` that `classify` keeps, with all their columns and only those. A
     first pass sums the sites, a second judges each row where it is read; texts do not move
     unless the sites are too many for Spark to broadcast their rates."""
     host, path = site(source, lang)
     placed = docs.withColumns({"_host": host, "_path": path})
-    sums = evidence(placed, model, ("_host", "_path"), text)
-    rates, overall = posteriors(sums.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("evidence").alias("p")))
-    edge = np.log(KEEP_FROM / (1 - KEEP_FROM)) + np.log(overall / (1 - overall))
+    sums = evidence(placed, model, (id_col, "_host", "_path"), text)
+    sums = sums.withColumnsRenamed({"_host": "host", "_path": "path"})
+    rates, overall = _site_rates(sums, labels, id_col, label)
     columns = docs.columns
 
     def start():
@@ -193,8 +203,6 @@ def quality_keep(docs, labels, model, text="text", source="source", lang="lang")
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
     schema = ", ".join([*fields, "_host string, _path string, _evidence double"])
     scored = map_batches(placed.select(*columns, "_host", "_path", F.col(text).alias("_read")), schema, start)
-    odds = F.log(F.col("_evidence") / (1 - F.col("_evidence")))
-    prior = F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    rates = rates.select(F.col("path").alias("_path"), F.col("host").alias("_host"), "path_rate")
-    kept = scored.join(rates, ["_host", "_path"]).filter(odds + prior >= float(edge))
+    rates = rates.select(F.col("path").alias("_path"), F.col("host").alias("_host"), F.col("path_rate").alias("_rate"))
+    kept = scored.join(rates, ["_host", "_path"]).filter(_score("_evidence", "_rate", overall) >= KEEP_FROM)
     return kept.select(*[F.col(f"`{c}`") for c in columns])
