@@ -514,7 +514,8 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT, word
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
     summary = written(summarise(docs, id_col, text, words), "jaccard-summary", ("kind",))
     members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), "hi", "lo")
-    classes = members.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "said")).alias("r"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "said"))  # a null id comes last
+    classes = members.filter("n_shingles > 0").groupBy("hi", "lo").agg(least.alias("r"))
     # numbered once, as they are written
     classes = classes.select(
         "hi", "lo", F.col("r.id").alias("rep"), F.col("r.said").alias("rep_said"),

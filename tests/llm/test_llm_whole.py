@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rivertrack.llm import quality_classifier
+from rivertrack.llm import jaccard_join, quality_classifier
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -24,3 +24,12 @@ def test_classify_and_keep_agree(spark, quality):
     assert sorted(kept, key=repr) == sorted(want, key=repr)
     if quality is None:  # the unlabelled 58 goes by the labels of its site
         assert set(kept) == {*range(30), None}
+
+
+def test_jaccard_null_id_is_not_the_smallest(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = spark.createDataFrame([(None, text, "en", "s", 0), (7, near, "en", "s", 0), (5, text, "en", "s", 0)], DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {None: 5, 5: 5, 7: 5}
+    assert [r.doc_id for r in jaccard_join.one_of_each(docs).collect()] == [5]
