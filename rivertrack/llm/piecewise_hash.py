@@ -8,6 +8,7 @@ is taken at twice that size. Two fingerprints are compared at a block size both
 
 import hashlib
 import zlib
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -17,7 +18,6 @@ from rivertrack.llm.common import map_batches, whole_text
 
 WINDOW = 7
 CHUNKS = 64  # the block size is the least power of two of which this many cover the text
-MOST_CHUNKS = 128  # in a signature; texts that repeat themselves can end many more
 RUN = 4  # signatures without a common run of this length are unlike
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _PART = 1 << 22  # bytes hashed at a time
@@ -54,8 +54,8 @@ def _ends(data):
 
 
 def _signature(data, ends):
-    """One letter per chunk; the last chunk holds all that is left after MOST_CHUNKS - 1."""
-    cuts = [0, *ends[: MOST_CHUNKS - 1].tolist()]
+    """One letter per chunk, however many a text that repeats itself has."""
+    cuts = [0, *ends.tolist()]
     if cuts[-1] < len(data):
         cuts.append(len(data))
     pairs = zip(cuts, cuts[1:], strict=False)
@@ -71,7 +71,11 @@ def fingerprint(data):
 
 def edit_distance(a, b):
     """Levenshtein distance, one column of the table per character of ``b`` in a few integer
-    operations (bit-parallel)."""
+    operations (bit-parallel). What both start and end with costs nothing and is left out."""
+    same = len(commonprefix((a, b)))
+    a, b = a[same:], b[same:]
+    same = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if not a:
         return len(b)
     where = {}

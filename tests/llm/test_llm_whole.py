@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rivertrack.llm import jaccard_join, quality_classifier
+from rivertrack.llm import jaccard_join, piecewise_hash, quality_classifier
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -33,3 +33,26 @@ def test_jaccard_null_id_is_not_the_smallest(spark):
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == {None: 5, 5: 5, 7: 5}
     assert [r.doc_id for r in jaccard_join.one_of_each(docs).collect()] == [5]
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_signature_holds_every_chunk():
+    unit = next(u for i in range(9999) if len(piecewise_hash._ends((u := f"row {i:04} x ".encode()) * 300)[1]) > 250)
+    text = unit * 300
+    half = b"".join(b"%d-" % (i * i) for i in range(9999))[: len(text) // 2]
+    other = text[: len(text) - len(half)] + half
+    marks = [piecewise_hash.fingerprint(t) for t in (text, other)]
+    ends = piecewise_hash._ends(text)[1]
+    assert len(marks[0].split(":")[1]) == len(ends) + (ends[-1] < len(text))
+    parts = [m.split(":")[1:] for m in marks]
+    far = [_distance(a, b) / max(len(a), len(b)) for a, b in zip(*parts, strict=True)]
+    assert piecewise_hash.likeness(*marks) in (1 - min(far), 1 - far[0])
+    assert piecewise_hash.likeness(*marks) < 0.9
