@@ -16,13 +16,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rivertrack.llm.common import map_batches
+from rivertrack.schema import fixed_table
 
 PER_LANGUAGE = 300  # documents of a language that training may see
 WORDS_EACH = 60  # words of each
-LANGUAGES = 200  # the most frequent ones are learned
 LONGEST = 24  # bytes read in one go
 HIDDEN, BATCH, PASSES, RATE, SEED = 16, 512, 3, 0.01, 7
-MOST_WORDS = 400_000  # remembered by a Python worker
+MOST_WORDS = 400_000  # remembered by a Python worker, fewer where languages are many
+MOST_SUMS = 32_000_000  # numbers remembered
+MOST_SCORES = 4_000_000  # probabilities computed at a time
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -152,7 +154,7 @@ class Reader:
     probabilities summed over its positions and how many positions each language labels."""
 
     def __init__(self, network, most=MOST_WORDS):
-        self.network, self.most = network, most
+        self.network, self.most = network, min(most, MOST_SUMS // (2 * len(network.languages)))
         self.known, self.rows = {}, np.zeros((0, 2 * len(network.languages)), np.float32)
 
     def _learn(self, unseen):
@@ -163,7 +165,8 @@ class Reader:
         rows, a = [self.rows], 0
         while a < len(new):
             n, b = len(new[a]), a
-            while b < len(new) and len(new[b]) == n and b - a < 8192:
+            at_once = max(1, min(8192, MOST_SCORES // (n * len(self.network.languages))))
+            while b < len(new) and len(new[b]) == n and b - a < at_once:
                 b += 1
             x = np.frombuffer(b"".join(new[a:b]), np.uint8).reshape(-1, n)
             prob, _ = self.network.probabilities(x)
@@ -213,18 +216,18 @@ def remainder(id_col):
 
 def train(docs, rows, id_col="doc_id", text="text", lang="lang"):
     """A network fitted on the rows of ``docs`` for which ``rows`` (a condition) holds and text
-    and lang are known. The driver sees a count per language and the bounded sample. None if
-    there is no such row."""
+    and lang are known. Every language of theirs is learned. The driver sees a count per language
+    and the sample, bounded per language. None if there is no such row."""
     usable = docs.filter(rows & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = usable.groupBy(lang).count().collect()
     if not counts:
         return None
     # a share of each language by hash that gives somewhat more than needed, then the least
-    share = F.create_map(*[
-        F.lit(x) for r in counts for x in (r[lang], int(1e6 * min(1.0, 1.5 * PER_LANGUAGE / r["count"])) + 1)
-    ])
+    shares = [(r[lang], int(1e6 * min(1.0, 1.5 * PER_LANGUAGE / r["count"])) + 1) for r in counts]
+    shares = fixed_table(docs.sparkSession, shares, "_lang string, _share bigint")
     place = F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1_000_000))
-    some = usable.withColumn("_place", place).filter(F.col("_place") < F.element_at(share, F.col(lang)))
+    some = usable.withColumn("_place", place).select("_place", lang, text)
+    some = some.join(shares, (F.col(lang) == F.col("_lang")) & (F.col("_place") < F.col("_share")))
 
     def start():
         def step(places, langs, texts):
@@ -236,11 +239,12 @@ def train(docs, rows, id_col="doc_id", text="text", lang="lang"):
     sample = map_batches(some.select("_place", lang, text), "place bigint, lang string, words array<binary>", start)
     seen, words, labels = {}, [], []
     languages = sorted(r[lang] for r in counts)
+    number = {x: i for i, x in enumerate(languages)}
     for row in sorted(sample.collect()):
         seen[row.lang] = seen.get(row.lang, 0) + 1
         if seen[row.lang] <= PER_LANGUAGE:
             words += [bytes(w) for w in row.words]
-            labels += [languages.index(row.lang)] * len(row.words)
+            labels += [number[row.lang]] * len(row.words)
     return Network(languages).fit(words, np.array(labels, np.int64))
 
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rivertrack.llm import jaccard_join, piecewise_hash, quality_classifier
+from rivertrack.llm import jaccard_join, language_id, piecewise_hash, quality_classifier
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -56,3 +57,11 @@ def test_signature_holds_every_chunk():
     far = [_distance(a, b) / max(len(a), len(b)) for a, b in zip(*parts, strict=True)]
     assert piecewise_hash.likeness(*marks) in (1 - min(far), 1 - far[0])
     assert piecewise_hash.likeness(*marks) < 0.9
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"tongue{i % 230} speaks", f"l{i % 230:03}", "s", 0) for i in range(460)]
+    docs = spark.createDataFrame(rows, DOCS)
+    network = language_id.train(docs, F.lit(True))
+    assert network.languages == [f"l{i:03}" for i in range(230)]
+    assert language_id.predict(docs, network).count() == 460
