@@ -48,7 +48,7 @@ STAGES = [
     ("secret_scan", secret_scan_stage),
     ("packing", packing_stage),
 ]
-ORACLE_SQL = None  # a trained classifier and a tokenizer; tests compare with brute force
+ORACLE_SQL = None  # a trained classifier and a tokenizer; tests/llm/test_corpus_pipeline.py compares the stages with plain Python
 
 
 def run(spark, sf_dir):
