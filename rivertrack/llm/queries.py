@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rivertrack.llm import (
     byte_bpe,
+    centroids,
     jaccard_join,
     language_id,
     license_scan,
@@ -14,6 +15,7 @@ from rivertrack.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    source_divergence,
 )
 from rivertrack.llm.common import table, written
 from rivertrack.sources.files import stage_path
@@ -228,3 +230,19 @@ SELECT archive, "offset", id, length,
        CASE WHEN archive % 20 = 19 THEN 'missing' ELSE 'changed' END AS status
 FROM placed WHERE archive % 20 = 19 OR id % 500 = 11 OR id % 50 = 7
 """
+
+
+@query
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.clusters_with_inertia(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_centroid_clustering"] = centroids.oracle_sql()
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_source_divergence"] = source_divergence.oracle_sql()
