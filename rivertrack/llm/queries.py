@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rivertrack.llm import (
     byte_bpe,
     centroids,
+    disclosure,
     jaccard_join,
     language_id,
     license_scan,
@@ -246,3 +247,23 @@ def op12_source_divergence(spark, sf_dir):
 
 
 ORACLE["op12_source_divergence"] = source_divergence.oracle_sql()
+
+
+@query
+def op13_pii_disclosure(spark, sf_dir):
+    rows = disclosure.scan(table(spark, sf_dir, "documents"))
+
+    def said(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*disclosure.KINDS))
+    return rows.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in disclosure.KINDS],
+        F.sha2(said(base), 256).alias("base_sha256"),
+        said(F.col("spans")).alias("spans"),
+    )
