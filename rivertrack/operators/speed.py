@@ -64,13 +64,15 @@ def _fold(df: DataFrame, max_distance: float, max_rate: float) -> DataFrame:
         import pyarrow as pa
 
         clean = True  # the row before the current one was kept
-        last_us, last_rkm = 0, float("nan")  # the last kept row
+        last_us, last_rkm = None, float("nan")  # the last kept row
 
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            us = batch.column("_us").to_numpy(zero_copy_only=False)
+            # a row without a time is always reachable, and so is the row after it
+            timed = batch.column("_us").is_valid().to_numpy(zero_copy_only=False)
+            us = batch.column("_us").fill_null(0).to_numpy(zero_copy_only=False)
             rkm = batch.column("rkm").to_numpy(zero_copy_only=False).astype("float64")
             first = batch.column("_first").to_numpy(zero_copy_only=False)
             start_us = batch.column("_start_us")
@@ -85,20 +87,22 @@ def _fold(df: DataFrame, max_distance: float, max_rate: float) -> DataFrame:
                     s = np.searchsorted(stops, i)
                     stop = int(stops[s]) if s < len(stops) else n
                     if stop > i:
-                        last_us, last_rkm = int(us[stop - 1]), float(rkm[stop - 1])
+                        last_us = int(us[stop - 1]) if timed[stop - 1] else None
+                        last_rkm = float(rkm[stop - 1])
                     i = stop
                     if i == n:
                         break
                 if first[i]:
                     given = start_us[i].as_py()
-                    last_us = int(us[i]) if given is None else given
+                    last_us = given  # without a time, as without a start, the row is kept
                     last_rkm = float("nan") if given is None else float(start_rkm[i])
                 gap = abs(float(rkm[i]) - last_rkm)  # NaN compares false: kept
-                far = gap > max_distance and gap > (int(us[i]) - last_us) / day * max_rate
+                known = timed[i] and last_us is not None
+                far = known and gap > max_distance and gap > (int(us[i]) - last_us) / day * max_rate
                 if far:
                     keep[i] = False
                 else:
-                    last_us, last_rkm = int(us[i]), float(rkm[i])
+                    last_us, last_rkm = int(us[i]) if timed[i] else None, float(rkm[i])
                 clean = not far
                 i += 1
             kept_rows = batch.filter(pa.array(keep))
