@@ -40,25 +40,35 @@ def last_detection_ties(det: DataFrame, by: str = "ts") -> DataFrame:
     return det.join(last, ["tag", by], "left_semi")
 
 
+def first_times(targets=tuple(K.ARRIVALS)) -> dict[str, Column]:
+    """Aggregates: the first time at each target."""
+    return {
+        f"{name}_ts": F.min(F.when(F.col(column) == value, F.col("ts")))
+        for name, column, value, _ in targets
+    }
+
+
 def arrivals(det: DataFrame, targets=tuple(K.ARRIVALS)) -> DataFrame:
     """One row per detected tag with the first time at each target: one aggregation over fixed
     -width columns, combined map-side, in place of a sort and a join per target."""
-    return det.groupBy("tag").agg(
-        *[
-            F.min(F.when(F.col(column) == value, F.col("ts"))).alias(f"{name}_ts")
-            for name, column, value, _ in targets
-        ]
-    )
+    return det.groupBy("tag").agg(*[c.alias(n) for n, c in first_times(targets).items()])
 
 
 def arrival_summary(det: DataFrame, tags: DataFrame, targets=tuple(K.ARRIVALS)) -> DataFrame:
     """One row per tag of the tag table: date of and time to each target (NULL if not reached)."""
+    return summarise_arrivals(arrivals(det, targets), tags, targets)
+
+
+def summarise_arrivals(
+    first: DataFrame, tags: DataFrame, targets=tuple(K.ARRIVALS)
+) -> DataFrame:
+    """``arrival_summary`` from one row per tag with its first times."""
     columns = []
     for name, _, _, unit in targets:
         at = F.col(f"{name}_ts")
         columns.append(at.cast("date").alias(f"{name}_date"))
         columns.append(elapsed(at, "tag_ts", unit).alias(f"{name}_{unit}"))
-    return tags.join(arrivals(det, targets), "tag", "left").select(
+    return tags.join(first, "tag", "left").select(
         "tag", "tag_ts", "sex", *columns, "fork_length"
     )
 
@@ -88,13 +98,9 @@ def priority_union(sets: list[tuple[str, DataFrame]], order=("ts", "seq")) -> Da
     return first_per_tag(union, ("_priority", *order)).drop("_priority")
 
 
-def first_claim(
-    df: DataFrame, claims: list[tuple[str, Column, str]], micros_of: Column
-) -> DataFrame:
-    """``priority_union`` of sets that are all rows of ``df``, in one pass: one row per tag, from
-    the first claim (name, condition, ``first`` or ``last``) that any of its rows meets. A row
-    counts for the first claim it meets: if that one is not the tag's, neither is a later one.
-    """
+def claim(claims: list[tuple[str, Column, str]], micros_of: Column) -> tuple[Column, Column, Column]:
+    """Of a row: the number and name of the first claim (name, condition, ``first`` or ``last``)
+    it meets, and what orders the rows of that claim. NULL if it meets none."""
     number = name = place = None
     for i, (label, condition, which) in enumerate(claims):
         at = micros_of if which == "first" else -micros_of
@@ -106,6 +112,17 @@ def first_claim(
             number = number.when(condition, F.lit(i))
             name = name.when(condition, F.lit(label))
             place = place.when(condition, at)
+    return number, name, place
+
+
+def first_claim(
+    df: DataFrame, claims: list[tuple[str, Column, str]], micros_of: Column
+) -> DataFrame:
+    """``priority_union`` of sets that are all rows of ``df``, in one pass: one row per tag, from
+    the first claim (name, condition, ``first`` or ``last``) that any of its rows meets. A row
+    counts for the first claim it meets: if that one is not the tag's, neither is a later one.
+    """
+    number, name, place = claim(claims, micros_of)
     claimed = df.withColumns({"source": name, "_claim": number, "_place": place})
     first = first_per_tag(
         claimed.where(F.col("_claim").isNotNull()), ("_claim", "_place", "seq")

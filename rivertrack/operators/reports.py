@@ -128,18 +128,16 @@ def tag_flags(det: DataFrame, conditions: dict[str, Column], **more: Column) ->
     )
 
 
-def detected_counts(
-    det: DataFrame, tags: DataFrame, fixed=K.FIXED_STATIONS, mobile: str = "Mobile"
-) -> DataFrame:
-    """Tags, and how many were detected at all, at fixed stations, in mobile surveys, nowhere."""
-    seen = tag_flags(
-        det,
-        {
-            "any": F.col("station").isin(*fixed, mobile),
-            "fixed": F.col("station").isin(*fixed),
-            "mobile": F.col("station") == mobile,
-        },
-    )
+def detected_conditions(fixed=K.FIXED_STATIONS, mobile: str = "Mobile") -> dict[str, Column]:
+    return {
+        "any": F.col("station").isin(*fixed, mobile),
+        "fixed": F.col("station").isin(*fixed),
+        "mobile": F.col("station") == mobile,
+    }
+
+
+def count_detected(seen: DataFrame, tags: DataFrame) -> DataFrame:
+    """``detected_counts`` from one row per tag with its flags."""
     known = tags.select("tag").distinct().join(seen, "tag", "left")
     counts = known.agg(
         _count().alias("tags"), *[F.count_if(F.col(c)).alias(c) for c in ("any", "fixed", "mobile")]
@@ -147,21 +145,32 @@ def detected_counts(
     return counts.withColumn("undetected", F.col("tags") - F.col("any"))
 
 
+def detected_counts(
+    det: DataFrame, tags: DataFrame, fixed=K.FIXED_STATIONS, mobile: str = "Mobile"
+) -> DataFrame:
+    """Tags, and how many were detected at all, at fixed stations, in mobile surveys, nowhere."""
+    return count_detected(tag_flags(det, detected_conditions(fixed, mobile)), tags)
+
+
 def undetected_tags(tags: DataFrame, det: DataFrame) -> DataFrame:
     """Tags without a single detection."""
     return tags.select("tag").distinct().join(det.select("tag").distinct(), "tag", "left_anti")
 
 
-def detection_efficiency(det: DataFrame, stations=tuple(K.EFFICIENCY_STATIONS)) -> DataFrame:
-    """Per station: tags detected at it, tags at or upstream of it, percentage. One pass."""
-    at, up = {}, {}
+def efficiency_conditions(stations=tuple(K.EFFICIENCY_STATIONS)) -> dict[str, Column]:
+    out = {}
     for name, rkm, zone in stations:
         inside = F.lit(True) if zone is None else F.col("zone") == zone
-        at[name] = (F.col("rkm") == rkm) & inside
-        up[name] = (F.col("rkm") >= rkm) & inside
-    conditions = {f"at_{n}": c for n, c in at.items()} | {f"up_{n}": c for n, c in up.items()}
-    totals = tag_flags(det, conditions).agg(
-        *[F.count_if(F.col(c)).alias(c) for c in conditions]
+        out[f"at_{name}"] = (F.col("rkm") == rkm) & inside
+        out[f"up_{name}"] = (F.col("rkm") >= rkm) & inside
+    return out
+
+
+def count_efficiency(flags: DataFrame, stations=tuple(K.EFFICIENCY_STATIONS)) -> DataFrame:
+    """``detection_efficiency`` from one row per tag with its flags."""
+    names = [n for n, _, _ in stations]
+    totals = flags.agg(
+        *[F.count_if(F.col(c)).alias(c) for n in names for c in (f"at_{n}", f"up_{n}")]
     )
     rows = F.array(
         *[
@@ -170,7 +179,7 @@ def detection_efficiency(det: DataFrame, stations=tuple(K.EFFICIENCY_STATIONS))
                 F.col(f"at_{n}").alias("at_station"),
                 F.col(f"up_{n}").alias("at_or_upstream"),
             )
-            for n, _, _ in stations
+            for n in names
         ]
     )
     return totals.select(F.inline(rows)).withColumn(
@@ -178,12 +187,20 @@ def detection_efficiency(det: DataFrame, stations=tuple(K.EFFICIENCY_STATIONS))
     )
 
 
-def zone_presence_counts(det: DataFrame, sections: dict[str, Column]) -> DataFrame:
-    """Tags ever present in each section, by sex. A tag may count in several sections."""
-    # a number, so that the aggregation hashes instead of sorting
-    label = sex_label("sex")
-    sex = F.when(label == "Male", 2).when(label == "Female", 1).otherwise(0)
-    flags = tag_flags(det, sections, sex=F.max(sex))
+def detection_efficiency(det: DataFrame, stations=tuple(K.EFFICIENCY_STATIONS)) -> DataFrame:
+    """Per station: tags detected at it, tags at or upstream of it, percentage. One pass."""
+    return count_efficiency(tag_flags(det, efficiency_conditions(stations)), stations)
+
+
+def sex_number(sex="sex") -> Column:
+    """A number, so that an aggregation over it hashes instead of sorting."""
+    label = sex_label(sex)
+    return F.when(label == "Male", 2).when(label == "Female", 1).otherwise(0)
+
+
+def count_presence(flags: DataFrame, sections) -> DataFrame:
+    """``zone_presence_counts`` from one row per tag with its flags and ``sex`` as a number."""
+
     def counted(section):
         here = F.col(section)
         return F.struct(
@@ -198,6 +215,11 @@ def zone_presence_counts(det: DataFrame, sections: dict[str, Column]) -> DataFra
     return flags.agg(F.array(*[counted(n) for n in sections]).alias("_rows")).select(F.inline("_rows"))
 
 
+def zone_presence_counts(det: DataFrame, sections: dict[str, Column]) -> DataFrame:
+    """Tags ever present in each section, by sex. A tag may count in several sections."""
+    return count_presence(tag_flags(det, sections, sex=F.max(sex_number())), sections)
+
+
 def multi_survey_tags(det: DataFrame, surveys: int = 3, station: str = "Mobile") -> DataFrame:
     """Tags seen on at least ``surveys`` mobile survey days: days with a row of the surveys'
     ``station``, whatever the cascade has made of its method since."""

@@ -10,6 +10,9 @@ row per slice, so at most a few rows per ``rows_per_slice`` detections. Filters
 slices smaller, so the column stays valid down a chain of operators.
 """
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 from rivertrack.functions.times import micros
 from rivertrack.schema import fixed_table
 from rivertrack.session import shared_dir
+from rivertrack.sources.files import write_clustered, write_stage
 
 SLICE = "slice"
 # a slice number holds up to six cuts of 10 bits each, the coarsest first
@@ -132,6 +136,40 @@ def unslice(df: DataFrame) -> DataFrame:
     return df.drop(SLICE)
 
 
+@dataclass(frozen=True)
+class Clustered:
+    """A table of detections in two parts: ``short``, whose rows lie in files by tag, and
+    ``long``, the sliced rows of very long tags (None if there are none). A tag is in one part
+    only, so whatever works tag by tag works on the parts side by side."""
+
+    short: DataFrame
+    long: DataFrame | None = None
+
+    def per_tag(self, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``step`` on both parts; its results must have the same columns."""
+        out = step(self.short)
+        return out if self.long is None else out.unionByName(step(self.long))
+
+    def rows(self) -> DataFrame:
+        return self.per_tag(unslice)
+
+
+def cluster(
+    df: DataFrame, path: str, rows_per_slice: int = 2_000_000, buckets: int | None = None
+) -> Clustered:
+    """Write detections clustered by tag (see ``files.write_clustered``). Very long tags would
+    each fill a file, so theirs are written apart, as they come, with their slices. ``df`` is read
+    once to find them; give it from stage tables."""
+    cut = slice_hot_tags(df, rows_per_slice)
+    if not is_sliced(cut):
+        return Clustered(write_clustered(df, f"{path}/short", buckets=buckets))
+    short = unslice(cut.where(F.col(SLICE).isNull()))
+    return Clustered(
+        write_clustered(short, f"{path}/short", buckets=buckets),
+        write_stage(hot_rows(cut), f"{path}/long"),
+    )
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Between steps on a sliced timeline: write it to the checkpoint folder, since each step
     reads its input once for the rows and once for what slices pass on. Nothing to do on an

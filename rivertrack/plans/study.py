@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rivertrack import constants as K
 from rivertrack.operators import cleaning, lookups, reports
 from rivertrack.operators.rules import study_rules
-from rivertrack.operators.timeline import slice_hot_tags
+from rivertrack.operators.timeline import cluster, slice_hot_tags
 from rivertrack.plans import cascade, fixed, maps, mobile, movement
 from rivertrack.schema import RKM_POINTS, TAG_METADATA_2023, TAG_METADATA_2024
 from rivertrack.sources import files, receivers
@@ -75,15 +75,19 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
     placed = mobile.mobile_rkm(initial, points)
     mobile_rows = stage("mobile", placed.withColumn("station", F.lit(inputs.survey_station)))
 
-    # cleaning
+    # cleaning: from one table clustered by tag to the next
     union = cascade.unified_timeline(
         cascade.with_station_positions(fixed_rows), mobile_rows, tags
     )
-    union = stage("detections", union, ["date"])
-    clean = cascade.cleaning_cascade(
-        union, study_rules(spark, "early"), study_rules(spark, "lost_tag", "odd")
+    det = cluster(union, f"{out}/detections")
+    cleaned = cascade.clean_clustered(
+        det,
+        f"{out}/detections_clean",
+        study_rules(spark, "early"),
+        study_rules(spark, "lost_tag", "odd"),
     )
-    clean = stage("detections_clean", clean, ["date"])
+    stages["detections"], stages["detections_clean"] = det.rows(), cleaned.rows()
+    clean = cleaned.rows()
     bare = clean.drop("distance", "lag_days", "rate")
     report("impossible_moves", cleaning.impossible_moves(slice_hot_tags(bare)))
     report("lake_outlet_tags", reports.count_by(clean.where(F.col("rkm") == K.LAKE_RKM), "tag"))
@@ -92,6 +96,7 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
     stage("detection_history", maps.detection_history(clean))
     stage("survey_maps", maps.survey_maps(clean, inputs.survey_dates))
     stage("last_detection_maps", maps.last_detection_maps(clean))
-    for name, df in movement.movement_report(clean, tags).items():
+    facts = stage("tag_facts", movement.tag_facts(cleaned))
+    for name, df in movement.report_of(facts, tags).items():
         report(name, df)
     return stages

@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, name: str = "rivertrack", partitions: int = 8)
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", f"{tempfile.gettempdir()}/rivertrack-warehouse")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in RECOMMENDED.items():

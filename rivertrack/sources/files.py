@@ -112,3 +112,27 @@ def write_stage(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     else:
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def write_clustered(
+    df: DataFrame, path: str, by=("tag",), order=("ts", "seq"), buckets: int | None = None
+) -> DataFrame:
+    """Write a stage table in ``buckets`` files by the hash of ``by`` and return it as read back.
+    Spark knows how it lies, so a window or an aggregation by ``by`` reads it without a shuffle,
+    and writing rows that already lie so needs none either. No key may fill a file: see
+    ``timeline.cluster``. The table is external; its catalog entry is only needed to open it."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"rivertrack_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *by)
+        .write.mode("overwrite")
+        .bucketBy(buckets, *by)
+        .sortBy(*by, *order)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    stage = spark.table(name).select(*df.columns)
+    stage.schema  # resolved before its entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return stage

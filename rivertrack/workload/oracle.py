@@ -252,6 +252,26 @@ SELECT tag, ts, seq, station, rkm, method FROM det WHERE {_allowed("det")}""",
   SELECT *, max(CASE WHEN method = 'Mobile' THEN power END) OVER (PARTITION BY tag, date) AS peak
   FROM det)
 SELECT tag, ts, seq, method, power FROM peaked WHERE method <> 'Mobile' OR power = peak""",
+    "movement_facts": f"""WITH {AFTER}, {_priority(
+        [_SECTIONS["upper"], _SECTIONS["left_arm"], _SECTIONS["right_arm"]],
+        f"({_SECTIONS['lake']} OR {_SECTIONS['left_arm']} OR {_SECTIONS['right_arm']})",
+        ("upper", "system", "left_arm", "right_arm"), "aft")}, flags AS (
+  SELECT tag, min(CASE WHEN station = '1' THEN ts END) AS fallback_ts,
+         min(CASE WHEN station = '2' THEN ts END) AS click_ts,
+         min(CASE WHEN zone = 'error' THEN ts END) AS error_ts,
+         min(CASE WHEN zone = 'signup' THEN ts END) AS signup_ts,
+         min(CASE WHEN zone = 'purchase' THEN ts END) AS purchase_ts, TRUE AS present,
+         bool_or(rkm = 20) AS at_20, bool_or(rkm >= 20) AS up_20, bool_or(rkm = 40) AS at_40,
+         bool_or(rkm >= 40) AS up_40, bool_or(rkm = 60 AND zone = 'signup') AS at_60,
+         bool_or(rkm >= 60 AND zone = 'signup') AS up_60,
+         bool_or(rkm = 80 AND zone = 'purchase') AS at_80,
+         bool_or(rkm >= 80 AND zone = 'purchase') AS up_80,
+         {", ".join(f"bool_or({c}) AS in_{n}" for n, c in _SECTIONS.items())},
+         count(DISTINCT CASE WHEN station = '3' THEN date END) AS surveys,
+         max(CASE sex WHEN 'M' THEN 2 WHEN 'F' THEN 1 ELSE 0 END) AS sex_number
+  FROM aft GROUP BY tag)
+SELECT flags.*, best.source AS fate_source, best.ts AS fate_ts, best.seq AS fate_seq
+FROM flags LEFT JOIN best USING (tag)""",
     "first_arrival": f"""WITH {AFTER}, f AS (SELECT * FROM aft WHERE zone = 'purchase'
   QUALIFY row_number() OVER ({ORDER}) = 1)
 SELECT tag, sex, CAST(ts AS DATE)::VARCHAR AS zone_date,
@@ -483,3 +503,4 @@ SELECT tag, sex, CASE WHEN fork_length >= 0 THEN fork_length END AS fork_length,
     "stage_roundtrip": f"""WITH {DET}
 SELECT tag, ts, seq, power, date::VARCHAR AS date, rkm, zone, station, method FROM det""",
 }
+ORACLE["clustered_cascade"] = ORACLE["cleaning_cascade"]  # the same rows, from clustered tables

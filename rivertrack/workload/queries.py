@@ -7,6 +7,7 @@ from rivertrack import constants as K
 from rivertrack.functions.keys import normalise_key, pad_two_digit_code, tag_key
 from rivertrack.functions.times import parse_date, parse_ts
 from rivertrack.operators import arrivals, cleaning, lookups, reports, rules, spatial, speed
+from rivertrack.operators.timeline import cluster
 from rivertrack.plans import cascade, fixed, mobile, movement
 from rivertrack.schema import fixed_table
 from rivertrack.sources import files, receivers
@@ -246,6 +247,34 @@ def spawner_fate(spark, sf):
     return movement.spawner_fate(det).select("tag", "source", "ts", "seq", "station", "zone")
 
 
+EFFICIENCY = (("20", 20.0, None), ("40", 40.0, None), ("60", 60.0, "signup"), ("80", 80.0, Z1))
+
+
+@query
+def movement_facts(spark, sf):
+    """All that the movement report says of a tag, from a table clustered by tag."""
+    det = cluster(_after_tagging(spark, sf), files.stage_path(spark, "after-tagging"))
+    where = _sections()
+    system = where["lake"] | where["left_arm"] | where["right_arm"]
+    facts = movement.tag_facts(
+        det,
+        TARGETS,
+        EFFICIENCY,
+        where,
+        [
+            ("upper", where["upper"], "first"),
+            ("system", system, "last"),
+            ("left_arm", where["left_arm"], "first"),
+            ("right_arm", where["right_arm"], "first"),
+        ],
+        detected=("1", "2", "3", "4", "5"),
+        survey_station="3",
+    )
+    fate = {"fate_source": "fate.source", "fate_ts": "fate.row.ts", "fate_seq": "fate.seq"}
+    facts = facts.withColumns({name: F.col(c) for name, c in fate.items()})
+    return facts.drop("any", "fixed", "mobile", "fate")
+
+
 # --- unions, lookups, keys -----------------------------------------------------------------
 
 
@@ -426,8 +455,7 @@ def multi_survey_tags(spark, sf):
 
 @query
 def detection_efficiency(spark, sf):
-    stations = (("20", 20.0, None), ("40", 40.0, None), ("60", 60.0, "signup"), ("80", 80.0, Z1))
-    out = reports.detection_efficiency(B.detections(spark, sf), stations)
+    out = reports.detection_efficiency(B.detections(spark, sf), EFFICIENCY)
     return out.withColumn("efficiency", F.round("efficiency", 6))
 
 
@@ -539,6 +567,25 @@ def cleaning_cascade(spark, sf):
     )
 
 
+@query
+def clustered_cascade(spark, sf):
+    """The cleaning cascade from one table clustered by tag to the next."""
+    det = cluster(_after_tagging(spark, sf), files.stage_path(spark, "after-tagging"))
+    out = cascade.clean_clustered(
+        det,
+        files.stage_path(spark, "cleaned"),
+        _rules(spark).where(F.col("station").isNotNull()),
+        _rules(spark).where(F.col("station").isNull()),
+        zones=(Z1, Z2),
+        min_gap=B.MIN_GAP,
+        lost_gap=B.LOST_GAP,
+        lost_tolerance=B.LOST_TOLERANCE,
+    )
+    return out.rows().select(
+        "tag", "ts", "seq", "zone", "method", "rkm", "distance", "lag_days", "rate", "power"
+    )
+
+
 @query
 def fixed_pipeline(spark, sf):
     raw = B.keyed_detections(spark, sf).where(F.col("method") == "Fixed").drop("zone", "rkm")
