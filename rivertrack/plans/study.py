@@ -13,13 +13,21 @@ from rivertrack.operators import cleaning, lookups, reports
 from rivertrack.operators.rules import study_rules
 from rivertrack.operators.timeline import cluster, slice_hot_tags
 from rivertrack.plans import cascade, fixed, maps, mobile, movement
-from rivertrack.schema import RKM_POINTS, TAG_METADATA_2023, TAG_METADATA_2024
+from rivertrack.schema import (
+    RKM_POINTS,
+    TAG_METADATA_2023,
+    TAG_METADATA_2024,
+    TAG_TYPES_2023,
+    TAG_TYPES_2024,
+    fixed_table,
+)
 from rivertrack.sources import files, receivers
+from rivertrack.sources.accounts import LineAccount
 
-# layout -> (schema, NA spellings, adapter)
+# layout -> (schema as read, types meant, NA spellings, adapter)
 METADATA = {
-    "2024": (TAG_METADATA_2024, K.NA_TOKENS_2024, lookups.tags_2024),
-    "2023": (TAG_METADATA_2023, K.NA_TOKENS_2023, lookups.tags_2023),
+    "2024": (TAG_METADATA_2024, TAG_TYPES_2024, K.NA_TOKENS_2024, lookups.tags_2024),
+    "2023": (TAG_METADATA_2023, TAG_TYPES_2023, K.NA_TOKENS_2023, lookups.tags_2023),
 }
 
 
@@ -50,14 +58,19 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
         files.write_csv(df, f"{out}/report/{name}")
 
     # tag metadata
-    ddl, tokens, adapter = METADATA[inputs.metadata_layout]
+    ddl, typed, tokens, adapter = METADATA[inputs.metadata_layout]
     tags = stage("tags", adapter(files.read_metadata(spark, inputs.metadata, ddl, tokens)))
+    bad = stage("tags_rejected", files.csv_rejects(spark, inputs.metadata, typed, tokens))
+    report("tags_rejected", reports.count_by(bad, "column"))
     report("length_summary", reports.length_summary(tags))
     report("length_histogram", reports.length_histogram(tags))
 
     # fixed stations
-    raw = fixed.fixed_raw(spark, inputs.stations, inputs.station_of)
+    lines = LineAccount()
+    raw = fixed.fixed_raw(spark, inputs.stations, inputs.station_of, lines)
     heard = stage("fixed_raw", fixed.fixed_detections(raw), ["date"])
+    unread = stage("fixed_quarantine", fixed.fixed_quarantine(spark, inputs.stations, lines))
+    accounts = [("fixed", lines.check(unread.count()))]
     known, unknown = lookups.split_unknown_stations(heard)
     stage("unknown_stations", unknown)
     fixed_rows = stage("fixed", lookups.after_tagging(known, tags), ["date"])
@@ -66,9 +79,13 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
     report("lost_tags", cleaning.lost_tags(slice_hot_tags(fixed_rows)))
 
     # mobile surveys
-    records, rejected = receivers.read_srx(spark, inputs.surveys)
-    stage("mobile_quarantine", rejected)
+    lines = LineAccount()
+    records, rejected = receivers.read_srx(spark, inputs.surveys, account=lines)
+    rejected = stage("mobile_quarantine", rejected)
     survey = stage("mobile_raw", mobile.mobile_raw(records))
+    accounts.append(("mobile", lines.check(rejected.where("line IS NOT NULL").count())))
+    counted = [(name, kind, n) for name, kinds in accounts for kind, n in kinds.items()]
+    report("lines", fixed_table(spark, counted, "source STRING, kind STRING, lines BIGINT"))
     report("freqs_per_survey", reports.count_by(survey, "date", "frequency"))
     initial = stage("mobile_initial", mobile.mobile_initial(survey, tags))
     points = spark.read.schema(RKM_POINTS).parquet(inputs.rkm_points)

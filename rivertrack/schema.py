@@ -26,6 +26,11 @@ TAG_METADATA_2024 = (
 TAG_METADATA_2023 = (
     "date STRING, time STRING, freq STRING, code STRING, sex STRING, forkLength STRING"
 )
+# what their cells are meant to be; a date in another layout than ISO stays text
+TAG_TYPES_2024 = (
+    "`Date` DATE, `Frequency` INT, `Tag.Number` INT, `Gender` STRING, `Length` DOUBLE"
+)
+TAG_TYPES_2023 = "date STRING, time STRING, freq INT, code INT, sex STRING, forkLength DOUBLE"
 TAGS = "tag_ts TIMESTAMP_NTZ, tag STRING, sex STRING, fork_length DOUBLE"
 RKM_POINTS = "idx BIGINT, x DOUBLE, y DOUBLE, rkm DOUBLE, zone STRING"
 FIXED_LOCATIONS = "`Station` STRING, `Latitude` DOUBLE, `Longitude` DOUBLE"

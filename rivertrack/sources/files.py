@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,37 +23,44 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
 
 
 FILE_ORDER = ("src_path", "src_block", "seq")
-
-
-def settle_lines(lines: DataFrame) -> DataFrame:
-    """Lines written to the checkpoint folder. Line numbers take two passes, and two scans of
-    the same files need not be split alike."""
-    shared_dir(lines.sparkSession)
-    return lines.checkpoint()
-
-
-def split_starts(settled: DataFrame) -> DataFrame:
-    """Per split of settled lines: ``first_line``, what to add to ``seq`` to get the 1-based line
-    number in the file. ``seq`` has no gaps within a split, so the lines of the file's earlier
-    splits are all there is to know: one aggregation, whatever the size of a file."""
-    sizes = settled.groupBy("src_path", "src_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
+PLACE = "src_path", "src_block"
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """From now on files are split alike however many executors there are: two scans of the same
+    files then number their lines alike. Spark derives the size of small splits from the
+    cores it has at the time of a scan, unless told."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+
+
+def split_table(lines: DataFrame, marker: Column | None = None) -> DataFrame:
+    """A row per split of the files: its lines ``n``, its first ``seq``, the lines of the file
+    ``before`` it and, if a marker is given, the ``seq`` of its first line that meets it. One
+    aggregation whose rows each come from one task; written, as it is read more than once."""
+    pin_splits(lines.sparkSession)
+    marked = F.lit(None).cast("bigint") if marker is None else F.min(F.when(marker, F.col("seq")))
+    sizes = lines.groupBy(*PLACE).agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), marked.alias("mark")
     )
+    sizes = write_stage(sizes, stage_path(lines.sparkSession, "splits"))
     earlier = (
         Window.partitionBy("src_path")
         .orderBy("src_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    return sizes.select("src_path", "src_block", (before + 1 - F.col("_first")).alias("first_line"))
+    return sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def number_lines(settled: DataFrame, starts: DataFrame) -> DataFrame:
-    """Add ``line`` to settled lines. The join is on splits, so no file is one group."""
+def number_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Add ``line``, the 1-based number in the file. The join is on splits, so no file is one
+    group; ``seq`` has no gaps within a split."""
+    first = splits.select(*PLACE, (F.col("before") + 1 - F.col("first")).alias("_add"))
     return (
-        settled.join(starts, ["src_path", "src_block"])
-        .withColumn("line", F.col("seq") + F.col("first_line"))
-        .drop("first_line")
+        lines.join(first, [*PLACE])
+        .withColumn("line", F.col("seq") + F.col("_add"))
+        .drop("_add")
     )
 
 
@@ -70,18 +77,48 @@ def null_tokens(df: DataFrame, tokens, columns=None) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path, ddl: str, tokens=("", "NA"), **options) -> DataFrame:
-    """CSV with a header and several NA spellings. Everything is read as text, freed of the
-    tokens, then cast to ``ddl``; a value that does not cast is NULL."""
+def _csv_text(spark: SparkSession, path, ddl: str, options: dict) -> tuple[DataFrame, T.StructType]:
+    """The cells as text, and the types they are meant to have."""
     schema = T.StructType.fromDDL(ddl)
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     text = spark.read.schema(raw).options(header=True, **options).csv(path)
-    clean = null_tokens(text, tokens)
-    return clean.select(
+    return text, schema
+
+
+def read_csv(spark: SparkSession, path, ddl: str, tokens=("", "NA"), **options) -> DataFrame:
+    """A CSV with a header and several NA spellings. Everything is read as text, freed of the
+    tokens, then cast to ``ddl``; a value that does not cast is NULL (see ``csv_rejects``)."""
+    text, schema = _csv_text(spark, path, ddl, options)
+    return null_tokens(text, tokens).select(
         *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )
 
 
+def csv_rejects(spark: SparkSession, path, ddl: str, tokens=("", "NA"), **options) -> DataFrame:
+    """What ``read_csv`` with the same arguments turns into NULL although it says something:
+    src_path, src_file, row (1-based, without the header), column and text of each such cell."""
+    text, schema = _csv_text(spark, path, ddl, options)
+    cells = [
+        F.when(
+            F.col(f"`{f.name}`").isNotNull()
+            & ~F.col(f"`{f.name}`").isin(*tokens)
+            & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(),
+            F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("text")),
+        )
+        for f in schema.fields
+    ]
+    lines = text.select(
+        F.filter(F.array(*cells), lambda c: c.isNotNull()).alias("_bad"),
+        F.col("_metadata.file_path").alias("src_path"),
+        F.col("_metadata.file_name").alias("src_file"),
+        F.col("_metadata.file_block_start").alias("src_block"),
+        F.monotonically_increasing_id().alias("seq"),
+    )
+    splits = split_table(lines)
+    bad = number_lines(lines.where(F.size("_bad") > 0), splits)
+    return bad.select("src_path", "src_file", F.col("line").alias("row"), F.inline("_bad"))
+
+
 def read_metadata(spark: SparkSession, path, ddl: str, tokens) -> DataFrame:
     """A tag metadata file with ``seq`` giving its file order."""
     return read_csv(spark, path, ddl, tokens).withColumn("seq", F.monotonically_increasing_id())

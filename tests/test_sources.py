@@ -163,8 +163,8 @@ def test_number_lines(spark, tmp_path, splits):
     text = [f"line {i} " + "x" * (i % 37) for i in range(200)]
     for name in ("one.txt", "two.txt"):
         (tmp_path / name).write_text("\n".join(text))
-    settled = files.settle_lines(files.read_lines(spark, str(tmp_path)))
-    lines = files.number_lines(settled, files.split_starts(settled))
+    read = files.read_lines(spark, str(tmp_path))
+    lines = files.number_lines(read, files.split_table(read))
     for name in ("one.txt", "two.txt"):
         got = lines.where(F.col("src_file") == name).orderBy("line").collect()
         assert [r.value for r in got] == text
