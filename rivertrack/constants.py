@@ -75,6 +75,11 @@ SURVEY_DATES = [
     "2023-10-04",
 ]
 
+# --- fixed values: metres that positions are jittered by on maps, and the survey that differs
+SURVEY_JITTER = 500.0
+SURVEY_JITTERS = {"2023-09-26": 2000.0}
+LAST_DETECTION_JITTER = 3000.0
+
 # --- fixed values: map extents in UTM zone 9 metres (name, x0, x1, y0, y1) ----------------
 MAP_EXTENTS = [
     ("Study area", 580000.0, 660000.0, 5950000.0, 6120000.0),

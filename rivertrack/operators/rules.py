@@ -4,10 +4,11 @@ import csv
 from datetime import datetime
 from importlib.resources import files
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivertrack.functions.keys import normalise_key
+from rivertrack.functions.times import MICROS_PER_SECOND, micros
 from rivertrack.schema import fixed_table
 
 RULES = (
@@ -69,6 +70,51 @@ def exclude(df: DataFrame, rules: DataFrame) -> DataFrame:
     return df.alias("d").join(rules.alias("r"), _matches("d", "r"), "left_anti")
 
 
+def _timed(rules: DataFrame) -> DataFrame:
+    """The rules with both ends of a time range, as often as they reach into bins: ``level`` n
+    has bins of 2^n seconds, at least as wide as the rule, so that it reaches into two."""
+    start, end = micros("ts_from"), micros("ts_to")
+    seconds = F.greatest((end - start) / float(MICROS_PER_SECOND), F.lit(1.0))
+    bins = F.sequence(_bin("ts_from", F.col("level")), _bin("ts_to", F.col("level")))
+    return (
+        rules.where("ts_from <= ts_to")
+        .withColumn("level", F.ceil(F.log2(seconds)).cast("int"))
+        .withColumn("bin", F.explode(bins))
+    )
+
+
+def _bin(ts, level) -> Column:
+    return F.floor(micros(ts) / (F.pow(F.lit(2.0), level) * MICROS_PER_SECOND))
+
+
+def _open(rules: DataFrame) -> DataFrame:
+    """The rules without one end or both, the widest of each that say the same otherwise."""
+    same = rules.where("ts_from IS NULL OR ts_to IS NULL").withColumn(
+        "methods", F.array_sort("methods")
+    )
+    starts, ends = F.col("ts_from").isNotNull(), F.col("ts_to").isNotNull()
+    widest = same.groupBy("tag", "station", "rkm", "methods", starts.alias("s"), ends.alias("e"))
+    return widest.agg(F.min("ts_from").alias("ts_from"), F.max("ts_to").alias("ts_to"))
+
+
+def exclude_by_time(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """``exclude`` for rule tables in which a tag may have very many rules.
+
+    A row meets only the rules near it in time: rules with a time range are joined on tag and
+    time bin, one join for each width of bins that the rules call for, and each of them lies in
+    two bins or so. Rules open at an end cannot be binned, but of those that differ in their time
+    alone only the widest counts. The widths, at most some forty, are read while the plan is made.
+    """
+    timed = _timed(rules)
+    out = exclude(df, _open(rules))
+    for (level,) in sorted(timed.select("level").distinct().collect()):
+        placed = out.withColumn("_bin", _bin("ts", F.lit(level))).alias("d")
+        near = timed.where(F.col("level") == level).alias("r")
+        same_bin = F.col("d._bin") == F.col("r.bin")
+        out = placed.join(near, same_bin & _matches("d", "r"), "left_anti").drop("_bin")
+    return out
+
+
 def subsumed_rules(rules: DataFrame) -> DataFrame:
     """Rules another rule of the same tag makes redundant: its every term is wider or equal."""
     a, b = rules.alias("a"), rules.alias("b")

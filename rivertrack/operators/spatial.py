@@ -157,9 +157,10 @@ def survey_slices(det: DataFrame, dates=None) -> DataFrame:
     return rows.join(F.broadcast(numbered), "date")
 
 
-def jitter_points(df: DataFrame, amount: float, key: str = "seq") -> DataFrame:
+def jitter_points(df: DataFrame, amount: float | Column, key: str = "seq") -> DataFrame:
     """Add ``x_jitter`` and ``y_jitter``, moved evenly within ``amount`` metres either way. The
     shift is a hash of ``key``, so a task run again draws the same."""
+    amount = amount if isinstance(amount, Column) else F.lit(amount)
 
     def shift(salt: int) -> Column:
         named = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(salt)))

@@ -1,11 +1,12 @@
 """Tables behind the maps and the history panels."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivertrack import constants as K
 from rivertrack.functions.keys import normalise_key, pad_two_digit_code
 from rivertrack.operators.arrivals import last_detection
+from rivertrack.operators.lookups import first_match
 from rivertrack.operators.reports import history_panel, study_locations
 from rivertrack.operators.spatial import (
     bbox_membership,
@@ -42,13 +43,25 @@ def map_lakes(vertices: DataFrame, attributes: DataFrame) -> DataFrame:
     return vertex_attribute_join(vertices, attributes, F.col("GNSNM1").isNotNull())
 
 
-def survey_maps(det: DataFrame, dates=tuple(K.SURVEY_DATES), jitter: float = 500.0) -> DataFrame:
+def survey_jitter(jitter: float = K.SURVEY_JITTER, by_day: dict | None = None) -> Column:
+    """How far points of a survey day are moved: ``jitter``, except on the days of ``by_day``."""
+    by_day = K.SURVEY_JITTERS if by_day is None else by_day
+    days = [(F.col("date") == F.lit(d).cast("date"), F.lit(m)) for d, m in by_day.items()]
+    return F.coalesce(first_match(days), F.lit(jitter)) if days else F.lit(jitter)
+
+
+def survey_maps(
+    det: DataFrame,
+    dates=tuple(K.SURVEY_DATES),
+    jitter: float = K.SURVEY_JITTER,
+    by_day: dict | None = None,
+) -> DataFrame:
     """Mobile rows by survey day and map extent, projected and jittered."""
     points = bbox_membership(project_utm(survey_slices(det, dates)))
-    return jitter_points(points, jitter)
+    return jitter_points(points, survey_jitter(jitter, by_day))
 
 
-def last_detection_maps(det: DataFrame, jitter: float = 3000.0) -> DataFrame:
+def last_detection_maps(det: DataFrame, jitter: float = K.LAST_DETECTION_JITTER) -> DataFrame:
     """Last detection of each assigned tag, projected and jittered."""
     spark = det.sparkSession
     bad = fixed_table(spark, [(t,) for t in K.BAD_LAST_DETECTION_TAGS], "tag STRING")

@@ -136,6 +136,38 @@ def render_receiver(det: DataFrame) -> str:
     return folder
 
 
+# a station's folder, and the station that all its rows are
+STATION_OF = {"5": "6"}
+
+
+def render_stations(det: DataFrame) -> dict[str, str]:
+    """Write detections as downloads, a folder for each of stations 1, 2, 4 and 5, with times cut
+    to the hour, so that many rows share one. River kilometre 13 has no readable time and 77 no
+    code; station 5 reports another site number. Returns the folder of each station."""
+    folder = stage_path(det.sparkSession, "stations")
+    line = F.concat_ws(
+        " ",
+        F.date_format("ts", "yyyy-MM-dd"),
+        F.when(F.col("rkm") == 13, "xx:00:00").otherwise(F.date_format("ts", "HH:00:00")),
+        F.when(F.col("station") == "5", "9").otherwise(F.col("station")),
+        F.lit("1"),
+        F.col("freq"),
+        F.lit("LOTEK"),
+        F.when(F.col("rkm") == 77, "??").otherwise(F.col("code").cast("string")),
+        F.round(F.col("power") * 100).cast("int"),
+    )
+    rows = det.where(F.col("station").isin("1", "2", "4", "5"))
+    (
+        rows.select("station", "seq", line.alias("Date Time Site Ant Freq Type Code Power"))
+        .sortWithinPartitions("station", "seq")
+        .drop("seq")
+        .write.partitionBy("station")
+        .options(header=True, sep="\t", quote="")
+        .csv(folder)
+    )
+    return {s: f"{folder}/station={s}" for s in ("1", "2", "4", "5")}
+
+
 def render_srx(det: DataFrame) -> str:
     """Write detections as SRX survey downloads: preamble, records, trailer in every file.
     River kilometre 13 becomes the error code, 77 a broken tag number; rows in the second

@@ -1,5 +1,8 @@
 """The same results in plain SQL over the given tables, written independently of the operators."""
 
+import csv
+from importlib.resources import files
+
 DET = """det AS (
   SELECT user_id AS tag, ts, event_id AS seq, value AS power, CAST(ts AS DATE) AS date,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rkm, event_type AS zone,
@@ -73,6 +76,24 @@ def _allowed(d, only="TRUE"):
       AND (r.ts_to IS NULL OR {d}.ts <= r.ts_to))"""
 
 
+def _shipped_rules():
+    """The rules that ship with the package, keys padded here as well."""
+    text = files("rivertrack").joinpath("data/exclusion_rules.csv").read_text("utf-8")
+    rows = []
+    for r in csv.DictReader(x for x in text.splitlines() if not x.startswith("#")):
+        freq, code = r["tag"].split()
+        methods = ", ".join(f"'{m}'" for m in r["methods"].split("|") if m)
+        said = [
+            f"'{float(freq):.3f} {int(code):03d}'",
+            f"'{r['station']}'" if r["station"] else "NULL",
+            f"{r['rkm']}::DOUBLE" if r["rkm"] else "NULL::DOUBLE",
+            f"[{methods}]" if methods else "NULL::VARCHAR[]",
+            *(f"TIMESTAMP '{r[c]}'" if r[c] else "NULL::TIMESTAMP" for c in ("ts_from", "ts_to")),
+        ]
+        rows.append(f"({', '.join(said)})")
+    return f"rules(tag, station, rkm, methods, ts_from, ts_to) AS (VALUES {', '.join(rows)})"
+
+
 STATIONS = """stations(station, zone, rkm, lat, long) AS (VALUES
     ('1', 'Bulkley River', -0.7::DOUBLE, 55.01835::DOUBLE, -127.3189::DOUBLE),
     ('2', 'Bulkley River', 42.0, 54.78871, -127.1463),
@@ -204,6 +225,18 @@ VEC = """vec AS (
   SELECT vec_id AS det_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
          label FROM embeddings)"""
 
+# downloads of four stations: lines in their order, then the first per folder, tag and hour
+_DOWNLOADS = f"""{DET}, lines AS (
+  SELECT station AS folder, CASE station WHEN '5' THEN '6' ELSE station END AS station,
+         {_key("tag")} AS tag, tag AS number, date_trunc('hour', ts)::TIMESTAMP AS hourly, seq,
+         CAST(round(power * 100) AS INTEGER) AS power,
+         CASE WHEN tag % 2 = 0 THEN '149.500' ELSE '149.320' END AS freq,
+         CASE WHEN rkm IN (13, 77) THEN rkm END AS bad
+  FROM det WHERE station IN ('1', '2', '4', '5')),
+raw AS (
+  SELECT *, hourly AS ts FROM lines WHERE bad IS NULL
+  QUALIFY row_number() OVER (PARTITION BY folder, tag, hourly ORDER BY seq) = 1)"""
+
 ORACLE = {
     "detection_tag_join": f"""WITH {DET}, {TAGS}
 SELECT tag, ts, seq, station, sex, fork_length, tag_ts FROM det JOIN tags USING (tag)""",
@@ -248,6 +281,20 @@ SELECT tag, ts, seq, zone, CAST(flag AS INTEGER) AS flag, CAST(sum(flag) OVER (
   {ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS reached FROM flagged""",
     "exclusion_rules": f"""WITH {DET}, {RULES}
 SELECT tag, ts, seq, station, rkm, method FROM det WHERE {_allowed("det")}""",
+    "rules_by_time": f"""WITH {DET}, {RULES}
+SELECT tag, ts, seq, station, rkm, method FROM det WHERE {_allowed("det")}
+  AND NOT EXISTS (SELECT 1 FROM det m WHERE m.tag = det.tag AND m.method = 'Mobile'
+                  AND det.method = 'Fixed' AND det.ts BETWEEN m.ts AND m.ts + INTERVAL 6 HOUR)""",
+    "study_rules": f"""WITH {DET}, {_shipped_rules()}, keys AS (
+  SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS k, count(*) OVER () AS n
+  FROM (SELECT DISTINCT tag FROM rules)),
+d AS (
+  SELECT keys.tag, TIMESTAMP '2023-07-04' + 3 * (det.ts - TIMESTAMP '2024-01-01') AS ts, seq,
+         CASE WHEN method = 'Mobile' THEN 'Mobile' ELSE station END AS station, method,
+         CASE WHEN rkm < 40 THEN -0.7::DOUBLE WHEN rkm < 60 THEN 42 WHEN rkm < 80 THEN 214
+              ELSE rkm END AS rkm
+  FROM det JOIN keys ON det.tag % n = k)
+SELECT tag, ts, seq, station, rkm, method FROM d WHERE {_allowed("d")}""",
     "max_power_per_day": f"""WITH {DET}, peaked AS (
   SELECT *, max(CASE WHEN method = 'Mobile' THEN power END) OVER (PARTITION BY tag, date) AS peak
   FROM det)
@@ -291,8 +338,13 @@ SELECT tag, ts, seq, date::VARCHAR AS date FROM m WHERE date = last""",
 SELECT tag, source, ts, seq, zone, sex, CASE WHEN source <> 'upper' THEN power END AS power
 FROM best""",
     "spawner_fate": f"""WITH {AFTER}, {STATIONS}, rows_ AS (
-  SELECT {_key("aft.tag")} AS tag, aft.ts, aft.seq, aft.station, aft.method, s.zone, s.rkm
-  FROM aft LEFT JOIN stations s USING (station) WHERE aft.station IN ('1','2','4','5','6')),
+  SELECT {_key("aft.tag")} AS tag, aft.ts, aft.seq, aft.method,
+         CASE WHEN method = 'Mobile' THEN 'Mobile' ELSE aft.station END AS station,
+         CASE WHEN method <> 'Mobile' THEN s.zone WHEN aft.rkm >= 97 THEN 'Upper Bulkley River'
+              WHEN aft.rkm < 30 THEN 'Atna River' WHEN aft.rkm < 60 THEN 'Nanika River'
+              ELSE 'Morice Lake' END AS zone
+  FROM aft LEFT JOIN stations s USING (station)
+  WHERE method = 'Mobile' OR aft.station IN ('1','2','4','5','6')),
 {_priority(
         ["(method = 'Mobile' AND zone = 'Upper Bulkley River')",
          "(station = '5' OR method = 'Mobile' AND zone = 'Atna River')",
@@ -422,6 +474,17 @@ SELECT det_id, x, y, extent FROM vec JOIN boxes ON x BETWEEN x0 AND x1 AND y BET
 {_utm("long", "lat", "p", "m")}
 SELECT tag, seq, survey, extent, round(x, 2) AS x, round(y, 2) AS y
 FROM p_xy JOIN extents ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
+    "survey_map_jitter": f"""WITH {DET}, {PLACED}, {EXTENTS}, m AS (
+  SELECT *, dense_rank() OVER (ORDER BY date) AS survey FROM placed
+  WHERE method = 'Mobile' AND day(date) IN (2, 4, 5, 9, 11, 12, 18, 19, 23, 30)),
+{_utm("long", "lat", "p", "m")}, h AS (
+  SELECT *, CASE WHEN day(date) = 18 THEN 2000 ELSE 500 END AS far,
+         ('0x' || substr(md5(seq || ':1'), 1, 13))::BIGINT::DOUBLE AS h1,
+         ('0x' || substr(md5(seq || ':2'), 1, 13))::BIGINT::DOUBLE AS h2 FROM p_xy)
+SELECT tag, seq, date::VARCHAR AS date, survey, extent,
+       round(x + (h1 / 4503599627370496.0::DOUBLE * 2 - 1) * far, 2) AS x_jitter,
+       round(y + (h2 / 4503599627370496.0::DOUBLE * 2 - 1) * far, 2) AS y_jitter
+FROM h JOIN extents ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""",
     "last_detection_map": f"""WITH {DET}, {PLACED}, {EXTENTS}, m AS (
   SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY tag ORDER BY ts DESC, seq) = 1),
 {_utm("long", "lat", "p", "m")}
@@ -487,6 +550,27 @@ SELECT tag, ts, seq, CAST(rkm AS BIGINT) AS idx, rkm, round(x, 2) AS x, round(y,
 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY pairs.dist, rkm) = 1""",
     "scan_receiver": f"""WITH {DET} SELECT {_key("tag")} AS tag, ts, station,
   CAST(tag AS INTEGER) AS code, CAST(round(power * 100) AS INTEGER) AS power FROM det""",
+    "fixed_raw": f"""WITH {_DOWNLOADS}
+SELECT folder, 'part' AS file, station, tag, ts, power FROM raw""",
+    "fixed_study": f"""WITH {_DOWNLOADS}, {TAGS}, {STATIONS}
+SELECT raw.tag, raw.ts, raw.power, raw.station, s.zone, s.rkm, 'Fixed' AS method, tags.sex,
+       tags.tag_ts
+FROM raw LEFT JOIN stations s USING (station) JOIN tags ON tags.tag = raw.number
+WHERE raw.tag NOT IN ('149.500 212', '149.500 211') AND raw.ts >= TIMESTAMP '2024-01-04'
+  AND raw.ts > tags.tag_ts""",
+    "fixed_quarantine": f"""WITH {_DOWNLOADS}
+SELECT folder, CASE WHEN bad = 13 THEN 'no time' ELSE 'no frequency or code' END AS reason,
+       strftime(hourly, '%Y-%m-%d ') || CASE WHEN bad = 13 THEN 'xx' ELSE strftime(hourly, '%H') END
+       || ':00:00 ' || CASE WHEN folder = '5' THEN '9' ELSE folder END || ' 1 ' || freq
+       || ' LOTEK ' || CASE WHEN bad = 77 THEN '??' ELSE CAST(number AS VARCHAR) END || ' '
+       || power AS value
+FROM lines WHERE bad IS NOT NULL""",
+    "fixed_lines": f"""WITH {_DOWNLOADS}
+SELECT folder, CASE WHEN bad IS NULL THEN 'kept' ELSE 'rejected' END AS kind, count(*) AS n
+FROM lines GROUP BY 1, 2""",
+    "csv_rejects": f"""WITH {TAGS}
+SELECT 'fork_length' AS "column", fork_length::VARCHAR AS text FROM tags
+WHERE fork_length >= 0""",
     "scan_srx": f"""WITH {DET}
 SELECT date::VARCHAR AS date, ts, CAST(hour(ts) AS BIGINT) AS hour,
        CAST(station AS INTEGER) AS channel, CAST(tag AS INTEGER) AS code,

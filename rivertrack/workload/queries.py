@@ -8,7 +8,7 @@ from rivertrack.functions.keys import normalise_key, pad_two_digit_code, tag_key
 from rivertrack.functions.times import parse_date, parse_ts
 from rivertrack.operators import arrivals, cleaning, lookups, reports, rules, spatial, speed
 from rivertrack.operators.timeline import cluster
-from rivertrack.plans import cascade, fixed, mobile, movement
+from rivertrack.plans import cascade, fixed, maps, mobile, movement
 from rivertrack.schema import fixed_table
 from rivertrack.sources import files, receivers
 from rivertrack.workload import binding as B
@@ -158,6 +158,38 @@ def exclusion_rules(spark, sf):
     return kept.select("tag", "ts", "seq", "station", "rkm", "method")
 
 
+@query
+def rules_by_time(spark, sf):
+    """Each survey row of a tag rules out its fixed rows of the six hours that follow."""
+    det = B.detections(spark, sf)
+    after = det.where(F.col("method") == "Mobile").select(
+        "tag",
+        F.lit(None).cast("string").alias("station"),
+        F.lit(None).cast("double").alias("rkm"),
+        F.array(F.lit("Fixed")).alias("methods"),
+        F.col("ts").alias("ts_from"),
+        F.expr("ts + interval 6 hours").alias("ts_to"),
+    )
+    kept = rules.exclude_by_time(det, after.unionByName(_rules(spark)))
+    return kept.select("tag", "ts", "seq", "station", "rkm", "method")
+
+
+@query
+def study_rules(spark, sf):
+    """The study's own rules over detections under the keys that they name, in their season."""
+    shipped = rules.study_rules(spark)
+    keys = sorted({r.tag for r in shipped.select("tag").collect()})
+    named = F.element_at(F.lit(keys), (F.col("tag") % len(keys) + 1).cast("int"))
+    # three days of a season for each day, and the study's places
+    ts = F.expr("timestamp_ntz'2023-07-04 00:00:00' + 3 * (ts - timestamp_ntz'2024-01-01 00:00:00')")
+    rkm, mobile = F.col("rkm"), F.col("method") == "Mobile"
+    place = F.when(rkm < 40, -0.7).when(rkm < 60, 42.0).when(rkm < 80, 214.0).otherwise(rkm)
+    det = B.detections(spark, sf).withColumns(
+        {"tag": named, "ts": ts, "rkm": place, "station": F.when(mobile, "Mobile").otherwise(F.col("station"))}
+    )
+    return rules.exclude(det, shipped).select("tag", "ts", "seq", "station", "rkm", "method")
+
+
 @query
 def max_power_per_day(spark, sf):
     kept = cleaning.strongest_mobile(B.detections(spark, sf))
@@ -241,8 +273,18 @@ def priority_union(spark, sf):
 
 @query
 def spawner_fate(spark, sf):
-    det = lookups.station_lookup(
-        _after_tagging(spark, sf).drop("zone", "rkm").withColumn("tag", B.key_of(F.col("tag")))
+    """Surveys reach the upper river on few rows and all spawning waters on the others."""
+    det = _after_tagging(spark, sf)
+    mobile, at = F.col("method") == "Mobile", F.col("at")
+    waters = lookups.first_match(
+        [(at >= 97, "Upper Bulkley River"), (at < 30, "Atna River"), (at < 60, "Nanika River")]
+    )
+    det = det.withColumnsRenamed({"rkm": "at"}).drop("zone")
+    det = lookups.station_lookup(det.withColumn("tag", B.key_of(F.col("tag")))).withColumns(
+        {
+            "station": F.when(mobile, "Mobile").otherwise(F.col("station")),
+            "zone": F.when(mobile, F.coalesce(waters, F.lit("Morice Lake"))).otherwise(F.col("zone")),
+        }
     )
     return movement.spawner_fate(det).select("tag", "source", "ts", "seq", "station", "zone")
 
@@ -509,6 +551,21 @@ def survey_map(spark, sf):
     )
 
 
+# ten survey days, one of them jittered otherwise
+SURVEY_DAYS = tuple(f"2024-01-{d:02}" for d in (2, 4, 5, 9, 11, 12, 18, 19, 23, 30))
+JITTERS = {"2024-01-18": 2000.0}
+
+
+@query
+def survey_map_jitter(spark, sf):
+    det = B.positions(B.detections(spark, sf))
+    out = maps.survey_maps(det, SURVEY_DAYS, by_day=JITTERS)
+    return out.select(
+        "tag", "seq", _day(), F.col("survey").cast("bigint").alias("survey"), "extent",
+        F.round("x_jitter", 2).alias("x_jitter"), F.round("y_jitter", 2).alias("y_jitter"),
+    )
+
+
 @query
 def last_detection_map(spark, sf):
     last = arrivals.last_detection(B.positions(B.detections(spark, sf)))
@@ -635,6 +692,48 @@ def scan_receiver(spark, sf):
     return rows.select("tag", "ts", "station", "code", "power")
 
 
+def _station_folders(spark, sf):
+    folders = B.render_stations(B.keyed_detections(spark, sf))
+    return list(folders.values()), {folders[s]: site for s, site in B.STATION_OF.items()}
+
+
+def _folder(path="src_path"):
+    return F.regexp_extract(path, "station=([^/]+)/", 1).alias("folder")
+
+
+@query
+def fixed_raw(spark, sf):
+    """Folder by folder: first row per tag and second in file order, one folder's site overridden."""
+    folders, station_of = _station_folders(spark, sf)
+    rows = fixed.fixed_raw(spark, folders, station_of)
+    name = F.regexp_extract("src_file", "^(part)-", 1)
+    return rows.select(_folder(), name.alias("file"), "station", "tag", "ts", "power")
+
+
+@query
+def fixed_study(spark, sf):
+    """Downloads to detections, as the study reads them."""
+    folders, station_of = _station_folders(spark, sf)
+    raw = fixed.fixed_raw(spark, folders, station_of)
+    out = fixed.fixed_pipeline(raw, B.keyed_tags(spark, sf), study_start="2024-01-04")
+    return out.select("tag", "ts", "power", "station", "zone", "rkm", "method", "sex", "tag_ts")
+
+
+@query
+def fixed_quarantine(spark, sf):
+    folders, _ = _station_folders(spark, sf)
+    return fixed.fixed_quarantine(spark, folders).select(_folder(), "reason", "value")
+
+
+@query
+def fixed_lines(spark, sf):
+    """How many lines of each folder are of which kind, header lines apart: files are written by
+    task, so their number varies."""
+    folders, station_of = _station_folders(spark, sf)
+    lines = fixed.fixed_lines(spark, folders, station_of).where(F.col("kind") != "header")
+    return lines.groupBy(_folder(), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def scan_srx(spark, sf):
     folder = B.render_srx(B.positions(B.keyed_detections(spark, sf)))
@@ -656,6 +755,15 @@ def csv_null_tokens(spark, sf):
     )
 
 
+@query
+def csv_rejects(spark, sf):
+    """Lengths with decimals do not cast to whole numbers."""
+    folder = B.render_metadata(B.tags(spark, sf))
+    ddl = "tag BIGINT, sex STRING, fork_length INT, tag_ts TIMESTAMP_NTZ"
+    bad = files.csv_rejects(spark, folder, ddl, K.NA_TOKENS_2024)
+    return bad.select("column", "text")
+
+
 @query
 def stage_roundtrip(spark, sf):
     det = B.detections(spark, sf)
