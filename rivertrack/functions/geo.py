@@ -31,20 +31,26 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def utm_zone9(long, lat) -> tuple[Column, Column]:
-    """Easting and northing of a position; NULL for a latitude beyond 90 degrees, a longitude
-    beyond 360, or a value that is not finite."""
+def utm_steps(long, lat) -> list[dict[str, Column]]:
+    """Easting ``x`` and northing ``y`` of a position in steps, each from the columns of those
+    before. NULL for a latitude beyond 90 degrees, a longitude beyond 360, or a value that is
+    not finite."""
     valid = (F.abs(_col(lat)) <= 90) & (F.abs(_col(long)) <= 360)
-    phi = F.radians(_col(lat))
+    sin_phi = F.sin(F.radians(F.when(valid, _col(lat))))
     lam = F.radians(_col(long) - CENTRAL_MERIDIAN)
-    sin_phi = F.sin(phi)
     # tangent of the conformal latitude
-    tau = F.sinh(F.atanh(sin_phi) - ECCENTRICITY * F.atanh(ECCENTRICITY * sin_phi))
-    xi = F.atan2(tau, F.cos(lam))
-    eta = F.asinh(F.sin(lam) / F.sqrt(tau * tau + F.cos(lam) * F.cos(lam)))
-    east, north = eta, xi
+    tau = F.sinh(F.atanh("_utm_sin") - ECCENTRICITY * F.atanh(ECCENTRICITY * F.col("_utm_sin")))
+    t, e, n = F.col("_utm_tau"), F.col("_utm_east"), F.col("_utm_north")
+    north = F.atan2(t, F.cos("_utm_lam"))
+    east = F.asinh(F.sin("_utm_lam") / F.sqrt(t * t + F.cos("_utm_lam") * F.cos("_utm_lam")))
+    x, y = e, n
     for j, a in enumerate(SERIES, start=1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        x = x + a * F.cos(2 * j * n) * F.sinh(2 * j * e)
+        y = y + a * F.sin(2 * j * n) * F.cosh(2 * j * e)
     k = SCALE * RECTIFYING_RADIUS
-    return F.when(valid, FALSE_EASTING + k * east), F.when(valid, k * north)
+    return [
+        {"_utm_sin": sin_phi, "_utm_lam": lam},
+        {"_utm_tau": tau},
+        {"_utm_north": north, "_utm_east": east},
+        {"x": FALSE_EASTING + k * x, "y": k * y},
+    ]

@@ -1,136 +1,65 @@
 """Positions: projection, nearest reference point, map extents, survey slices, layers."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivertrack import constants as K
-from rivertrack.functions.geo import utm_zone9
+from rivertrack.functions.geo import utm_steps
+from rivertrack.operators.nearest import PER_LEAF, nearest_by_leaf, nearest_in_task
 from rivertrack.schema import fixed_table
-from rivertrack.session import shared_dir
 
 
 def project_utm(df: DataFrame, long: str = "long", lat: str = "lat") -> DataFrame:
-    """Add ``x`` and ``y``, UTM zone 9 metres."""
-    x, y = utm_zone9(long, lat)
-    return df.withColumns({"x": x, "y": y})
+    """Add ``x`` and ``y``, UTM zone 9 metres. The steps of the projection are columns of their
+    own, each computed once, and the pair is a generated row: a filter on it is not pushed below
+    and does not compute it again."""
+    steps = utm_steps(long, lat)
+    names = [name for step in steps[:-1] for name in step]
+    out = df.drop("x", "y")
+    for step in steps[:-1]:
+        out = out.withColumns(step)
+    pair = F.struct(*[c.alias(name) for name, c in steps[-1].items()])
+    return out.select("*", F.inline(F.array(pair))).drop(*names)
 
 
 def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # NaN is above infinity
 
 
-def _nearest_in_task(df: DataFrame, points: list) -> DataFrame:
-    """Every task holds the whole (size-checked) point table and answers a batch at a time."""
-    import numpy as np
-    import pandas as pd
-
-    points = sorted(points, key=lambda p: p.idx)
-    at_idx = np.arange(len(points))
-    px = np.array([p.x for p in points])
-    py = np.array([p.y for p in points])
-    rows_at_once = max(1, 2_000_000 // len(points))
-
-    def nearest(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        xs, ys = x.to_numpy("float64"), y.to_numpy("float64")
-        best = np.empty(len(xs), dtype="int64")
-        dist = np.empty(len(xs))
-        for i in range(0, len(xs), rows_at_once):
-            part = slice(i, i + rows_at_once)
-            d = np.sqrt((xs[part, None] - px) ** 2 + (ys[part, None] - py) ** 2)
-            at = d.argmin(axis=1)  # the first of equal distances, as idx is ascending
-            best[part] = at_idx[at]
-            dist[part] = d[np.arange(len(at)), at]
-        return pd.DataFrame({"at": best, "dist": dist})
-
-    udf = F.pandas_udf(nearest, "at bigint, dist double")
-    return df.withColumn("_near", udf("x", "y")).select("x", "y", "_near.at", "_near.dist")
-
-
-def _nearest_by_cell(df: DataFrame, points: DataFrame, cell: float) -> DataFrame:
-    """For a point table too large to hold in a task: join on grid cells. A position looks at the
-    3x3 cells around it and is done if its nearest point there is no farther than one cell, as
-    nothing outside can be nearer. The rest, ever fewer, try again with cells four times as
-    wide, until none is left."""
-    shared_dir(df.sparkSession)
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    pending = df
-    found = []
-    while True:
-
-        def cell_of(c: str, width=cell) -> Column:
-            return F.floor(F.col(c) / width)
-
-        spread = (
-            points.select("idx", F.col("x").alias("_px"), F.col("y").alias("_py"))
-            .withColumn("_i", around)
-            .withColumn("_j", around)
-            .withColumn("_cx", cell_of("_px") + F.col("_i"))
-            .withColumn("_cy", cell_of("_py") + F.col("_j"))
-            .drop("_i", "_j")
-        )
-        dist = F.sqrt(
-            (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px"))
-            + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
-        )
-        near = (
-            pending.withColumns({"_cx": cell_of("x"), "_cy": cell_of("y")})
-            .join(spread, ["_cx", "_cy"])
-            .groupBy("x", "y")
-            .agg(F.min(F.struct(dist.alias("dist"), "idx")).alias("_near"))
-            .select("x", "y", "_near.idx", "_near.dist")
-            .where(F.col("dist") <= cell)
-            .checkpoint()
-        )
-        found.append(near)
-        pending = pending.join(near, ["x", "y"], "left_anti").checkpoint()
-        if pending.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        cell *= 4
-
-
 def nearest_reference_point(
-    df: DataFrame,
-    points: DataFrame,
-    max_points: int = 20_000,
-    cell: float | None = None,
+    df: DataFrame, points: DataFrame, max_points: int = 20_000, per_leaf: int = PER_LEAF
 ) -> DataFrame:
     """Add idx, dist, and the other columns of the nearest point (lowest ``idx`` on ties).
 
     ``points`` (idx, x, y, ...) is a reference layer of one point per kilometre. Up to
-    ``max_points`` are read to the driver and sent to every task: no pair of row and point is
-    ever a row. A larger layer is joined by grid cell. Both ways answer each distinct position
-    once, so rows need no id, and agree. Rows whose position is missing or not finite get NULLs;
-    points without a finite position are never nearest.
+    ``max_points`` are read to the driver and searched as a tree in every task; rows stay where
+    they are. Of a larger layer, each distinct position meets the points of the leaves near it
+    (see ``nearest``). Both agree. Rows whose position is missing or not finite get NULLs; points
+    without a finite position are never nearest.
     """
     points = points.where(_finite("x") & _finite("y"))
     held = points.limit(max_points + 1).collect()
     if not held:
         raise ValueError("no reference points")
-    positions = df.where(_finite("x") & _finite("y")).select("x", "y").distinct()
+    more = [c for c in points.columns if c not in ("x", "y")]
     if len(held) <= max_points:
-        order = sorted(held, key=lambda p: p.idx)
-        schema = points.drop("x", "y").schema
-        names = [f.name for f in schema]
-        kept = T.StructType([T.StructField("at", T.LongType()), *schema.fields])
-        rows = [(i, *[p[n] for n in names]) for i, p in enumerate(order)]
-        placed = _nearest_in_task(positions, held)
-        payload = F.broadcast(fixed_table(df.sparkSession, rows, kept))
-        near = placed.join(payload, "at", "left").drop("at")
-    else:
-        slim = points.select("idx", "x", "y")
-        if cell is None:
-            box = slim.agg(
-                F.count(F.lit(1)).alias("n"),
-                (F.max("x") - F.min("x")).alias("w"),
-                (F.max("y") - F.min("y")).alias("h"),
-            ).first()
-            cell = max(box.w, box.h, 1e-9) / max(1.0, box.n**0.5)
-        near = _nearest_by_cell(positions, slim, cell).join(points.drop("x", "y"), "idx", "left")
-    return df.join(near, ["x", "y"], "left").select(
-        *df.columns, *[c for c in near.columns if c not in ("x", "y")]
+        held = sorted(held, key=lambda p: p.idx)
+        fields = [points.schema[n] for n in more]
+        table = T.StructType([T.StructField("_at", T.LongType()), *fields])
+        rows = [(i, *[p[n] for n in more]) for i, p in enumerate(held)]
+        payload = F.broadcast(fixed_table(df.sparkSession, rows, table))
+        near = nearest_in_task(df, held).withColumns({"_at": F.col("_near.at"), "dist": F.col("_near.dist")})
+        return near.join(payload, "_at", "left").select(*df.columns, "idx", "dist", *[c for c in more if c != "idx"])
+    positions = df.where(_finite("x") & _finite("y")).select("x", "y").distinct()
+    near = nearest_by_leaf(positions, points.select("idx", "x", "y"), per_leaf)
+    near = near.join(points.drop("x", "y"), "idx")
+    # rows without a position match nothing; spread, they do not all meet in one task
+    spread = F.when(~(_finite("x") & _finite("y")), F.monotonically_increasing_id())
+    rows = df.withColumn("_spread", F.coalesce(spread, F.lit(-1)))
+    near = near.withColumn("_spread", F.lit(-1).cast("bigint"))
+    return rows.join(near, ["x", "y", "_spread"], "left").select(
+        *df.columns, "idx", "dist", *[c for c in more if c != "idx"]
     )
 
 

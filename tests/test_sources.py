@@ -227,10 +227,9 @@ def test_more_than_sixteen_stations_keep_their_rows(spark, tmp_path):
 
 
 def test_positions_off_the_earth_are_null(spark):
-    from rivertrack.functions.geo import utm_zone9
+    from rivertrack.operators.spatial import project_utm
 
     rows = [(-127.0, 54.0), (-127.0, 90.0), (-127.0, 200.0), (float("nan"), 54.0), (-127.0, None)]
-    east, north = utm_zone9("long", "lat")
-    df = spark.createDataFrame(rows, "long double, lat double").select(east.alias("x"), north.alias("y"))
+    df = project_utm(spark.createDataFrame(rows, "long double, lat double"))
     got = [r.x is not None and r.y is not None for r in df.collect()]
     assert got == [True, True, False, False, False]

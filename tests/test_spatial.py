@@ -6,8 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rivertrack.functions.geo import utm_zone9
-from rivertrack.operators import spatial
+from rivertrack.operators import nearest, spatial
 from rivertrack.plans import maps
 from rivertrack.plans.mobile import mobile_rkm
 
@@ -40,8 +39,8 @@ def snyder(long, lat):
     "long, lat", [(-129, 0), (-127.3189, 55.01835), (-127.74321, 54.014545), (-130.9, 48.2)]
 )
 def test_projection(spark, long, lat):
-    x, y = utm_zone9(F.lit(float(long)), F.lit(float(lat)))
-    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    place = spark.range(1).select(F.lit(float(long)).alias("long"), F.lit(float(lat)).alias("lat"))
+    r = spatial.project_utm(place).first()
     assert (r.x, r.y) == pytest.approx(snyder(long, lat), abs=0.01)
 
 
@@ -55,15 +54,15 @@ def cloud():
     return points, dets
 
 
-@pytest.mark.parametrize("way", ["in task", "by cell", "by small cell"])
+@pytest.mark.parametrize("way", ["in task", "by leaf", "by small leaf"])
 def test_nearest(spark, cloud, way):
     points, dets = cloud
     p = spark.createDataFrame(points, "idx BIGINT, x DOUBLE, y DOUBLE, rkm DOUBLE, zone STRING")
     d = spark.createDataFrame(dets, "det_id BIGINT, x DOUBLE, y DOUBLE")
     options = {
         "in task": {},
-        "by cell": {"max_points": 10},
-        "by small cell": {"max_points": 10, "cell": 0.5},
+        "by leaf": {"max_points": 10},
+        "by small leaf": {"max_points": 10, "per_leaf": 3},
     }[way]
     got = {r.det_id: r for r in spatial.nearest_reference_point(d, p, **options).collect()}
     assert len(got) == len(dets)
@@ -86,7 +85,7 @@ def test_nearest_tie_takes_lowest_index(spark):
     assert spatial.nearest_reference_point(d, p, max_points=1).first().idx == 2
 
 
-@pytest.mark.parametrize("way", [{}, {"max_points": 1}], ids=["in task", "by cell"])
+@pytest.mark.parametrize("way", [{}, {"max_points": 1}], ids=["in task", "by leaf"])
 def test_nearest_repeated_ids_and_bad_positions(spark, way):
     p = spark.createDataFrame(
         [(0, 0.0, 0.0), (2, 10.0, 0.0), (5, float("nan"), 0.0)], "idx INT, x DOUBLE, y DOUBLE"
