@@ -109,7 +109,11 @@ def test_projection_is_computed_once_and_rows_stay(spark):
 @pytest.mark.parametrize("name", ["mobile_pipeline", "survey_map_jitter", "cleaning_cascade", "scan_srx", "fixed_study"])
 def test_code_is_generated(spark, name):
     """No stage falls out of whole-stage code generation."""
-    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     stages = debug.codegenStringSeq(plan)
     assert stages.size() > 0
