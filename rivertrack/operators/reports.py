@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rivertrack import constants as K
 from rivertrack.operators.lookups import after_tagging, first_match, sex_label
+from rivertrack.schema import fixed_table
+from rivertrack.sources.files import stage_path, write_stage
 
 
 def _count() -> Column:
@@ -16,16 +18,23 @@ def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(_count().alias(name))
 
 
-def length_summary(
-    tags: DataFrame, group: str = "sex", value: str = "fork_length", bins: int = 4096
-) -> DataFrame:
+# of the sketch that brackets a median: its size, how far from the middle the bracket reaches (some
+# eight times its usual error) and into how many parts the bracket is cut
+SKETCH_SIZE, SKETCH_REACH, BRACKET_PARTS = 2048, 0.004, 64
+
+
+def length_summary(tags: DataFrame, group: str = "sex", value: str = "fork_length") -> DataFrame:
     """n, mean, exact median, min, max and sd of ``value`` per group, NULLs left out but for n.
 
-    The median needs no sorted group: values are counted into ``bins`` equal bins, the bin that
-    holds the middle rank is found on the counts, and only that bin's distinct values (with
-    their counts) are ranked.
+    The median takes two scans and no sorted group. The first one makes a sketch of each group
+    beside the other figures, whose quantiles bracket the middle rank; the second counts the values
+    below the bracket and, part by part, the few inside it, and only the part that holds the middle
+    rank is put in order. Should a sketch ever be so far off that its bracket misses the middle,
+    the run ends; a wrong median is never returned. NaN counts as larger than any number.
     """
     x = F.col(value)
+    number = x.cast("double")
+    infinity = F.lit(float("inf"))
     stats = tags.groupBy(group).agg(
         _count().alias("n"),
         F.avg(x).alias("mean"),
@@ -33,58 +42,55 @@ def length_summary(
         F.max(x).alias("max"),
         F.stddev_samp(x).alias("sd"),
         F.count(x).alias("_m"),
+        F.kll_sketch_agg_double(F.nanvl(number, infinity), F.lit(SKETCH_SIZE)).alias("_sketch"),
+    )
+    # one row per group, needed twice; the median is the mean of the values at both ranks
+    stats = write_stage(stats, stage_path(tags.sparkSession, "length-stats")).withColumns(
+        {"_r1": F.floor((F.col("_m") + 1) / 2), "_r2": F.floor((F.col("_m") + 2) / 2)}
     )
-    limits = stats.select(
-        F.col(group).alias("_g"),
-        F.col("min").alias("_lo"),
-        F.col("max").alias("_hi"),
-        # ranks whose mean is the median
-        F.floor((F.col("_m") + 1) / 2).alias("_r1"),
-        F.floor((F.col("_m") + 2) / 2).alias("_r2"),
+    step = 2 * SKETCH_REACH / BRACKET_PARTS
+    at = F.array(*[F.lit(0.5 - SKETCH_REACH + i * step) for i in range(BRACKET_PARTS + 1)])
+    brackets = stats.where(F.col("_m") > 0).select(
+        F.col(group).alias("_g"), "_r1", "_r2", F.kll_sketch_get_quantile_double("_sketch", at).alias("_cuts")
     )
-    share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cuts, place = F.col("_cuts"), F.nanvl("_x", infinity)
+    below = place < cuts[0]
+    part = F.size(F.filter(cuts, lambda c: c < place))
     counts = (
-        tags.where(x.isNotNull())
-        .groupBy(F.col(group).alias("_h"), x.alias("_x"))
+        tags.select(F.col(group).alias("_h"), number.alias("_x"))
+        .join(brackets, F.col("_h").eqNullSafe(F.col("_g")))
+        .where(place <= cuts[BRACKET_PARTS])
+        .withColumns({"_part": F.when(below, -1).otherwise(part), "_x": F.when(~below, F.col("_x"))})
+        .groupBy("_g", "_r1", "_r2", "_part", "_x")
         .agg(_count().alias("_c"))
-        .join(limits, F.col("_h").eqNullSafe(F.col("_g")))
-        .withColumn(
-            "_bin",
-            F.when(
-                F.col("_hi") > F.col("_lo"), F.least(F.floor(share * bins), F.lit(bins - 1))
-            ).otherwise(F.lit(0)),
-        )
-    )
-    per_bin = counts.groupBy("_g", "_bin").agg(
-        F.sum("_c").alias("_bc"), F.first("_r1").alias("_r1"), F.first("_r2").alias("_r2")
     )
-    upto = Window.partitionBy("_g").orderBy("_bin")
+    # what lies inside is a small share of the rows, and it is needed twice
+    counts = write_stage(counts, stage_path(tags.sparkSession, "length-bracket"))
+    per_part = counts.groupBy("_g", "_r1", "_r2", "_part").agg(F.sum("_c").alias("_pc"))
+    upto = Window.partitionBy("_g").orderBy("_part")
     middle = (
-        per_bin.withColumn("_end", F.sum("_bc").over(upto))
-        .withColumn("_before", F.col("_end") - F.col("_bc"))
-        .where((F.col("_before") < F.col("_r2")) & (F.col("_end") >= F.col("_r1")))
-        .select(F.col("_g").alias("_k"), F.col("_bin").alias("_b"), "_before")
+        per_part.withColumn("_end", F.sum("_pc").over(upto))
+        .withColumn("_before", F.col("_end") - F.col("_pc"))
+        .where((F.col("_before") < F.col("_r2")) & (F.col("_end") >= F.col("_r1")) & (F.col("_part") >= 0))
+        .select(F.col("_g").alias("_k"), F.col("_part").alias("_p"), "_before")
     )
-    in_bin = Window.partitionBy("_g", "_bin").orderBy("_x")
+    in_part = Window.partitionBy("_g", "_part").orderBy("_x")
     ranked = (
         counts.join(
-            middle, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_bin") == F.col("_b"))
+            middle, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))
         )
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(in_bin))
+        .withColumn("_end", F.col("_before") + F.sum("_c").over(in_part))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )
 
-    def holds(rank):
-        return (F.col("_start") < F.col(rank)) & (F.col("_end") >= F.col(rank))
+    def at_rank(rank):
+        return F.max(F.when((F.col("_start") < F.col(rank)) & (F.col("_end") >= F.col(rank)), F.col("_x")))
 
-    median = ranked.groupBy("_g").agg(
-        (
-            (F.max(F.when(holds("_r1"), F.col("_x"))) + F.max(F.when(holds("_r2"), F.col("_x"))))
-            / 2
-        ).alias("median")
-    )
+    median = ranked.groupBy("_g").agg(((at_rank("_r1") + at_rank("_r2")) / 2).alias("_median"))
+    missed = F.raise_error(F.lit("the sketch missed the median; run again")).cast("double")
+    exact = F.when(F.col("_m") > 0, F.coalesce("_median", missed))
     return stats.join(median, F.col(group).eqNullSafe(F.col("_g")), "left").select(
-        group, "n", "mean", "median", "min", "max", "sd"
+        group, "n", "mean", exact.alias("median"), "min", "max", "sd"
     )
 
 
@@ -234,24 +240,29 @@ def multi_survey_tags(det: DataFrame, surveys: int = 3, station: str = "Mobile")
 def tag_pages(det: DataFrame, per_page: int = K.PANELS_PER_PAGE) -> DataFrame:
     """Distinct tags in sorted order with their ``page`` and ``panel``.
 
-    The rank over all tags is the rank within a block of neighbouring keys (10,000 numbers, or
-    one frequency) plus the tags in the blocks before; only one count per block is ranked as a
-    whole."""
-    numeric = det.schema["tag"].dataType.typeName() in ("integer", "long", "short")
-    block = F.floor(F.col("tag") / 10_000) if numeric else F.substring_index("tag", " ", 1)
-    tags = det.select("tag").where(F.col("tag").isNotNull()).distinct().withColumn("_b", block)
-    sizes = tags.groupBy("_b").agg(_count().alias("_n"))
-    before = sizes.withColumn(
-        "_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")
-    ).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("tag")) + F.col("_before")
+    Tags are dealt out by range and sorted within each; the rank over all of them is the place in
+    the range plus the tags of the ranges before. They are written as they lie, so that a task
+    run again cannot draw other ranges; one count per range reaches the driver."""
+    spark = det.sparkSession
+    tags = det.select("tag").where(F.col("tag").isNotNull()).distinct()
+    ranged = tags.repartitionByRange("tag").sortWithinPartitions("tag")
+    # the id has the partition in its upper bits and the place within it in the lower 33
+    placed = ranged.withColumn("_id", F.monotonically_increasing_id())
+    placed = write_stage(placed, stage_path(spark, "tags-in-order"))
+    sizes = placed.groupBy(F.shiftright("_id", 33).alias("_range")).agg(_count().alias("n"))
+    before, table = 0, []
+    for r in sorted(sizes.collect()):
+        table.append((r._range, before))
+        before += r.n
+    earlier = F.broadcast(fixed_table(spark, table, "_range BIGINT, _before BIGINT"))
+    rank = F.col("_id").bitwiseAND(2**33 - 1) + F.col("_before")
     return (
-        tags.join(before, "_b")
-        .withColumn("_rank", rank)
+        placed.withColumn("_range", F.shiftright("_id", 33))
+        .join(earlier, "_range")
         .select(
             "tag",
-            (F.floor((F.col("_rank") - 1) / per_page) + 1).alias("page"),
-            ((F.col("_rank") - 1) % per_page + 1).alias("panel"),
+            (F.floor(rank / per_page) + 1).alias("page"),
+            (rank % per_page + 1).alias("panel"),
         )
     )
 

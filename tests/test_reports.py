@@ -1,5 +1,6 @@
 """Arrivals, counts, summaries and panels."""
 
+import math
 import random
 import statistics
 from datetime import datetime, timedelta
@@ -13,6 +14,7 @@ from rivertrack.operators import arrivals, reports
 from rivertrack.plans import movement
 from rivertrack.plans.cascade import cleaning_cascade, unified_timeline, with_station_positions
 from rivertrack.plans.maps import detection_history, last_detection_maps, survey_maps
+from rivertrack.sources.files import write_stage
 
 T0 = datetime(2024, 7, 4)
 
@@ -47,8 +49,10 @@ def tags(spark, det):
 # --- median --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("bins", [1, 7, 4096])
-def test_length_summary(spark, bins):
+@pytest.mark.parametrize("sketch", [{}, {"SKETCH_REACH": 0.5, "BRACKET_PARTS": 1}, {"SKETCH_SIZE": 8, "SKETCH_REACH": 0.4}])
+def test_length_summary(spark, monkeypatch, sketch):
+    for name, size in sketch.items():
+        monkeypatch.setattr(reports, name, size)
     rng = random.Random(3)
     groups = {
         "M": [rng.gauss(55, 4) for _ in range(101)],
@@ -56,10 +60,12 @@ def test_length_summary(spark, bins):
         None: [48.0],
         "one value": [50.0] * 8,
         "none": [],
+        **{f"{n} values": [rng.random() for _ in range(n)] for n in range(1, 12)},
+        "with infinities": [float("-inf"), 1.0, 2.0, float("inf"), 3.0],
     }
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("M", None)]
     df = spark.createDataFrame(rows, "sex STRING, fork_length DOUBLE")
-    got = {r.sex: r for r in reports.length_summary(df, bins=bins).collect()}
+    got = {r.sex: r for r in reports.length_summary(df).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         r = got[g]
@@ -69,10 +75,43 @@ def test_length_summary(spark, bins):
             continue
         assert r.median == statistics.median(vs)
         assert (r.min, r.max) == (min(vs), max(vs))
+        if g == "with infinities":
+            continue
         assert r.mean == pytest.approx(statistics.fmean(vs))
         assert r.sd == (pytest.approx(statistics.stdev(vs)) if len(vs) > 1 else None)
 
 
+def test_median_of_many(spark, tmp_path, monkeypatch):
+    """Exact, from two scans of the values: one for the sketch, one for the bracket."""
+    df = spark.range(300_000).selectExpr("id % 2 = 0 as sex", "pow(rand(7), 3) * 1e6 as fork_length", "id")
+    nan = float("nan")
+    df = df.withColumn("fork_length", F.when(~F.col("sex") & (F.col("id") % 3 > 0), F.lit(nan)).otherwise(F.col("fork_length")))
+    df.drop("id").write.parquet(str(tmp_path / "lengths"))
+    df = spark.read.parquet(str(tmp_path / "lengths"))
+    written = []
+    monkeypatch.setattr(reports, "write_stage", lambda d, path: written.append(d) or write_stage(d, path))
+    out = reports.length_summary(df)
+    got = {r.sex: r.median for r in out.collect()}
+    want = sorted(r.fork_length for r in df.where("sex").collect())
+    assert got[True] == (want[74_999] + want[75_000]) / 2
+    assert math.isnan(got[False])  # two of three values are NaN
+    plans = [d._jdf.queryExecution().sparkPlan().toString() for d in (*written, out)]
+    assert [p.count("/lengths]") for p in plans] == [1, 1, 0]
+    assert reports.write_stage(written[1], str(tmp_path / "again")).count() < 0.02 * 300_000
+
+
+def test_a_bracket_that_misses_ends_the_run(spark, monkeypatch):
+    monkeypatch.setattr(reports, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(reports, "SKETCH_REACH", 1e-6)
+    df = spark.range(200_000).selectExpr("1 as sex", "rand(3) as fork_length")
+    try:
+        got = reports.length_summary(df).first().median
+    except Exception as e:
+        assert "missed the median" in str(e)
+    else:
+        assert got == df.agg(F.median("fork_length")).first()[0]
+
+
 def test_length_histogram_edges(spark, rows):
     values = [45.9, 46.0, 46.5, 46.51, 47.5, 50.0, 66.0, 66.1, None]
     df = spark.createDataFrame([("M", v) for v in values], "sex STRING, fork_length DOUBLE")
@@ -238,6 +277,12 @@ def test_tag_pages(spark):
     df = spark.createDataFrame([(k,) for k in keys + keys], "tag STRING")
     got = {r.tag: (r.page, r.panel) for r in reports.tag_pages(df).collect()}
     assert got == {k: (i // 9 + 1, i % 9 + 1) for i, k in enumerate(sorted(keys))}
+    many = spark.range(5000).selectExpr("concat('149.500 ', lpad(id, 5, '0')) as tag").repartition(7)
+    pages = reports.tag_pages(many)
+    assert "Window" not in pages._jdf.queryExecution().toString()
+    ranked = [(r.page - 1) * 9 + r.panel for r in pages.orderBy("tag").collect()]
+    assert ranked == list(range(1, 5001))
+    assert reports.tag_pages(many.limit(0)).count() == 0
     numbers = [3, 9_999, 10_000, 25_000, 25_001, -4]
     df = spark.createDataFrame([(n,) for n in numbers], "tag BIGINT")
     got = {r.tag: (r.page, r.panel) for r in reports.tag_pages(df, per_page=2).collect()}
