@@ -8,6 +8,7 @@ from rivertrack import constants as K
 from rivertrack.functions.geo import utm_steps
 from rivertrack.operators.nearest import PER_LEAF, nearest_by_leaf, nearest_in_task
 from rivertrack.schema import fixed_table
+from rivertrack.sources.files import write_stage
 
 
 def project_utm(df: DataFrame, long: str = "long", lat: str = "lat") -> DataFrame:
@@ -74,6 +75,49 @@ def bbox_membership(df: DataFrame, extents=tuple(K.MAP_EXTENTS)) -> DataFrame:
     return df.withColumn("extent", F.explode(inside))
 
 
+PLACE_BITS = 16  # of each coordinate in a place key
+# masks that spread 16 bits over the even bits of 32, widest step first
+_SPREAD = ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555))
+
+
+def place_key(extents=tuple(K.MAP_EXTENTS), x: str = "x", y: str = "y") -> Column:
+    """A number whose order keeps neighbours in the plane together: the bits of both coordinates
+    in turn, within the box around ``extents``. What lies outside counts as on its border; NULL
+    without a position."""
+
+    def spread(c: str, low: float, high: float) -> Column:
+        share = (F.col(c) - low) / (high - low)
+        bits = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (2**PLACE_BITS - 1))
+        for step, mask in _SPREAD:
+            bits = bits.bitwiseOR(F.shiftleft(bits, step)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return bits
+
+    _, x0, x1, y0, y1 = zip(*extents)
+    across, up = spread(x, min(x0), max(x1)), spread(y, min(y0), max(y1))
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.when(placed, across.bitwiseOR(F.shiftleft(up, 1)))
+
+
+def write_by_place(
+    df: DataFrame, path: str, extents=tuple(K.MAP_EXTENTS), files: int | None = None
+) -> DataFrame:
+    """Write points as a stage table in which each file, and each row group of a file, holds
+    neighbours: a window on the map reads only the groups that it touches, by their smallest and
+    largest coordinates. Rows of one place may be dealt over several files."""
+    keyed = df.withColumn("_place", place_key(extents))
+    order = [c for c in ("_place", "seq") if c in keyed.columns]
+    dealt = keyed.repartitionByRange(*([files] if files else []), *order)
+    return write_stage(dealt.sortWithinPartitions(*order).drop("_place"), path)
+
+
+def in_extent(points: DataFrame, name: str, extents=tuple(K.MAP_EXTENTS)) -> DataFrame:
+    """The points inside one map extent (borders included): on points as ``write_by_place`` wrote
+    them, a filter that prunes what is read."""
+    [(_, x0, x1, y0, y1)] = [e for e in extents if e[0] == name]
+    inside = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+    return points.where(inside).withColumn("extent", F.lit(name))
+
+
 def survey_slices(det: DataFrame, dates=None) -> DataFrame:
     """Mobile rows with the number of their survey day, all days in one pass. ``dates`` lists
     the days; by default every day with a mobile row is one."""

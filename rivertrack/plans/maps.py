@@ -50,6 +50,18 @@ def survey_jitter(jitter: float = K.SURVEY_JITTER, by_day: dict | None = None) -
     return F.coalesce(first_match(days), F.lit(jitter)) if days else F.lit(jitter)
 
 
+def survey_points(
+    det: DataFrame,
+    dates=tuple(K.SURVEY_DATES),
+    jitter: float = K.SURVEY_JITTER,
+    by_day: dict | None = None,
+) -> DataFrame:
+    """Mobile rows by survey day, projected and jittered: what all maps of surveys are drawn of.
+    Write them with ``spatial.write_by_place``, and each map reads its part (``in_extent``)."""
+    points = project_utm(survey_slices(det, dates))
+    return jitter_points(points, survey_jitter(jitter, by_day))
+
+
 def survey_maps(
     det: DataFrame,
     dates=tuple(K.SURVEY_DATES),
@@ -57,11 +69,12 @@ def survey_maps(
     by_day: dict | None = None,
 ) -> DataFrame:
     """Mobile rows by survey day and map extent, projected and jittered."""
-    points = bbox_membership(project_utm(survey_slices(det, dates)))
-    return jitter_points(points, survey_jitter(jitter, by_day))
+    return bbox_membership(survey_points(det, dates, jitter, by_day))
 
 
-def last_detection_maps(det: DataFrame, jitter: float = K.LAST_DETECTION_JITTER) -> DataFrame:
+def last_detection_points(
+    det: DataFrame, jitter: float = K.LAST_DETECTION_JITTER
+) -> DataFrame:
     """Last detection of each assigned tag, projected and jittered."""
     spark = det.sparkSession
     bad = fixed_table(spark, [(t,) for t in K.BAD_LAST_DETECTION_TAGS], "tag STRING")
@@ -70,7 +83,12 @@ def last_detection_maps(det: DataFrame, jitter: float = K.LAST_DETECTION_JITTER)
         .where(F.col("tag_ts").isNotNull())
         .join(F.broadcast(bad.select(normalise_key("tag").alias("tag"))), "tag", "left_anti")
     )
-    return jitter_points(bbox_membership(project_utm(last)), jitter)
+    return jitter_points(project_utm(last), jitter)
+
+
+def last_detection_maps(det: DataFrame, jitter: float = K.LAST_DETECTION_JITTER) -> DataFrame:
+    """Last detections by map extent."""
+    return bbox_membership(last_detection_points(det, jitter))
 
 
 def detection_history(det: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rivertrack import constants as K
 from rivertrack.operators import cleaning, lookups, reports
 from rivertrack.operators.rules import study_rules
+from rivertrack.operators.spatial import bbox_membership, write_by_place
 from rivertrack.operators.timeline import cluster, slice_hot_tags
 from rivertrack.plans import cascade, fixed, maps, mobile, movement
 from rivertrack.schema import (
@@ -111,8 +112,12 @@ def run_study(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFr
 
     # histories, maps, movement
     stage("detection_history", maps.detection_history(clean))
-    stage("survey_maps", maps.survey_maps(clean, inputs.survey_dates))
-    stage("last_detection_maps", maps.last_detection_maps(clean))
+    for name, points in (
+        ("survey", maps.survey_points(clean, inputs.survey_dates)),
+        ("last_detection", maps.last_detection_points(clean)),
+    ):
+        stages[f"{name}_points"] = write_by_place(points, f"{out}/{name}_points")
+        stage(f"{name}_maps", bbox_membership(stages[f"{name}_points"]))
     facts = stage("tag_facts", movement.tag_facts(cleaned))
     for name, df in movement.report_of(facts, tags).items():
         report(name, df)

@@ -588,3 +588,4 @@ SELECT tag, sex, CASE WHEN fork_length >= 0 THEN fork_length END AS fork_length,
 SELECT tag, ts, seq, power, date::VARCHAR AS date, rkm, zone, station, method FROM det""",
 }
 ORACLE["clustered_cascade"] = ORACLE["cleaning_cascade"]  # the same rows, from clustered tables
+ORACLE["extent_windows"] = ORACLE["bbox_membership"]  # the same rows, extent by extent

@@ -1,6 +1,9 @@
 """One query per operator, on the given tables in their telemetry roles. Dates leave as text;
 everything else as the operators return it."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivertrack import constants as K
@@ -541,6 +544,16 @@ def bbox_membership(spark, sf):
     return spatial.bbox_membership(points, EXTENTS).select("det_id", "x", "y", "extent")
 
 
+@query
+def extent_windows(spark, sf):
+    """Each extent read by itself from points that lie by place."""
+    points = spatial.write_by_place(
+        B.embedding_points(spark, sf), files.stage_path(spark, "points"), EXTENTS
+    )
+    windows = [spatial.in_extent(points, name, EXTENTS) for name, *_ in EXTENTS]
+    return reduce(DataFrame.unionByName, windows).select("det_id", "x", "y", "extent")
+
+
 @query
 def survey_map(spark, sf):
     slices = spatial.survey_slices(B.positions(B.detections(spark, sf)))
