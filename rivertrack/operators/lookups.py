@@ -19,9 +19,10 @@ def stations(spark) -> DataFrame:
 
 
 def station_lookup(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Add zone, rkm, lat and long of the station; NULL for an unknown one."""
-    table = stations(df.sparkSession) if table is None else table
-    return df.join(F.broadcast(table), "station", "left")
+    """Add zone, rkm, lat and long of the station; NULL for an unknown one. The study's own
+    stations are broadcast; a table that is given, only if its size allows."""
+    table = F.broadcast(stations(df.sparkSession)) if table is None else table
+    return df.join(table, "station", "left")
 
 
 def split_unknown_stations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,16 +99,18 @@ def metadata_overrides(
     frequency. Columns code, freq and date are text, as read."""
     spark = df.sparkSession
     if frequencies is None:
-        frequencies = fixed_table(spark, K.FREQUENCY_OVERRIDES, "code STRING, new_freq STRING")
+        frequencies = F.broadcast(
+            fixed_table(spark, K.FREQUENCY_OVERRIDES, "code STRING, new_freq STRING")
+        )
     if dates is None:
-        dates = fixed_table(
-            spark, K.DATE_OVERRIDES, "code STRING, freq STRING, new_date STRING"
+        dates = F.broadcast(
+            fixed_table(spark, K.DATE_OVERRIDES, "code STRING, freq STRING, new_date STRING")
         )
     return (
-        df.join(F.broadcast(frequencies), "code", "left")
+        df.join(frequencies, "code", "left")
         .withColumn("freq", F.coalesce("new_freq", "freq"))
         .drop("new_freq")
-        .join(F.broadcast(dates), ["code", "freq"], "left")
+        .join(dates, ["code", "freq"], "left")
         .withColumn("date", F.coalesce("new_date", "date"))
         .drop("new_date")
         .select(*df.columns)
