@@ -11,6 +11,7 @@ labelled feature rows (MOST_TRAINED) and a few numbers per level.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rivertrack.llm.common import map_batches, written
@@ -186,23 +187,27 @@ def classify(docs, labels, model=None, id_col="doc_id", text="text", source="sou
 def quality_keep(docs, labels, model, text="text", source="source", lang="lang", id_col="doc_id", label="quality"):
     """The rows of ``docs`` that `classify` keeps, with all their columns and only those. A
     first pass sums the sites, a second judges each row where it is read; texts do not move
-    unless the sites are too many for Spark to broadcast their rates."""
+    unless the sites are too many for Spark to broadcast their rates. A row travels as one
+    struct, so that no name can clash. A null text is judged as an empty one, a null source or
+    language is a site of its own, a null id has no label, and repeated rows are judged each."""
     host, path = site(source, lang)
-    placed = docs.withColumns({"_host": host, "_path": path})
-    sums = evidence(placed, model, (id_col, "_host", "_path"), text)
-    sums = sums.withColumnsRenamed({"_host": "host", "_path": "path"})
-    rates, overall = _site_rates(sums, labels, id_col, label)
-    columns = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = docs.select(
+        whole.alias("row"), F.col(id_col).alias("id"), host.alias("host"), path.alias("path"),
+        _evidence(model)(text).alias("evidence"),
+    )
+    sums = placed.select("id", "host", "path", "evidence")
+    rates, overall = _site_rates(sums, labels.withColumnRenamed(id_col, "id"), "id", label)
+    rates = rates.select("host", "path", "path_rate")
+    kept = placed.join(rates, ["host", "path"]).filter(_score("evidence", "path_rate", overall) >= KEEP_FROM)
+    return kept.select("row.*")
 
-    def start():
-        def step(*values):
-            return [*values[:-1], model(np.stack([features(t) for t in values[-1]]))]
 
-        return step
+def _evidence(model):
+    """The classifier as a function of the text column: only texts leave the JVM."""
+
+    def evidence(texts: pa.Array) -> pa.Array:
+        found = [features(t) for t in texts.to_pylist()]
+        return pa.array(model(np.stack(found)) if found else [], pa.float64())
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    schema = ", ".join([*fields, "_host string, _path string, _evidence double"])
-    scored = map_batches(placed.select(*columns, "_host", "_path", F.col(text).alias("_read")), schema, start)
-    rates = rates.select(F.col("path").alias("_path"), F.col("host").alias("_host"), F.col("path_rate").alias("_rate"))
-    kept = scored.join(rates, ["_host", "_path"]).filter(_score("_evidence", "_rate", overall) >= KEEP_FROM)
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    return F.arrow_udf(evidence, "double")

@@ -208,10 +208,9 @@ def quality_verdicts(docs, id_col="doc_id", text="text", by=("lang", "source")):
 
 
 def quality_filter(docs, text="text", by=("lang", "source")):
-    """The rows of ``docs`` that the rules keep, with all their columns and only those. Texts are
-    not shuffled: a first pass writes the measures, a second judges each row where it is read."""
-    rows = written(measured(docs, text, keep=by), "quality-measures")
-    limits = cutoffs(rows, by)
+    """The rows of ``docs`` that the rules keep, with all their columns and only those. Each row
+    is written once, whole and as one struct, so that no name can clash, with its measures beside
+    it: sketches read the measures alone, and the verdicts need no text a second time."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *by, text)
-    kept = judged(measured(whole, text, keep=("_row", *by)), limits, by).filter("kept")
-    return kept.select("_row.*")
+    rows = written(measured(whole, text, keep=("_row", *by)), "quality-measures")
+    return judged(rows, cutoffs(rows, by), by).filter("kept").select("_row.*")
