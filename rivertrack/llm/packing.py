@@ -13,11 +13,12 @@ per class. Bins depend on the order of rows in a partition, which for files is t
 a task runs; give it a written table, not the unordered result of a shuffle.
 """
 
+import contextlib
+
 import numpy as np
 from pyspark import TaskContext
 
 from rivertrack.llm.common import map_batches
-from rivertrack.llm.units import Remembered
 
 CAPACITY = 2048
 LEAST = 64
@@ -82,25 +83,89 @@ class HarmonicBins:
         return list(zip(*out, strict=True))
 
 
-def _tokenizer(path):
-    """A function from strings to the bytes of their ids, kept by the Python worker."""
-    if path not in _TOKENIZERS:
-        import os
+# the pre-tokens of a byte-level tokenizer that brings no pattern of its own
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONGEST = 1000  # characters without a space, or spaces, beyond which a text is encoded the slow way
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+def _bytes_of_characters():
+    """Byte-level vocabularies write each byte as a character: itself if it can be seen, else the
+    next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    unseen = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(256 + n): b for n, b in enumerate(unseen)}
+
 
-        def encode(texts):
-            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+class Encoder:
+    """The ids that the tokenizer of a file gives a text, in two ways.
 
-        _TOKENIZERS[path] = Remembered(encode)
-    return _TOKENIZERS[path]
+    Most texts are encoded by the order of merges alone: any two neighbours that make a token are
+    joined, earliest merge first. That is what the tokenizer does as well if every token is
+    encoded as itself (``plain``): two neighbours make a token of another merge only if their
+    text alone would stop at these two, and it does not. Texts with special tokens, and texts
+    with very long words, go to the tokenizer itself."""
 
+    def __init__(self, path):
+        import json
+        import os
 
-_TOKENIZERS = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in said["added_tokens"]]
+        vocabulary = said["model"]["vocab"]
+        byte_of = _bytes_of_characters()
+        merged = [m if isinstance(m, str) else " ".join(m) for m in said["model"]["merges"]]
+        order = [*byte_of, *dict.fromkeys(m.replace(" ", "") for m in merged)]
+        ranks = {bytes(byte_of[c] for c in token): rank for rank, token in enumerate(order)}
+        self.ids = np.array([vocabulary[token] for token in order], "<u4")
+        self.order = order
+        self.merges = tiktoken.Encoding(
+            path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}
+        )
+
+    def plain(self):
+        """Whether merges by order are the tokenizer's: it is byte-level without more ado, and
+        every token that is text is encoded as itself."""
+        import json
+
+        said = json.loads(self.tokenizer.to_str())
+        how = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if said["normalizer"] is not None or said["pre_tokenizer"] != how:
+            return False
+        if said["model"].get("dropout") or said["model"].get("ignore_merges"):
+            return False
+        byte_of = _bytes_of_characters()
+        texts = {}
+        for place, token in enumerate(self.order):
+            with contextlib.suppress(UnicodeDecodeError):
+                texts[bytes(byte_of[c] for c in token).decode()] = int(self.ids[place])
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+        return all(x.ids == [i] for x, i in zip(found, texts.values(), strict=True))
+
+    def _ordinary(self, text):
+        if any(s in text for s in self.special) or " " * LONGEST in text:
+            return False
+        return len(text) <= LONGEST or max(map(len, text.split(" "))) <= LONGEST
+
+    def __call__(self, text, plain):
+        if plain and self._ordinary(text):
+            return self.ids[self.merges.encode_to_numpy(text)]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def _encoder(path):
+    """Kept by the Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+_ENCODERS = {}
 
 
 def pack(docs, tokenizer_path, id_col="doc_id", text="text", capacity=CAPACITY, least=LEAST):
@@ -111,15 +176,16 @@ def pack(docs, tokenizer_path, id_col="doc_id", text="text", capacity=CAPACITY,
     unique, not consecutive. Other columns are not read; an empty table gives no pieces."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    plain = _encoder(tokenizer_path).plain()
+
     def start():
-        encode = _tokenizer(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         bins = HarmonicBins(TaskContext.get().partitionId() << 33, capacity)
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
 
         def step(keys, texts):
-            found = encode(text or "" for text in texts)
-            for key, ids in zip(keys, found, strict=True):
-                ids = np.frombuffer(ids + end, "<u4")
+            for key, text in zip(keys, texts, strict=True):
+                ids = np.concatenate([encode(text or "", plain), end])
                 at = 0
                 for length in cut_lengths(len(ids), capacity, least):
                     # a copy, so that an open bin does not keep the whole document
