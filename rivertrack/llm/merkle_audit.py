@@ -16,7 +16,8 @@ from rivertrack.llm.common import written
 
 LEAF = 1 << 16  # bytes
 FANOUT = 16
-PER_ARCHIVE = 1000  # consecutive page ids
+PER_ARCHIVE = 100  # consecutive page ids
+NO_ID = 4096  # archives that records without an id are dealt over, numbered from -1 down
 
 
 def _response(url, body):
@@ -30,13 +31,24 @@ def _response(url, body):
 
 def records(pages, id_col="page_id", url="url", body="html", per_archive=PER_ARCHIVE):
     """The records (archive, id, length, digest) that ``pages`` make, without offsets. Null url
-    or body is an empty one; rows with a null id go to archive -1."""
+    or body is an empty one; rows with a null id are dealt over ``NO_ID`` archives by digest."""
+    return digests(payloads(pages, id_col, url, body, per_archive))
+
+
+def payloads(pages, id_col="page_id", url="url", body="html", per_archive=PER_ARCHIVE):
+    """The bytes of the records: (archive, id, payload)."""
     none = F.lit("")
     payload = _response(F.coalesce(F.col(url), none), F.coalesce(F.col(body), none))
-    archive = F.floor(F.coalesce(F.col(id_col), F.lit(-per_archive)) / per_archive).cast("long")
-    return pages.select(archive.alias("archive"), F.col(id_col).alias("id"), payload.alias("_p")).select(
-        "archive", "id", F.octet_length("_p").cast("long").alias("length"), F.sha2("_p", 256).alias("digest")
-    )
+    dealt = -1 - F.pmod(F.xxhash64("payload"), F.lit(NO_ID))
+    archive = F.coalesce(F.floor(F.col("id") / per_archive).cast("long"), dealt)
+    rows = pages.select(F.col(id_col).alias("id"), payload.alias("payload"))
+    return rows.select(archive.alias("archive"), "id", "payload")
+
+
+def digests(rows):
+    """(archive, id, length, digest) of payloads."""
+    length = F.octet_length("payload").cast("long")
+    return rows.select("archive", "id", length.alias("length"), F.sha2("payload", 256).alias("digest"))
 
 
 def laid_out(rows):

@@ -200,36 +200,46 @@ ORACLE["op7_license_scan"] = license_scan.oracle_sql()
 
 @query
 def op6_merkle_audit(spark, sf_dir):
-    """All pages as archive files, audited against a replica of them in which, by rule, some
-    bytes have changed, some records have been blanked and some archives lost."""
-    ours = merkle_audit.records(table(spark, sf_dir, "pages"))
+    """All pages as archive files, audited against a replica of them whose bytes are damaged by
+    rule and hashed again: some records have other bytes, some are cut short, the last of some
+    archives is longer, and some archives are lost. Records keep the places that the archives'
+    index gives them."""
+    pages = merkle_audit.payloads(table(spark, sf_dir, "pages"))
+    ours = written(merkle_audit.laid_out(merkle_audit.digests(pages)), "records")
+    body = F.col("payload")
     damaged = (
-        F.when(F.col("id") % 500 == 11, F.sha2(F.lit(""), 256))
-        .when(F.col("id") % 50 == 7, F.sha2(F.concat("digest", F.lit("flipped")), 256))
-        .otherwise(F.col("digest"))
+        F.when(F.col("id") % 500 == 11, F.substring(body, 1, 100))
+        .when(F.col("id") % 1000 == 999, F.concat(body, F.lit("more")))
+        .when(F.col("id") % 50 == 7, F.concat(F.lit("#"), F.substring(body, 2, 1 << 30)))
+        .otherwise(body)
     )
-    ours = written(merkle_audit.laid_out(ours), "records")
-    theirs = ours.filter("archive % 20 != 19").withColumn("digest", damaged)
+    found = merkle_audit.digests(pages.withColumn("payload", damaged))
+    found = found.withColumnsRenamed({"archive": "in", "id": "of", "length": "n", "digest": "now"})
+    place = ours.select("archive", "offset", "id")
+    same = (F.col("archive") == F.col("in")) & F.col("id").eqNullSafe(F.col("of"))
+    theirs = place.join(found, same).select(
+        "archive", "offset", "id", F.col("n").alias("length"), F.col("now").alias("digest")
+    )
+    theirs = written(theirs.filter("archive % 20 != 19"), "replica")
     return merkle_audit.audit(ours, theirs)
 
 
 ORACLE["op6_merkle_audit"] = """
 WITH payload AS (
-  SELECT page_id AS id, coalesce(floor(page_id / 1000), -1)::BIGINT AS archive,
+  SELECT page_id AS id, floor(page_id / 100)::BIGINT AS archive,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
          || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
          || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
          || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS p
   FROM pages
-), records AS (
-  SELECT archive, id, strlen(p)::BIGINT AS length, sha256(p) AS digest FROM payload
 ), placed AS (
-  SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY id, digest
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM records
+  SELECT archive, id, strlen(p)::BIGINT AS length,
+         coalesce(sum(strlen(p)) OVER (PARTITION BY archive ORDER BY id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM payload
 )
 SELECT archive, "offset", id, length,
        CASE WHEN archive % 20 = 19 THEN 'missing' ELSE 'changed' END AS status
-FROM placed WHERE archive % 20 = 19 OR id % 500 = 11 OR id % 50 = 7
+FROM placed WHERE archive % 20 = 19 OR id % 500 = 11 OR id % 1000 = 999 OR id % 50 = 7
 """
 
 
