@@ -26,7 +26,8 @@ RULES = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]+", 0, 32),
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*", 0, 64),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
+    # only where its characters begin: a long run is then looked at once, not from every eyJ in it
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 24),
     "forge": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
 }
 BASE = ("assign", "access", "hex")
@@ -85,6 +86,13 @@ def read_ledger(spark, path):
         return spark.createDataFrame([], LEDGER)
 
 
+def findings(spark, path, rules=None):
+    """(blob, spans) of all blobs scanned by these rules, each once. Two writers that scan the same
+    blob at the same time append it twice; what they found is the same."""
+    rows = read_ledger(spark, path).filter(F.col("rule_version") == rule_version(rules))
+    return rows.groupBy("blob").agg(F.first("spans").alias("spans"))
+
+
 def _ledger_exists(spark, path):
     return bool(read_ledger(spark, path).take(1))
 
@@ -114,8 +122,7 @@ def scan(docs, ledger_path, id_col="doc_id", text="text", rules=None):
     Nulls: a null text counts as empty. Rows that repeat are answered each; a blob is scanned
     once. No rows, no answers. Other columns are not read."""
     update_ledger(docs, ledger_path, text, rules)
-    found = read_ledger(docs.sparkSession, ledger_path)
-    found = found.filter(F.col("rule_version") == rule_version(rules)).select("blob", "spans")
+    found = findings(docs.sparkSession, ledger_path, rules)
     paths = docs.select(F.col(id_col), F.sha2(whole_text(text), 256).alias("blob"))
     return paths.join(found, "blob", "left").select(id_col, "blob", "spans")
 
@@ -125,36 +132,39 @@ MOST_BROADCAST = 200_000  # blobs with findings; about 100 bytes each
 
 def redact(docs, ledger_path, text="text", mark="[secret]", rules=None):
     """``docs`` with every found span of the text replaced by ``mark``; same columns and rows.
-    A null text stays null. Only blobs with findings take part in the join; they are broadcast
+    A null text stays null, and rows that repeat are answered each. A row travels as one struct, so
+    that no name can clash. Only blobs with findings take part in the join; they are broadcast
     if they and their spans are few (counted), else joined by a shuffle."""
     spark = docs.sparkSession
     update_ledger(docs, ledger_path, text, rules)
-    found = read_ledger(spark, ledger_path).filter(
-        (F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)
-    ).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    size = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_spans")).alias("s")).first()
+    found = findings(spark, ledger_path, rules).filter(F.size("spans") > 0)
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("s")).first()
     if size.n + (size.s or 0) <= MOST_BROADCAST:
         found = F.broadcast(found)
-    rows = docs.withColumn("_blob", F.sha2(whole_text(text), 256)).join(found, "_blob", "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), whole_text(text).alias("t"))
+    rows = rows.withColumn("blob", F.sha2("t", 256)).join(found, "blob", "left")
+
+    def piece(start, length=None):
+        length = F.length("t") if length is None else length
+        return F.substring(F.col("t"), (start + 1).cast("int"), length.cast("int"))
+
     # spans may overlap: a piece of text starts where all spans so far have ended
     step = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(
                 F.when(s["start"] < acc["at"], acc["out"])
-                .otherwise(
-                    F.concat(
-                        acc["out"],
-                        F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                        F.lit(mark),
-                    )
-                )
+                .otherwise(F.concat(acc["out"], piece(acc["at"], s["start"] - acc["at"]), F.lit(mark)))
                 .alias("out"),
                 s["end"].alias("at"),
             )
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))),
+        lambda acc: F.concat(acc["out"], piece(acc["at"])),
+    )
+    said = F.col(f"row.`{text}`")
+    masked = F.when((F.size("spans") > 0) & said.isNotNull(), step).otherwise(said)
+    return rows.select(
+        *[masked.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     )
-    masked = F.when(F.size("_spans") > 0, step).otherwise(F.col(text))
-    return rows.withColumn(text, masked).select(*[F.col(f"`{c}`") for c in docs.columns])
