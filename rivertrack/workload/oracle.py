@@ -589,3 +589,4 @@ SELECT tag, ts, seq, power, date::VARCHAR AS date, rkm, zone, station, method FR
 }
 ORACLE["clustered_cascade"] = ORACLE["cleaning_cascade"]  # the same rows, from clustered tables
 ORACLE["extent_windows"] = ORACLE["bbox_membership"]  # the same rows, extent by extent
+ORACLE["layer_points"] = ORACLE["nearest_reference_point"]  # the same answers, leaf by leaf

@@ -524,6 +524,17 @@ def nearest_reference_point(spark, sf):
     return out.select("det_id", "idx", "zone_label", F.round("dist", 6).alias("dist"))
 
 
+@query
+def layer_points(spark, sf):
+    """The reference points as a layer of files, larger than a task may hold."""
+    points = B.label_points(B.embedding_points(spark, sf))
+    path = files.stage_path(spark, "layer")
+    files.write_stage(points, path)
+    placed = B.embedding_points(spark, sf).drop("label")
+    out = spatial.nearest_reference_point(placed, files.read_layer(spark, path), max_points=3, per_leaf=4)
+    return out.select("det_id", "idx", "zone_label", F.round("dist", 6).alias("dist"))
+
+
 @query
 def survey_slice(spark, sf):
     out = spatial.survey_slices(B.detections(spark, sf))
@@ -596,13 +607,13 @@ def jitter_points(spark, sf):
 
 @query
 def vertex_attribute_join(spark, sf):
-    vertices = B.table(spark, sf, "lineitem").select(
+    vertices = files.read_layer(spark, f"{sf}/lineitem.parquet").select(
         F.col("l_orderkey").alias("id"),
         F.col("l_linenumber").alias("vertex"),
         F.col("l_extendedprice").alias("long"),
         F.col("l_quantity").alias("lat"),
     )
-    features = B.table(spark, sf, "orders").select(
+    features = files.read_layer(spark, f"{sf}/orders.parquet").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("road_class")
     )
     keep = F.col("road_class").isin("1-URGENT", "2-HIGH")
