@@ -11,13 +11,14 @@ megabyte, whatever the corpus.
 
 import base64
 import heapq
+import struct
 
 import numpy as np
 import regex
 import xxhash
 
 from rivertrack.llm.common import map_batches
-from rivertrack.llm.units import Remembered
+from rivertrack.llm.units import LONGEST, Remembered
 
 _MASK = (1 << 64) - 1
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -86,15 +87,20 @@ class Vocabulary:
 
 def merge(word, rank):
     """Token ids of ``word``: the adjacent pair of lowest rank is joined, the leftmost first.
-    ``after`` links each live position to the next; the token at i is word[i:after[i]]."""
+    ``after`` links each live position to the next; the token at i is word[i:after[i]]. A pair is
+    one number, its rank times n plus its position, so that the heap orders by both."""
     n = len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [rank(word[i : i + 2]) for i in range(n - 1)]
-    pair.append(None)
-    heap = [(r, i) for i, r in enumerate(pair) if r is not None]
+    pair, heap = [None] * n, []
+    for i in range(n - 1):
+        r = rank(word[i : i + 2])
+        if r is not None:
+            pair[i] = r = r * n + i
+            heap.append(r)
     heapq.heapify(heap)
     while heap:
-        r, i = heapq.heappop(heap)
+        r = heapq.heappop(heap)
+        i = r % n
         if pair[i] != r:
             continue  # one of the two has been joined meanwhile
         j = after[i]
@@ -102,14 +108,17 @@ def merge(word, rank):
         pair[i] = pair[j] = None
         if end < n:
             before[end] = i
-            pair[i] = r = rank(word[i : after[end]])
+            r = rank(word[i : after[end]])
             if r is not None:
-                heapq.heappush(heap, (r, i))
+                pair[i] = r = r * n + i
+                heapq.heappush(heap, r)
         p = before[i]
         if p >= 0:
-            pair[p] = r = rank(word[p:end])
+            r = rank(word[p:end])
             if r is not None:
-                heapq.heappush(heap, (r, p))
+                r = r * n + p
+                heapq.heappush(heap, r)
+            pair[p] = r
     out, i = [], 0
     while i < n:
         out.append(rank(word[i : after[i]]))
@@ -117,6 +126,9 @@ def merge(word, rank):
     return out
 
 
+MOST_WORDS = 300_000  # pre-tokens that a worker remembers
+
+
 class Codec:
     """Encoding and decoding with one vocabulary, in one Python worker."""
 
@@ -125,22 +137,34 @@ class Codec:
         self.split = regex.compile(vocabulary.pattern).findall
         self.rank = {t: i for i, t in enumerate(self.tokens)}.get
         self.key_at = self.hash.key_at.tolist()
+        self.words = {}
         self.encode = Remembered(self._encode)
 
     def _pretokens(self, words):
-        """Pre-token -> bytes of its ids, for the distinct pre-tokens ``words``."""
+        """Pre-token -> bytes of its ids, for the pre-tokens ``words``, and of some others."""
+        if len(self.words) + len(words) > MOST_WORDS:
+            self.words = {}
+        ids = self.words
+        words = list(words.difference(ids))
         keys = [w.encode() for w in words]
-        ids = {}
         for word, key, slot in zip(words, keys, self.hash.slots(keys).tolist(), strict=True):
             token = self.key_at[slot]
-            found = [token] if self.tokens[token] == key else merge(key, self.rank)
-            ids[word] = np.array(found, "<u4").tobytes()
+            if self.tokens[token] == key:
+                ids[word] = token.to_bytes(4, "little")
+            else:
+                found = merge(key, self.rank)
+                ids[word] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def _encode(self, texts):
         split = [self.split(t) for t in texts]
-        ids = self._pretokens(list({w for words in split for w in words}))
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        used = {w for words in split for w in words}
+        ids = self._pretokens(used)
+        found = [b"".join(map(ids.__getitem__, words)) for words in split]
+        for word in used:
+            if len(word) > LONGEST:
+                del ids[word]  # not worth remembering
+        return found
 
     def decode(self, ids):
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
