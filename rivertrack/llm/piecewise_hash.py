@@ -2,8 +2,9 @@
 
 A rolling hash of the last seven bytes ends a chunk wherever its low bits are all ones, so chunk
 ends move with the text. Each chunk adds one character to the signature. The block size, the
-mean length of a chunk, is a power of two that follows the length of the text; a second signature
-is taken at twice that size. Two fingerprints are compared at a block size both have, by edit distance.
+mean length of a chunk, is a power of two that follows the length of the text, and is doubled while
+a text that repeats itself has too many ends for it; a second signature is taken at twice that
+size. Every byte is in a chunk of both, and both are bounded. Two fingerprints are compared at a block size both have, by edit distance.
 """
 
 import hashlib
@@ -18,6 +19,7 @@ from rivertrack.llm.common import map_batches, whole_text
 
 WINDOW = 7
 CHUNKS = 64  # the block size is the least power of two of which this many cover the text
+MOST_CHUNKS = 4096  # of a signature; texts that do not repeat themselves have some 64 to 128
 RUN = 4  # signatures without a common run of this length are unlike
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _PART = 1 << 22  # bytes hashed at a time
@@ -50,11 +52,17 @@ def _ends(data):
         hashes.append(h[hits])
     if not at:
         return block, np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    return block, np.concatenate(at), np.concatenate(hashes)
+    at, hashes = np.concatenate(at), np.concatenate(hashes)
+    while len(at) >= MOST_CHUNKS:
+        block *= 2
+        mask = np.uint32(block - 1)
+        kept = hashes & mask == mask
+        at, hashes = at[kept], hashes[kept]
+    return block, at, hashes
 
 
 def _signature(data, ends):
-    """One letter per chunk, however many a text that repeats itself has."""
+    """One letter per chunk."""
     cuts = [0, *ends.tolist()]
     if cuts[-1] < len(data):
         cuts.append(len(data))
