@@ -2,25 +2,27 @@
 
 The network reads the bytes of a word in both directions and gives every position a probability
 for each language; a document's probability is the mean over all its positions. Its state starts
-afresh at white space (and after LONGEST bytes), so a word gives the same answer wherever it
-stands: each distinct word is read once and its positions are then counted for every document
-that holds it. No part of any text is left out.
+afresh at white space (and between characters after LONGEST bytes), so a word gives the same
+answer wherever it stands: each distinct word is read once and its positions are then counted for
+every document that holds it. No part of any text is left out.
 
 Training is numpy on the driver, by backpropagation through time, from a bounded sample: at most
-PER_LANGUAGE documents of each language and WORDS_EACH words, evenly spaced, of each document.
+PER_LANGUAGE documents of each language, MOST_SAMPLED (or one a language) in all, and WORDS_EACH
+words, evenly spaced, of each document.
 """
 
 import re
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivertrack.llm.common import map_batches
-from rivertrack.schema import fixed_table
 
 PER_LANGUAGE = 300  # documents of a language that training may see
+MOST_SAMPLED = 60_000  # documents that training may see
 WORDS_EACH = 60  # words of each
-LONGEST = 24  # bytes read in one go
+LONGEST = 24  # bytes read in one go, at most
 HIDDEN, BATCH, PASSES, RATE, SEED = 16, 512, 3, 0.01, 7
 MOST_WORDS = 400_000  # remembered by a Python worker, fewer where languages are many
 MOST_SUMS = 32_000_000  # numbers remembered
@@ -141,14 +143,25 @@ class Network:
 
 
 def pieces(text):
-    """The words of a text as bytes, cut after LONGEST bytes. Together they hold every byte that
-    is not ASCII white space."""
+    """The words of a text as bytes, cut into at most LONGEST bytes between characters. Together
+    they hold every byte that is not ASCII white space."""
     words = text.encode().split()
     if words and max(map(len, words)) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+        words = [part for w in words for part in _cut(w)]
     return words
 
 
+def _cut(word):
+    parts, at = [], 0
+    while len(word) - at > LONGEST:
+        end = at + LONGEST
+        while word[end] & 0xC0 == 0x80:  # inside a character
+            end -= 1
+        parts.append(word[at:end])
+        at = end
+    return [*parts, word[at:]]
+
+
 class Reader:
     """Documents -> sums over their positions, in one Python worker. Remembers per word the
     probabilities summed over its positions and how many positions each language labels."""
@@ -216,18 +229,17 @@ def remainder(id_col):
 
 def train(docs, rows, id_col="doc_id", text="text", lang="lang"):
     """A network fitted on the rows of ``docs`` for which ``rows`` (a condition) holds and text
-    and lang are known. Every language of theirs is learned. The driver sees a count per language
-    and the sample, bounded per language. None if there is no such row."""
+    and lang are known. Every language of theirs is learned. The driver sees the number of
+    languages and the sample, whose bound does not grow with the table. None if there is no such
+    row."""
     usable = docs.filter(rows & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = usable.groupBy(lang).count().collect()
-    if not counts:
-        return None
-    # a share of each language by hash that gives somewhat more than needed, then the least
-    shares = [(r[lang], int(1e6 * min(1.0, 1.5 * PER_LANGUAGE / r["count"])) + 1) for r in counts]
-    shares = fixed_table(docs.sparkSession, shares, "_lang string, _share bigint")
-    place = F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1_000_000))
-    some = usable.withColumn("_place", place).select("_place", lang, text)
-    some = some.join(shares, (F.col(lang) == F.col("_lang")) & (F.col("_place") < F.col("_share")))
+    known = usable.select(lang).distinct().count()
+    each = max(1, min(PER_LANGUAGE, MOST_SAMPLED // max(1, known)))
+    # the first of each language by hash: a fixed sample, each task passing on at most as many
+    place = F.xxhash64(id_col, F.lit(SEED))
+    some = usable.select(place.alias("_place"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    first = Window.partitionBy("_lang").orderBy("_place", F.xxhash64("_text"))
+    some = some.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= each)
 
     def start():
         def step(places, langs, texts):
@@ -236,15 +248,14 @@ def train(docs, rows, id_col="doc_id", text="text", lang="lang"):
 
         return step
 
-    sample = map_batches(some.select("_place", lang, text), "place bigint, lang string, words array<binary>", start)
-    seen, words, labels = {}, [], []
-    languages = sorted(r[lang] for r in counts)
+    schema = "place bigint, lang string, words array<binary>"
+    sample = sorted(map_batches(some.select("_place", "_lang", "_text"), schema, start).collect())
+    if not sample:
+        return None
+    languages = sorted({row.lang for row in sample})
     number = {x: i for i, x in enumerate(languages)}
-    for row in sorted(sample.collect()):
-        seen[row.lang] = seen.get(row.lang, 0) + 1
-        if seen[row.lang] <= PER_LANGUAGE:
-            words += [bytes(w) for w in row.words]
-            labels += [number[row.lang]] * len(row.words)
+    words = [bytes(w) for row in sample for w in row.words]
+    labels = [number[row.lang] for row in sample for _ in row.words]
     return Network(languages).fit(words, np.array(labels, np.int64))
 
 
