@@ -23,6 +23,8 @@ def local_session(cpus: int = 8, name: str = "rivertrack", partitions: int = 8)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", f"{tempfile.gettempdir()}/rivertrack-warehouse")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # checkpoints go with the plans that read them; to be set when a cluster's session starts
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
