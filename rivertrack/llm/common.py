@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rivertrack.sources.files import stage_path, write_stage
+from rivertrack.sources.files import stage_path, write_clustered, write_stage
 
 # The six characters that separate words, as a class of Java, Python and RE2 patterns alike.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -21,13 +21,42 @@ def written(df, name, partition_by=()):
     """``df`` written once to the shared folder and read back: later steps start from files that
     every executor reaches, so a lost executor costs a re-read and no step runs twice. The
     step's shuffle files go as soon as it has ended, not when the driver next collects garbage."""
-    conf = df.sparkSession.conf
+    return _stage(df, name, lambda path: write_stage(df, path, partition_by))
+
+
+def dropped(*tables):
+    """Delete tables that ``written`` or ``clustered`` made and that nothing will read again, as
+    what was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clustered(df, name, by, order):
+    """``df`` written like ``written``, in files by the hash of ``by``: joins and aggregations by
+    these columns read it without a shuffle."""
+    return _stage(df, name, lambda path: write_clustered(df, path, by, order))
+
+
+def _stage(df, name, write):
+    conf, path = df.sparkSession.conf, stage_path(df.sparkSession, name)
     before = conf.get(DROP_SHUFFLES)
     conf.set(DROP_SHUFFLES, "true")
     try:
-        return write_stage(df, stage_path(df.sparkSession, name), partition_by)
+        out = write(path)
     finally:
         conf.set(DROP_SHUFFLES, before)
+    out.stage_path = path
+    return out
+
+
+def short_batches(spark, rows=1000):
+    """From now on at most ``rows`` rows go to Python at a time. Whole texts are long, and Spark
+    holds a batch in the JVM and in Python at once; its bound is a number of rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def let(value, body):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rivertrack.llm.common import map_batches, written
+from rivertrack.llm.common import map_batches, short_batches, written
 
 MOST_TRAINED = 4000  # labelled documents that the classifier is fitted on, by hash of their id
 KEEP_FROM = 0.5
@@ -190,6 +190,7 @@ def quality_keep(docs, labels, model, text="text", source="source", lang="lang",
     unless the sites are too many for Spark to broadcast their rates. A row travels as one
     struct, so that no name can clash. A null text is judged as an empty one, a null source or
     language is a site of its own, a null id has no label, and repeated rows are judged each."""
+    short_batches(docs.sparkSession)
     host, path = site(source, lang)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     placed = docs.select(

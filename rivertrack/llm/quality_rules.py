@@ -207,10 +207,26 @@ def quality_verdicts(docs, id_col="doc_id", text="text", by=("lang", "source")):
     return judged(rows, cutoffs(rows, by), by)
 
 
+MOST_BROADCAST = 500_000  # rejected texts, some 60 bytes each
+
+
 def quality_filter(docs, text="text", by=("lang", "source")):
-    """The rows of ``docs`` that the rules keep, with all their columns and only those. Each row
-    is written once, whole and as one struct, so that no name can clash, with its measures beside
-    it: sketches read the measures alone, and the verdicts need no text a second time."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *by, text)
-    rows = written(measured(whole, text, keep=("_row", *by)), "quality-measures")
-    return judged(rows, cutoffs(rows, by), by).filter("kept").select("_row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns and only those. A verdict
+    depends on the text and its group alone, so measures are written once beside the text's hash,
+    and what is rejected is known by hash and group: broadcast if it is little (counted), else
+    joined by a shuffle. Each row travels as one struct, so that no name can clash."""
+    digest = F.md5(whole_text(text))
+    rows = measured(docs.select(*by, text, digest.alias("_hash")), text, keep=(*by, "_hash"))
+    rows = written(rows, "quality-measures")
+    out = judged(rows, cutoffs(rows, by), by).filter("not kept").select(*by, "_hash").distinct()
+    out = written(out, "quality-rejected")
+    few = out.count() <= MOST_BROADCAST
+    named = out.toDF(*[f"no_{i}" for i in range(len(by))], "no_hash")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = docs.select(
+        whole.alias("row"), *[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], digest.alias("hash")
+    )
+    same = F.col("hash") == F.col("no_hash")
+    for i in range(len(by)):
+        same = same & F.col(f"by_{i}").eqNullSafe(F.col(f"no_{i}"))
+    return mine.join(F.broadcast(named) if few else named, same, "left_anti").select("row.*")
