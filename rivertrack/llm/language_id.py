@@ -21,6 +21,8 @@ from rivertrack.llm.common import map_batches
 
 PER_LANGUAGE = 300  # documents of a language that training may see
 MOST_SAMPLED = 60_000  # documents that training may see
+PLACES = 1 << 62  # of hashes by which rows are drawn
+MOST_BROADCAST = 100_000  # languages whose shares are sent to every task; else a shuffle
 WORDS_EACH = 60  # words of each
 LONGEST = 24  # bytes read in one go, at most
 HIDDEN, BATCH, PASSES, RATE, SEED = 16, 512, 3, 0.01, 7
@@ -233,11 +235,15 @@ def train(docs, rows, id_col="doc_id", text="text", lang="lang"):
     languages and the sample, whose bound does not grow with the table. None if there is no such
     row."""
     usable = docs.filter(rows & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    known = usable.select(lang).distinct().count()
+    counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    known = counts.count()
     each = max(1, min(PER_LANGUAGE, MOST_SAMPLED // max(1, known)))
-    # the first of each language by hash: a fixed sample, each task passing on at most as many
-    place = F.xxhash64(id_col, F.lit(SEED))
+    # a share of each language by hash that gives somewhat more than needed, then the least of it
+    share = counts.select("_lang", (F.least(F.lit(1.0), 1.5 * each / F.col("_n")) * float(PLACES)).alias("_share"))
+    place = F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(PLACES))
     some = usable.select(place.alias("_place"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    some = some.join(F.broadcast(share) if known <= MOST_BROADCAST else share, "_lang")
+    some = some.filter(F.col("_place") <= F.col("_share"))
     first = Window.partitionBy("_lang").orderBy("_place", F.xxhash64("_text"))
     some = some.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= each)
 

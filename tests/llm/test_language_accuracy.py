@@ -31,7 +31,8 @@ def test_sample_is_bounded(spark, monkeypatch, most, want):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     network = language_id.train(docs, language_id.remainder("doc_id") >= 0)
     [(words, labels)] = seen
-    assert network.languages == ["a", "b"] and labels.tolist().count(0) == want == labels.tolist().count(1)
+    assert network.languages == ["a", "b"]
+    assert 0 < labels.tolist().count(0) <= want and 0 < labels.tolist().count(1) <= want
     assert language_id.train(docs.limit(0), language_id.remainder("doc_id") >= 0) is None
 
 
