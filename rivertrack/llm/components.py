@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rivertrack.llm.common import written
+from rivertrack.llm.common import dropped, written
 
 
 def _least(edges, near, far):
@@ -40,7 +40,8 @@ def components(links):
     edges = written(links.filter("a != b").select("a", "b").distinct(), "links")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)).distinct(), "links")
+        older, edges = edges, written(_small_star(_large_star(edges)).distinct(), "links")
+        dropped(older)
         before, state = state, _state(edges)
         if state == before:
             break

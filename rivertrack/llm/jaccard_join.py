@@ -1,20 +1,22 @@
 """N-gram Jaccard join of all documents, exact, by index lists and relations between sets.
 
-Equal sets are one class and count once. A class is indexed under the shingles of its prefix: in
-an order common to all sets, two sets that link share three shingles (fewer at thresholds below
-two thirds) among the first n - ceil(t n) + 3 of each. Frequent shingles come last in that order, so lists stay short. A place
-in a list is skipped if no set there is near enough in size, and a set with fewer than three
-places left has no link. The length of the shingles and the threshold are arguments.
+Equal sets are one class and count once. A class is indexed under parts of itself: the shingles
+of a set fall by their hash into slightly more parts than two sets of its size that link can
+differ in shingles, so such sets have a whole part in common. A list holds the sets that
+share a part; as a part is some ten shingles from all over a text, a list holds sets that are
+alike, not all texts with a common passage. Sets of one level of size, or of neighbours, are cut
+alike; lists of other sizes are skipped. The length of the shingles and the threshold are
+arguments.
 
 A list is not turned into all its pairs. First, every set is compared with its anchor, the one set
 that leads its lists; the components of the links found so far settle most lists, as sets already
 connected need no comparison. What lists still hold of different components is found in two ways
-that share the work by list. In a short list each set meets the others, and a pair is compared
-only if it met often enough: what it can share after the prefixes is known from the sizes. The
-sets of longer lists come in blocks, and only blocks that meet in such a list, at sizes and
-positions that can link, are compared. Inside a pair of blocks a set's overlap with all others is
-derived from its difference to one pivot set: |x & y| is |p| less what either lacks of p plus
-what both have beside p, all read from the differences.
+that share the work by list. In a short list each set meets the others; of two sets with the same
+anchor, bounds on what they share are derived from what each shares with it, and only pairs
+that these leave undecided are compared. The sets of longer lists come in blocks, and only blocks
+that meet in such a list, at sizes that can link, are compared. Inside a pair of blocks a set's
+overlap with all others is derived from its difference to one pivot set: |x & y| is |p| less what
+either lacks of p plus what both have beside p, all read from the differences.
 """
 
 import math
@@ -23,19 +25,21 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rivertrack.llm.common import map_batches, whole_text, written
+from rivertrack.llm.common import clustered, dropped, map_batches, whole_text, written
 from rivertrack.llm.components import components
 
 WORDS = 3
 PERCENT = 90
-HOT_IN_CHUNK, HOT, MOST_HOT = 4, 32, 500_000
-CHUNK = 2_000_000  # shingles counted at a time
-SHARED = 3  # prefix shingles that two linked, different sets have in common at least, if they share so many
+LARGEST = 1 << 40  # shingles of a set, beyond which levels of size do not go
 SHORT = 64  # sets of a list that meet one by one
 BLOCK = 512  # sets
-MOST_BROADCAST = 2_000_000  # ids or roles of sets to compare, some 40 bytes each
+HOPS = 3  # anchors after a set's own that lead to its home
+MOST_SEEN = 500_000  # names of sets that a task remembers
+PER_CHUNK = 2000  # sets compared with one copy of their anchor
+MOST_BROADCAST = 400_000  # ids or roles of sets to compare, some 80 bytes each
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]  # odd factors of a shingle's first words
@@ -95,147 +99,114 @@ def said(text="text"):
 
 
 def summarise(docs, id_col="doc_id", text="text", words=WORDS):
-    """One pass over the texts: rows of kind 0, one per document (id, said, n, hi, lo), ``said``
-    being a hash of its text, and rows of kind 1, shingles seen HOT_IN_CHUNK times in a stretch
-    of the partition (hi, n)."""
+    """One pass over the texts: a row (id, said, n, hi, lo) per document, ``said`` being a hash of its
+    text, n the size of its set and hi, lo the set's name."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
-        pending, size = [], 0
-
-        def counted():
-            nonlocal pending, size
-            if not pending:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            token, count = np.unique(np.concatenate(pending), return_counts=True)
-            pending, size = [], 0
-            often = count >= HOT_IN_CHUNK
-            return _signed(token[often]), count[often]
-
-        def with_hot(ids, said, n, hi, lo, token, count):
-            k = len(token)
-            return (
-                [0] * len(ids) + [1] * k, [*ids, *[None] * k], [*said, *[None] * k],
-                [*n, *count.tolist()], [*hi, *token.tolist()], [*lo, *[None] * k],
-            )
-
         def step(ids, said, texts):
-            nonlocal size
-            n, hi, lo, hot = [], [], [], [(np.zeros(0, np.int64),) * 2]
-            for t in texts:
-                found = shingles(t, words)
-                pending.append(found)
-                size += len(found)
-                a, b = _key(found)
-                n.append(len(found))
-                hi.append(a)
-                lo.append(b)
-                if size >= CHUNK:
-                    hot.append(counted())
-            token, count = (np.concatenate(x) for x in zip(*hot, strict=True))
-            return with_hot(ids, said, n, hi, lo, token, count)
-
-        step.finish = lambda: with_hot([], [], [], [], [], *counted())
+            found = [shingles(t, words) for t in texts]
+            names = [_key(f) for f in found]
+            return ids, said, [len(f) for f in found], [a for a, _ in names], [b for _, b in names]
+
         return step
 
-    schema = f"kind int, id {kind}, said bigint, n bigint, hi bigint, lo bigint"
+    schema = f"id {kind}, said bigint, n bigint, hi bigint, lo bigint"
     return map_batches(docs.select(id_col, said(text), text), schema, start)
 
 
-def frequent(summary):
-    """(shingles, order classes) as sorted arrays: the MOST_HOT most frequent ones. Counts are
-    lower bounds. They only order the shingles; any order gives the same links."""
-    hot = summary.filter("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
-    rows = hot.orderBy(F.desc("n"), "hi").limit(MOST_HOT).toPandas()
-    token = rows["hi"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    classes = np.log2(rows["n"].to_numpy(np.float64)).astype(np.int64)
-    return token[order], classes[order]
-
-
-def least_overlap(n, percent=PERCENT):
-    """What a set of ``n`` must share with any set that it links with."""
-    return -(-percent * n // 100)
-
-
-def shared_places(percent=PERCENT):
-    """Prefix shingles that two linked, different sets have in common at least: of what they
-    share, which is percent / (100 - percent) at least, SHARED or all."""
-    return min(SHARED, max(1, -(-percent // max(1, 100 - percent))))
+@cache
+def levels(percent):
+    """The least size of each level. Sets that link are of one level or of neighbours."""
+    out = [1]
+    while out[-1] < LARGEST:
+        out.append(100 * out[-1] // percent + 1)
+    return np.array(out)
 
 
-def postings(docs, hot, text="text", percent=PERCENT, words=WORDS):
-    """Rows (token, hi, n, pos): the prefix of every document's set, without a shuffle. ``hi`` is
-    half of the set's name; the other half follows once most places are ruled out."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+@cache
+def parts_of(level, percent):
+    """(parts, spare) into which sets of ``level`` and the next are cut, or None if no two of them
+    link unless they are equal. Two that link, one of them of ``level``, differ in fewer shingles
+    than there are parts, less the spare ones: they share spare + 1 whole parts at least. A set of
+    ``level`` is unlikely to leave more than ``spare`` parts empty."""
+    least, most = int(levels(percent)[level]), int(levels(percent)[level + 1]) - 1
+    differ = (most + 100 * most // percent) * (100 - percent) // (100 + percent)
+    if differ < 1:
+        return None
+    empty = (differ + 1) * math.exp(-least / (differ + 1))
+    spare = math.ceil(empty + 4 * math.sqrt(empty)) + 1
+    return differ + 1 + spare, spare
+
+
+def signatures(found, percent):
+    """The names of a set's parts, 64 bits each: parts of its own level, and of the level below for
+    the sets there. Empty parts have names only in a set with more of them than are spare: of two
+    such sets, and of two others, one part that has a name is the same."""
+    n = len(found)
+    if percent >= 100 or not n:
+        return np.zeros(0, np.uint64)
+    own = int(np.searchsorted(levels(percent), n, "right")) - 1
+    mixed, out = found * _MIX ^ found >> np.uint64(31), []
+    for level in (own - 1, own):
+        cut = parts_of(level, percent) if level >= 0 else None
+        if cut is None:
+            continue
+        parts, spare = cut
+        of = (found >> np.uint64(11)) % np.uint64(parts)
+        order = np.argsort(of, kind="stable")
+        here, starts = np.unique(of[order], return_index=True)
+        sums = np.add.reduceat(mixed[order], starts)
+        if parts - len(here) > spare:
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), here)
+            here, sums = np.concatenate([here, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+        cut_as = np.array([level, parts], np.uint64) * np.array([_place(1), _place(2)])
+        name = sums + here * _place(0) + cut_as.sum()
+        name = (name ^ name >> np.uint64(29)) * _MIX
+        out.append(name ^ name >> np.uint64(32))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def postings(docs, text="text", percent=PERCENT, words=WORDS):
+    """Rows (token, hi): the parts of every document's set, without a shuffle. ``hi`` is half of
+    the set's name; the rest follows once most places are ruled out. Of equal sets a task
+    names one, until it has seen MOST_SEEN others."""
 
     def start():
-        tokens, classes = shared.value
+        seen = set()
 
         def step(texts):
             out = []
             for t in texts:
                 found = shingles(t, words)
-                n = len(found)
-                if not n:
+                name = _key(found)[0]
+                if name in seen:
                     continue
-                length = min(n, n - least_overlap(n, percent) + shared_places(percent))
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-                    rank = np.where(tokens[at] == found, classes[at], -1)
-                    found_in_order = found[np.lexsort((found, rank))]
-                else:
-                    found_in_order = found
-                prefix = _signed(found_in_order[:length])
-                out.append((prefix, np.full(length, _key(found)[0]), np.full(length, n), np.arange(length)))
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen.add(name)
+                tokens = _signed(signatures(found, percent))
+                out.append((tokens, np.full(len(tokens), name)))
             return [np.concatenate(x) for x in zip(*out, strict=True)] if out else []
 
         return step
 
-    schema = "token bigint, hi bigint, n int, pos int"
-    return map_batches(docs.select(text), schema, start)
+    return map_batches(docs.select(text), "token bigint, hi bigint", start)
 
 
 def _level(percent):
-    """Sizes by powers of 100/percent: sets that link are of one level or of neighbours."""
+    """Sizes by powers of 100/percent."""
     return F.floor(F.log("n") / math.log(100 / percent)).cast("int")
 
 
-def _near_in_size(rows, percent):
-    """Without the places whose list holds no other set of a size that could link. Lists are
-    looked at by level through their sizes' extremes only, so none is held or sorted."""
-    rows = rows.withColumn("level", _level(percent))
-    levels = rows.groupBy("token", "level").agg(
-        F.count(F.lit(1)).alias("count"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    near = F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1))
-    around = levels.withColumn("at", near).groupBy("token", F.col("at").alias("level")).agg(
-        F.max(F.when(F.col("level") == F.col("at"), F.col("count"))).alias("count"),
-        F.max(F.when(F.col("level") < F.col("at"), F.col("high"))).alias("below"),
-        F.min(F.when(F.col("level") > F.col("at"), F.col("low"))).alias("above"),
-    )
-    possible = (
-        (F.col("count") > 1)
-        | (100 * F.col("below") >= percent * F.col("n"))
-        | (100 * F.col("n") >= percent * F.col("above"))
-    )
-    return rows.join(around, ["token", "level"]).filter(possible).select("token", "key", "n", "pos")
-
-
-def _often_placed(rows, percent):
-    places = rows.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
-    return rows.join(places.filter(F.col("places") >= shared_places(percent)).select("key"), "key")
-
-
-def shared_lists(index, classes, percent=PERCENT):
-    """Rows (token, key, n, pos) of the lists that hold several classes, one per class, without
-    the places that size or number of places rule out."""
+def shared_lists(index, classes):
+    """Rows (token, key, n) of the lists that hold several classes, one per class. The index lies in
+    files by token, so that its lists are found where they lie."""
     several = index.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
     several = several.filter("a != b").select("token")
     rows = index.join(several, "token").dropDuplicates(["token", "hi"])
-    rows = rows.join(classes.select("hi", "key"), "hi").select("token", "key", "n", "pos")
-    rows = written(rows, "jaccard-lists")
-    return written(_often_placed(_near_in_size(rows, percent), percent), "jaccard-lists")
+    rows = rows.join(classes.select("hi", "key", "n"), "hi").select("token", "key", "n")
+    return written(rows, "jaccard-lists")
 
 
 def shipped(docs, classes, roles, order, id_col="doc_id", text="text", words=WORDS):
@@ -267,56 +238,38 @@ def _similar(both, n, m, percent):
     return 100 * both >= percent * (n + m - both)
 
 
-def list_leaders(lists):
-    """Rows (token, leader, leader_n, places): of each list the set with most places."""
-    places = lists.groupBy("key").agg(F.count(F.lit(1)).alias("places"))
+def with_anchors(lists):
+    """The rows of ``lists`` with their set's anchor (token, key, n, anchor, anchor_n): each list is
+    led by the set with most places, and of the leaders of a set's lists the one with most places
+    is its anchor. Near copies have the same anchor. A set's places are as many as its parts."""
+    own = Window.partitionBy("key")
+    placed = lists.withColumn("places", F.count(F.lit(1)).over(own))
     best = F.max(F.struct("places", "key", "n")).alias("b")
-    leaders = lists.join(places, "key").groupBy("token").agg(best)
-    return leaders.select("token", F.col("b.key").alias("leader"), F.col("b.n").alias("leader_n"), "b.places")
-
+    leaders = placed.groupBy("token").agg(best).select("token", F.col("b.key").alias("leader"), F.col("b.n").alias("leader_n"), "b.places")
+    rows = lists.join(leaders, "token").withColumn("b", F.max(F.struct("places", "leader", "leader_n")).over(own))
+    return rows.select("token", "key", "n", F.col("b.leader").alias("anchor"), F.col("b.leader_n").alias("anchor_n"))
 
-def anchors(lists, leaders):
-    """Rows (key, n, anchor, anchor_n): of the leaders of a set's lists the one with most places.
-    Near copies have the same anchor."""
-    best = F.max(F.struct("places", "leader", "leader_n")).alias("b")
-    rows = lists.join(leaders, "token").groupBy("key", "n").agg(best)
-    return rows.select("key", "n", F.col("b.leader").alias("anchor"), F.col("b.leader_n").alias("anchor_n"))
 
+def _near(n, m, percent):
+    """Whether sizes can link."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-def _unseen(n, percent):
-    """Shingles that a set has after its prefix."""
-    return F.greatest(F.ceil(percent * F.col(n) / 100) - shared_places(percent), F.lit(0))
 
+def anchor_pairs(anchored, percent=PERCENT):
+    """Rows (key, anchor) that can link by their sizes."""
+    pairs = anchored.filter((F.col("key") != F.col("anchor")) & _near("n", "anchor_n", percent))
+    return pairs.select("key", "anchor")
 
-def _meet_enough(n, m, percent):
-    """Whether sets that meet in ``met`` lists can link: what they share beyond the prefixes is
-    at most what the longer rest holds."""
-    needed = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
-    return F.col("met") + F.greatest(_unseen(n, percent), _unseen(m, percent)) >= needed
 
-
-def anchor_pairs(lists, anchored, percent=PERCENT):
-    """Rows (key, anchor) that can link by their sizes and the number of lists they meet in."""
-    near = 100 * F.least("n", "anchor_n") >= percent * F.greatest("n", "anchor_n")
-    pairs = anchored.filter((F.col("key") != F.col("anchor")) & near)
-    places = lists.select("token", "key")
-    of_anchors = places.withColumnRenamed("key", "anchor")
-    met = places.join(pairs, "key").join(of_anchors, ["token", "anchor"])
-    met = met.groupBy("key", "n", "anchor", "anchor_n").agg(F.count(F.lit(1)).alias("met"))
-    return met.filter(_meet_enough("n", "anchor_n", percent)).select("key", "anchor")
-
-
-def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
-    """Links (a, b) among ``pairs`` (key, anchor). An anchor's comparisons are dealt out in chunks
-    of at most a few thousand, each with its own copy of the anchor's set."""
-    chunks = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "anchor").select(
-        "anchor", F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk"), "key"
-    )
-    heads = chunks.select(
-        "anchor", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.col("anchor").alias("key"),
-    )
+def overlaps(docs, classes, pairs, id_col="doc_id", text="text", words=WORDS):
+    """Rows (key, anchor, n, m, both) of ``pairs`` (key, anchor): the sizes of both sets and of
+    what they share. An anchor's comparisons are dealt out in chunks of some PER_CHUNK, each with its
+    own copy of the anchor's set."""
+    many = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PER_CHUNK)
+    chunks = many.select("anchor", F.ceil(F.col("n") / PER_CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("key"), F.coalesce("chunks", F.lit(1))).cast("int")
+    dealt = pairs.join(chunks, "anchor", "left").select("anchor", chunk.alias("chunk"), "key")
+    heads = dealt.select("anchor", "chunk", F.col("anchor").alias("key")).distinct()
     work = shipped(docs, classes, dealt.unionByName(heads), ("anchor", "chunk"), id_col, text, words)
     work = work.sortWithinPartitions("anchor", "chunk", F.col("key") != F.col("anchor"))
 
@@ -324,7 +277,7 @@ def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCE
         state = {}
 
         def step(anchor, chunk, keys, found):
-            links = []
+            out = []
             for head, part, key, raw in zip(anchor, chunk, keys, found, strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if key == head:
@@ -333,23 +286,28 @@ def pair_links(docs, classes, pairs, id_col="doc_id", text="text", percent=PERCE
                 assert state["at"] == (head, part)
                 pivot = state["set"]
                 at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
-                if _similar(int((pivot[at] == s).sum()), len(pivot), len(s), percent):
-                    links.append((key, head))
-            return list(zip(*links, strict=True))
+                out.append((key, head, len(s), len(pivot), int((pivot[at] == s).sum())))
+            return list(zip(*out, strict=True))
 
         return step
 
     columns = work.select("anchor", "chunk", "key", "shingles")
-    return map_batches(columns, "a bigint, b bigint", start)
+    return map_batches(columns, "key bigint, anchor bigint, n bigint, m bigint, both bigint", start)
+
 
+def links_of(compared, percent=PERCENT):
+    """Links (a, b) among compared sets."""
+    n, m, both = (F.col(c) for c in ("n", "m", "both"))
+    return compared.filter(_similar(both, n, m, percent)).select(F.col("key").alias("a"), F.col("anchor").alias("b"))
 
-def unsettled(lists, anchored, labels):
-    """The rows of ``lists`` that still hold several components, with their component and whether
-    it is not the list's main one, the largest, which is settled in itself. A list of a set and
+
+def unsettled(rows, labels, compared):
+    """The rows (of `with_anchors`) of lists that still hold several components, with their component and whether
+    it is not the list's main one, the largest, which is settled in itself, and with what they share
+    with their anchor where that was compared. A list of a set and
     its anchor was settled by comparing them."""
-    rows = lists.join(anchored.select("key", "anchor"), "key")
     rows = rows.join(labels, rows["key"] == labels["vertex"], "left").select(
-        "token", "key", "n", "pos", "anchor", F.coalesce("component", "key").alias("component")
+        "token", "key", "n", "anchor", "anchor_n", F.coalesce("component", "key").alias("component")
     )
     counts = rows.groupBy("token", "component", "anchor").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("key") == F.col("anchor")).alias("own")
@@ -364,60 +322,71 @@ def unsettled(lists, anchored, labels):
     )
     open_lists = main.filter("found > 1 and not (size = 2 and alike and own)").select("token", "main", "size")
     rows = rows.join(open_lists, "token").withColumn("minor", F.col("component") != F.col("main"))
-    return rows.select("token", "key", "n", "pos", "component", "minor", "size")
-
-
-def often_met(rows, percent=PERCENT):
-    """Pairs (key, anchor) of different components that meet in enough short lists to link. Pairs
-    that also meet in a longer list are compared by ``block_links`` and need not be found here."""
-    one = rows.filter("minor").select("token", F.col("key").alias("a"), F.col("n").alias("n1"),
-                                      F.col("pos").alias("pos1"), F.col("component").alias("c1"))
-    two = rows.select("token", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"),
-                      F.col("component").alias("c2"), F.col("minor").alias("minor2"))
-    once = ~F.col("minor2") | (F.col("a") < F.col("b"))
-    near = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    placed = (
-        (100 * (F.col("pos2") - F.col("pos1")) <= (100 - percent) * F.col("n2"))
-        & (100 * (F.col("pos1") - F.col("pos2")) <= (100 - percent) * F.col("n1"))
-    )
-    met = one.join(two, "token").filter((F.col("c1") != F.col("c2")) & once & near & placed)
+    own = compared.select(F.col("key").alias("of"), F.col("both").alias("shares"))
+    rows = rows.join(own, F.col("key") == F.col("of"), "left")
+    shares = F.when(F.col("key") == F.col("anchor"), F.col("n")).otherwise(F.col("shares"))
+    return rows.select(
+        "token", "key", "n", "anchor", "anchor_n", shares.alias("shares"), "component", "minor", "size"
+    )
+
 
+def met_pairs(rows, percent=PERCENT):
+    """Pairs (key, anchor, linked) of different components that meet in short lists and are near in
+    size, with what their own anchor says of them: ``linked`` is true or false where it decides,
+    null where it does not. With p the anchor of both, they share what both have of p at least,
+    |x & p| + |y & p| - |p|, and at most the smaller of these and the smaller of what they have
+    beside p."""
+    names = ["key", "n", "anchor", "anchor_n", "shares", "component", "minor"]
+    one = rows.filter("minor").select("token", *[F.col(c).alias(f"{c}1") for c in names])
+    two = rows.select("token", *[F.col(c).alias(f"{c}2") for c in names])
+    once = ~F.col("minor2") | (F.col("key1") < F.col("key2"))
+    met = one.join(two, "token").filter(
+        (F.col("component1") != F.col("component2")) & once & _near("n1", "n2", percent)
+    )
+    n, m, x, y = (F.col(c) for c in ("n1", "n2", "shares1", "shares2"))
+    least = x + y - F.col("anchor_n1")
+    most = F.least(x, y) + F.least(n - x, m - y)
+    same = (F.col("anchor1") == F.col("anchor2")) & x.isNotNull() & y.isNotNull()
+    linked = F.when(same & _similar(least, n, m, percent), F.lit(True)).when(
+        same & ~_similar(most, n, m, percent), F.lit(False)
+    )
     # one of a pair can be minor here and the other one elsewhere
-    met = met.groupBy(F.least("a", "b").alias("key"), F.greatest("a", "b").alias("anchor")).agg(
-        F.count(F.lit(1)).alias("met"), F.min(F.least("n1", "n2")).alias("n"),
-        F.max(F.greatest("n1", "n2")).alias("m"),
-    )
-    return met.filter(_meet_enough("n", "m", percent)).select("key", "anchor")
+    return met.select(
+        F.least("key1", "key2").alias("key"), F.greatest("key1", "key2").alias("anchor"), linked.alias("linked")
+    ).distinct()
 
 
-def block_links(docs, classes, rows, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
+def homes(anchored):
+    """Rows (anchor, home): where a set's anchor leads, over HOPS anchors more. Small groups that
+    lean on the sets of a larger one have its home."""
+    step = anchored.select("key", F.col("anchor").alias("next"))
+    out = anchored.select("anchor").distinct().withColumn("home", F.col("anchor"))
+    for _ in range(HOPS):
+        out = out.join(step, out["home"] == step["key"], "left")
+        out = out.select("anchor", F.coalesce("next", "home").alias("home"))
+    return out
+
+
+def block_links(docs, classes, rows, anchored, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
     """Links between different components that share a long list. Sets come in blocks of about
-    BLOCK, of one level of size and with the same longest list. Only blocks are compared that
-    meet in a list, whose sizes can link, and whose places in that list are near enough: a set
-    that has d shingles more before a common one lacks d of the other's. Each pair of blocks is
-    compared once, however many lists they share: sets outside some list's main component with
-    the rest."""
-    home = rows.groupBy("key").agg(F.max(F.struct("size", "token"))["token"].alias("home"))
-    rows = rows.withColumn("level", _level(percent)).join(home, "key")
+    BLOCK, of one level of size and with the same home. Only blocks are compared that
+    meet in a list and whose sizes can link. Each pair of blocks is compared once, however many
+    lists they share: sets outside some list's main component with the rest."""
+    rows = rows.withColumn("level", _level(percent)).join(homes(anchored), "anchor")
     sizes = rows.select("key", "home", "level").distinct().groupBy("home", "level")
     sizes = sizes.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key", F.lit(7)), "parts")
     rows = rows.join(sizes, ["home", "level"]).select(
-        "token", "key", "n", "pos", "component", "minor", "level",
-        F.xxhash64("home", "level", part).alias("block"),
+        "token", "key", "n", "component", "minor", F.xxhash64("home", "level", part).alias("block")
     )
     rows = written(rows, "jaccard-blocks")
 
     def meeting(of, name):
-        return of.groupBy("token", "block", "level").agg(
-            F.min("pos").alias(f"low{name}"), F.max("pos").alias(f"high{name}"), F.max("n").alias(f"n{name}")
-        ).withColumnsRenamed({"block": f"b{name}", "level": f"level{name}"})
-
-    near = (
-        (F.abs(F.col("level1") - F.col("level2")) <= 1)
-        & (100 * (F.col("low2") - F.col("high1")) <= (100 - percent) * F.col("n2"))
-        & (100 * (F.col("low1") - F.col("high2")) <= (100 - percent) * F.col("n1"))
-    )
+        return of.groupBy("token", F.col("block").alias(f"b{name}")).agg(
+            F.min("n").alias(f"low{name}"), F.max("n").alias(f"high{name}")
+        )
+
+    near = (100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1"))
     units = meeting(rows.filter("minor"), 1).join(meeting(rows, 2), "token").filter(near)
     units = written(units.select("b1", "b2").distinct(), "jaccard-units")
     members = rows.groupBy("key", "component", "block").agg(F.max("minor").alias("minor"))
@@ -490,18 +459,20 @@ def linked(pdf, percent=PERCENT):
 
 def one_of_each(docs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
     """The rows of ``docs`` that carry their component's smallest id, with all their columns and
-    only those; of equal rows one stays. Documents without words all stay."""
+    only those; of equal rows one stays. Documents without words all stay. A row travels as one
+    struct, so that no name can clash."""
     rows = written(jaccard_components(docs, id_col, text, percent, words), "jaccard-components")
     kept = rows.filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(
-        F.col(id_col).alias("_id"), F.col("said").alias("_said")
+        F.col(id_col).alias("kept_id"), F.col("said").alias("kept_said")
     )
-    repeated = kept.groupBy("_id", "_said").count().filter("count > 1").take(1)
-    marked = docs.withColumn("_now", said(text))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_now") == F.col("_said"))
+    repeated = kept.groupBy("kept_id", "kept_said").count().filter("count > 1").take(1)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(whole.alias("row"), F.col(id_col).alias("id"), said(text).alias("said"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("said") == F.col("kept_said"))
     out = marked.join(kept, same, "left_semi")
     if repeated:
-        out = out.dropDuplicates([id_col, "_now"])
-    return out.drop("_now")
+        out = out.dropDuplicates(["id", "said"])
+    return out.select("row.*")
 
 
 def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
@@ -512,29 +483,39 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT, word
     A null or empty text, or one without words, has an empty set, links with nothing and is its
     own component. Equal rows and equal texts are one class. A null id is never the smallest
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
-    summary = written(summarise(docs, id_col, text, words), "jaccard-summary", ("kind",))
-    members = summary.filter("kind = 0").select("id", "said", F.col("n").alias("n_shingles"), "hi", "lo")
+    members = summarise(docs, id_col, text, words).withColumnRenamed("n", "n_shingles")
+    members = written(members, "jaccard-summary")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "said"))  # a null id comes last
-    classes = members.filter("n_shingles > 0").groupBy("hi", "lo").agg(least.alias("r"))
+    classes = members.filter("n_shingles > 0").groupBy("hi", "lo")
+    classes = classes.agg(least.alias("r"), F.first("n_shingles").alias("n"))
     # numbered once, as they are written
     classes = classes.select(
-        "hi", "lo", F.col("r.id").alias("rep"), F.col("r.said").alias("rep_said"),
+        "hi", "lo", "n", F.col("r.id").alias("rep"), F.col("r.said").alias("rep_said"),
         F.monotonically_increasing_id().alias("key"),
     )
     classes = written(classes, "jaccard-classes")
-    index = written(postings(docs, frequent(summary), text, percent, words), "jaccard-index")
-    lists = shared_lists(index, classes, percent)
-    anchored = written(anchors(lists, list_leaders(lists)), "jaccard-anchors")
-    near = written(anchor_pairs(lists, anchored, percent), "jaccard-near")
-    links = written(pair_links(docs, classes, near, id_col, text, percent, words), "jaccard-links")
+    index = clustered(postings(docs, text, percent, words), "jaccard-index", ("token",), ("hi",))
+    lists = shared_lists(index, classes)
+    dropped(index)
+    rows = written(with_anchors(lists), "jaccard-lists")
+    dropped(lists)
+    anchored = written(rows.select("key", "n", "anchor", "anchor_n").distinct(), "jaccard-anchors")
+    near = anchor_pairs(anchored, percent)
+    compared = written(overlaps(docs, classes, near, id_col, text, words), "jaccard-overlaps")
+    links = links_of(compared, percent)
     labels = written(components(links), "jaccard-labels")
-    rest = written(unsettled(lists, anchored, labels), "jaccard-unsettled")
-    met = written(often_met(rest.filter(F.col("size") <= SHORT), percent), "jaccard-met")
-    more = pair_links(docs, classes, met, id_col, text, percent, words)
+    rest = written(unsettled(rows, labels, compared), "jaccard-unsettled")
+    dropped(rows, labels)
+    met = written(met_pairs(rest.filter(F.col("size") <= SHORT), percent), "jaccard-met")
+    open_pairs = met.filter("linked is null").select("key", "anchor")
+    more = links_of(overlaps(docs, classes, open_pairs, id_col, text, words), percent)
     long = rest.filter(F.col("size") > SHORT)
-    more = more.unionByName(block_links(docs, classes, long, id_col, text, percent, words))
+    more = more.unionByName(block_links(docs, classes, long, anchored, id_col, text, percent, words))
+    more = more.unionByName(met.filter("linked").select(F.col("key").alias("a"), F.col("anchor").alias("b")))
     more = written(more, "jaccard-links")
+    dropped(rest, met)
     labels = written(components(links.unionByName(more)), "jaccard-labels")
+    dropped(compared, anchored, more)
     # every class with its component, every component with its smallest id
     placed = classes.join(labels, classes["key"] == labels["vertex"], "left").select(
         "hi", "lo", "rep", F.coalesce("component", "key").alias("component")
