@@ -5,8 +5,9 @@ of a set fall by their hash into slightly more parts than two sets of its size t
 differ in shingles, so such sets have a whole part in common. A list holds the sets that
 share a part; as a part is some ten shingles from all over a text, a list holds sets that are
 alike, not all texts with a common passage. Sets of one level of size, or of neighbours, are cut
-alike; lists of other sizes are skipped. The length of the shingles and the threshold are
-arguments.
+alike; lists of other sizes are skipped. Sets that link share more than one part, by a number that
+follows from their sizes, so each set leaves that many less one of its lists, the longest. The
+length of the shingles and the threshold are arguments.
 
 A list is not turned into all its pairs. First, every set is compared with its anchor, the one set
 that leads its lists; the components of the links found so far settle most lists, as sets already
@@ -98,20 +99,20 @@ def said(text="text"):
     return F.xxhash64(whole_text(text)).alias("said")
 
 
-def summarise(docs, id_col="doc_id", text="text", words=WORDS):
-    """One pass over the texts: a row (id, said, n, hi, lo) per document, ``said`` being a hash of its
-    text, n the size of its set and hi, lo the set's name."""
+def summarise(docs, id_col="doc_id", text="text", percent=PERCENT, words=WORDS):
+    """One pass over the texts: a row (id, said, n, hi, lo, even, odd) per document, ``said`` being a hash
+    of its text, n the size of its set, hi, lo the set's name and even, odd the parts it can spare."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
         def step(ids, said, texts):
             found = [shingles(t, words) for t in texts]
-            names = [_key(f) for f in found]
-            return ids, said, [len(f) for f in found], [a for a, _ in names], [b for _, b in names]
+            names = [(*_key(f), *spared(f, percent)) for f in found]
+            return [ids, said, [len(f) for f in found], *zip(*names, strict=True)]
 
         return step
 
-    schema = f"id {kind}, said bigint, n bigint, hi bigint, lo bigint"
+    schema = f"id {kind}, said bigint, n bigint, hi bigint, lo bigint, even int, odd int"
     return map_batches(docs.select(id_col, said(text), text), schema, start)
 
 
@@ -139,21 +140,26 @@ def parts_of(level, percent):
     return differ + 1 + spare, spare
 
 
+def _cuts(n, percent):
+    """(level, parts, spare) by which a set of ``n`` is cut: its own level's, and that of the level below."""
+    if percent >= 100 or not n:
+        return []
+    own = int(np.searchsorted(levels(percent), n, "right")) - 1
+    cuts = [(level, parts_of(level, percent)) for level in (own - 1, own) if level >= 0]
+    return [(level, *cut) for level, cut in cuts if cut is not None]
+
+
+def _part(found, parts):
+    return (found >> np.uint64(11)) % np.uint64(parts)
+
+
 def signatures(found, percent):
     """The names of a set's parts, 64 bits each: parts of its own level, and of the level below for
     the sets there. Empty parts have names only in a set with more of them than are spare: of two
-    such sets, and of two others, one part that has a name is the same."""
-    n = len(found)
-    if percent >= 100 or not n:
-        return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(levels(percent), n, "right")) - 1
+    such sets, and of two others, one part that has a name is the same. A name is odd if the level is."""
     mixed, out = found * _MIX ^ found >> np.uint64(31), []
-    for level in (own - 1, own):
-        cut = parts_of(level, percent) if level >= 0 else None
-        if cut is None:
-            continue
-        parts, spare = cut
-        of = (found >> np.uint64(11)) % np.uint64(parts)
+    for level, parts, spare in _cuts(len(found), percent):
+        of = _part(found, parts)
         order = np.argsort(of, kind="stable")
         here, starts = np.unique(of[order], return_index=True)
         sums = np.add.reduceat(mixed[order], starts)
@@ -163,10 +169,27 @@ def signatures(found, percent):
         cut_as = np.array([level, parts], np.uint64) * np.array([_place(1), _place(2)])
         name = sums + here * _place(0) + cut_as.sum()
         name = (name ^ name >> np.uint64(29)) * _MIX
-        out.append(name ^ name >> np.uint64(32))
+        name ^= name >> np.uint64(32)
+        out.append(name >> np.uint64(1) << np.uint64(1) | np.uint64(level % 2))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def spared(found, percent):
+    """How many of its named parts a set can do without, as (of even levels, of odd ones). Two sets
+    that link share more named parts than either one's number: all but those that their differing
+    shingles fall into and those empty in both. A set with many empty parts can spare none."""
+    n, out = len(found), [0, 0]
+    for level, parts, spare in _cuts(n, percent):
+        empty = parts - len(np.unique(_part(found, parts)))
+        if empty <= spare:
+            most = min(100 * n // percent, int(levels(percent)[level + 2]) - 1)
+            if n >= levels(percent)[level + 1]:  # cut for those of the level below
+                most = int(levels(percent)[level + 1]) - 1
+            differ = (n + most) * (100 - percent) // (100 + percent)
+            out[level % 2] = max(parts - differ - empty - 1, 0)
+    return out
+
+
 def postings(docs, text="text", percent=PERCENT, words=WORDS):
     """Rows (token, hi): the parts of every document's set, without a shuffle. ``hi`` is half of
     the set's name; the rest follows once most places are ruled out. Of equal sets a task
@@ -201,12 +224,26 @@ def _level(percent):
 
 def shared_lists(index, classes):
     """Rows (token, key, n) of the lists that hold several classes, one per class. The index lies in
-    files by token, so that its lists are found where they lie."""
+    files by token, so that its lists are found where they lie. A class leaves the longest of
+    its lists, as many as it has parts to spare: lists are left in one order by all, so the first
+    list by this order that two linked sets share is one that neither leaves. What many sets have
+    in common, linked or not, thus brings together only those that have still more in common."""
     several = index.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
     several = several.filter("a != b").select("token")
     rows = index.join(several, "token").dropDuplicates(["token", "hi"])
-    rows = rows.join(classes.select("hi", "key", "n"), "hi").select("token", "key", "n")
-    return written(rows, "jaccard-lists")
+    rows = rows.join(classes.select("hi", "key", "n", "even", "odd"), "hi")
+    odd = F.col("token") % 2 != 0
+    rows = rows.select("token", "key", "n", F.when(odd, F.col("odd")).otherwise(F.col("even")).alias("spared"))
+    rows = written(rows, "jaccard-shared")
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    longest = Window.partitionBy("key", odd).orderBy(F.desc("held"), "token")
+    kept = rows.join(held, "token").withColumn("place", F.row_number().over(longest)).filter("place > spared")
+    kept = written(kept.select("token", "key", "n"), "jaccard-kept")
+    dropped(rows)
+    several = kept.groupBy("token").count().filter("count > 1").select("token")
+    out = written(kept.join(several, "token"), "jaccard-lists")
+    dropped(kept)
+    return out
 
 
 def shipped(docs, classes, roles, order, id_col="doc_id", text="text", words=WORDS):
@@ -483,14 +520,14 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT, word
     A null or empty text, or one without words, has an empty set, links with nothing and is its
     own component. Equal rows and equal texts are one class. A null id is never the smallest
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
-    members = summarise(docs, id_col, text, words).withColumnRenamed("n", "n_shingles")
+    members = summarise(docs, id_col, text, percent, words).withColumnRenamed("n", "n_shingles")
     members = written(members, "jaccard-summary")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "said"))  # a null id comes last
     classes = members.filter("n_shingles > 0").groupBy("hi", "lo")
-    classes = classes.agg(least.alias("r"), F.first("n_shingles").alias("n"))
+    classes = classes.agg(least.alias("r"), F.first("n_shingles").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"))
     # numbered once, as they are written
     classes = classes.select(
-        "hi", "lo", "n", F.col("r.id").alias("rep"), F.col("r.said").alias("rep_said"),
+        "hi", "lo", "n", "even", "odd", F.col("r.id").alias("rep"), F.col("r.said").alias("rep_said"),
         F.monotonically_increasing_id().alias("key"),
     )
     classes = written(classes, "jaccard-classes")

@@ -1,11 +1,14 @@
 """Parts of sets: two that link share a named part, whatever the threshold and the size."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rivertrack.llm import jaccard_join as J
+from rivertrack.llm.common import clustered
 
 
 def _linked_pair(rng, n, percent):
@@ -49,6 +52,44 @@ def test_sets_with_empty_parts_meet(monkeypatch):
                 assert a & b, n
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_sets_that_link_share_a_list_that_neither_leaves(percent):
+    """Whatever lists are longest: those that the two share are, or those of one order of names."""
+    rng = np.random.default_rng(percent + 1)
+    left = 0
+    for n in [*range(1, 130), 250, 1000, 5000]:
+        for _ in range(6):
+            pair = _linked_pair(rng, n, percent)
+            if pair is None or np.array_equal(*pair):
+                continue
+            names = [J.signatures(s, percent).tolist() for s in pair]
+            shared = set(names[0]) & set(names[1])
+            for order in (lambda t: (t not in shared, t), lambda t: t):
+                kept = []
+                for s, of in zip(pair, names, strict=True):
+                    spare = J.spared(s, percent)
+                    ranked = [sorted((t for t in of if t % 2 == odd), key=order) for odd in (0, 1)]
+                    kept.append({t for odd in (0, 1) for t in ranked[odd][spare[odd] :]})
+                    left += sum(spare)
+                assert kept[0] & kept[1], (n, [len(s) for s in pair])
+    assert left
+
+
+def test_sets_with_a_few_parts_in_common_meet_in_no_list(spark):
+    """200 texts of one length with a sixth of their words in common: at 80 percent, some of their many
+    small parts are equal in dozens of them, but too few for any two to link."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(16)]
+    texts = [" ".join([*common, *(f"w{rng.random()}" for _ in range(80))]) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    names = [J.signatures(J.shingles(t, 5), 80).tolist() for t in texts]
+    assert max(Counter(t for of in names for t in of).values()) > 10
+    members = J.summarise(docs, percent=80, words=5)
+    classes = members.withColumn("key", F.monotonically_increasing_id())
+    index = clustered(J.postings(docs, percent=80, words=5), "jaccard-index", ("token",), ("hi",))
+    assert J.shared_lists(index, classes).count() == 0
+
+
 def test_levels_hold_all_sizes_that_link():
     for percent in (50, 80, 90, 99):
         lows = J.levels(percent)
