@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rivertrack.llm.common import clustered, dropped, map_batches, whole_text, written
+from rivertrack.llm.common import clustered, dropped, map_batches, short_batches, whole_text, written
 from rivertrack.llm.components import components
 
 WORDS = 3
@@ -38,6 +38,7 @@ LARGEST = 1 << 40  # shingles of a set, beyond which levels of size do not go
 SHORT = 64  # sets of a list that meet one by one
 BLOCK = 512  # sets
 HOPS = 3  # anchors after a set's own that lead to its home
+MOST_WORDS = 100_000  # words whose hashes a worker remembers, some 200 bytes each
 MOST_SEEN = 500_000  # names of sets that a task remembers
 PER_CHUNK = 2000  # sets compared with one copy of their anchor
 MOST_BROADCAST = 400_000  # ids or roles of sets to compare, some 80 bytes each
@@ -49,7 +50,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 class _Words(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -520,6 +521,7 @@ def jaccard_components(docs, id_col="doc_id", text="text", percent=PERCENT, word
     A null or empty text, or one without words, has an empty set, links with nothing and is its
     own component. Equal rows and equal texts are one class. A null id is never the smallest
     unless there is no other. Shingles are compared by 64-bit and sets by 128-bit hashes."""
+    short_batches(docs.sparkSession)
     members = summarise(docs, id_col, text, percent, words).withColumnRenamed("n", "n_shingles")
     members = written(members, "jaccard-summary")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "said"))  # a null id comes last

@@ -110,3 +110,23 @@ def test_texts_with_a_common_passage_rarely_meet():
 
 def test_nothing_links_at_a_hundred_percent():
     assert len(J.signatures(np.arange(50, dtype=np.uint64), 100)) == 0
+
+
+def test_a_worker_remembers_a_bounded_number_of_words():
+    J._words.clear()
+    text = " ".join(f"word{i}" for i in range(150_000))
+    first = J.shingles(text)
+    assert len(J._words) <= 100_000
+    assert np.array_equal(first, J.shingles(text))
+
+
+def test_texts_go_to_python_in_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id bigint, text string")
+        assert J.jaccard_components(docs).count() == 2
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
